@@ -139,9 +139,7 @@ def rank_z_combine(df: DataFrame, signs: dict[str, int], by: str = "date", out:
         ranked = average_rank(ranked, [by], c, f"_r_{c}")
     z = zscore(ranked, [f"_r_{c}" for c in signs], by, ddof=0, prefix="_z", fill=False)
     parts = [F.col(f"_z_r_{c}") * float(s) for c, s in signs.items()]
-    known = [F.when(p.isNotNull(), 1.0).otherwise(0.0) for p in parts]
-    total = sum((F.coalesce(p, F.lit(0.0)) for p in parts[1:]), F.coalesce(parts[0], F.lit(0.0)))
-    return z.withColumn(out, div(total, sum(known[1:], known[0]))).drop(
+    return z.withColumn(out, sum(parts[1:], parts[0]) / float(len(parts))).drop(
         *[f"_r_{c}" for c in signs], *[f"_z_r_{c}" for c in signs])
 
 

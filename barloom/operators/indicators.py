@@ -12,6 +12,7 @@ from barloom.functions.frames import (
     div, full, lag, max_n, mean_n, min_n, running, series, std_n, sum_n, trail,
 )
 from barloom.operators import recur as R
+from barloom.operators.ranking import calendar_join
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
@@ -197,23 +198,23 @@ def delayed_label(entry: int = 1, exit_: int = 6, src: str = "close") -> Column:
     return div(F.lead(src, exit_).over(w), F.lead(src, entry).over(w)) - 1.0
 
 
-def calendar_forward_return(bars: DataFrame, h: int, src: str = "close") -> DataFrame:
-    """Return to the h-th later *market* date; null where the symbol has no bar there.
+def calendar_offsets(bars: DataFrame, offsets: dict[str, int], src: str = "close") -> DataFrame:
+    """Value of ``src`` at the market date ``offset`` steps away; null where the symbol has no bar.
 
-    The calendar is one row per distinct date of the table.
+    The calendar (one row per distinct date) numbers the dates; a one-point
+    range frame then reads the exact step, so suspended symbols give null.
     """
-    cal = (
-        bars.groupBy("date").agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_next", F.lead("date", h).over(Window.orderBy("date")))
-        .select("date", "_next")
-    )
-    target = bars.select("code", F.col("date").alias("_next"), F.col(src).alias("_then"))
-    return (
-        bars.join(F.broadcast(cal), "date")  # at most one row per calendar date
-        .join(target, ["code", "_next"], "left")
-        .withColumn(f"fwd_{h}", div("_then", src) - 1.0)
-        .drop("_next", "_then")
-    )
+    cal = bars.groupBy("date").agg(F.count(F.lit(1)).alias("_n")).select(
+        "date", F.row_number().over(Window.orderBy("date")).alias("_i"))
+    w = Window.partitionBy("code").orderBy("_i")
+    return calendar_join(bars, cal, ["date"]).withColumns(
+        {name: F.max(src).over(w.rangeBetween(k, k)) for name, k in offsets.items()}
+    ).drop("_i")
+
+
+def calendar_forward_return(bars: DataFrame, h: int, src: str = "close") -> DataFrame:
+    """Return to the h-th later market date."""
+    return calendar_offsets(bars, {"_then": h}, src).withColumn(f"fwd_{h}", div("_then", src) - 1.0).drop("_then")
 
 
 def running_drawdown(c: str, w=None) -> Column:

@@ -28,10 +28,13 @@ class Ewm:
     alpha: float
     adjust: bool = False
     min_periods: int = 1
+    skip_null: bool = False  # True: null rows leave the weight alone
 
     def compute(self, cols: dict[str, pd.Series], ids: np.ndarray) -> pd.Series:
         grouped = cols[self.src].groupby(ids, sort=False)
-        smooth = grouped.ewm(alpha=self.alpha, adjust=self.adjust, min_periods=self.min_periods).mean()
+        smooth = grouped.ewm(
+            alpha=self.alpha, adjust=self.adjust, min_periods=self.min_periods, ignore_na=self.skip_null
+        ).mean()
         return smooth.droplevel(0).sort_index()
 
 
@@ -160,9 +163,9 @@ def macd_steps(src: str = "close", fast: int = 12, slow: int = 26, signal: int =
     ]
 
 
-def kdj_steps(src: str = "rsv", alpha_k: float = 1 / 3, alpha_d: float = 1 / 3) -> list[Step]:
+def kdj_steps(src: str = "rsv", alpha_k: float = 1 / 3, alpha_d: float = 1 / 3, skip_null: bool = False) -> list[Step]:
     return [
-        Ewm("k", src, alpha_k),
-        Ewm("d", "k", alpha_d),
+        Ewm("k", src, alpha_k, skip_null=skip_null),
+        Ewm("d", "k", alpha_d, skip_null=skip_null),
         Combine("j", lambda c: 3.0 * c["k"] - 2.0 * c["d"]),
     ]
