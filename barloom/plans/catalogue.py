@@ -1,4 +1,4 @@
 """Imports every plan module so that its queries are registered."""
 
-from barloom.plans import factor_plans, indicator_plans, join_plans  # noqa: F401
+from barloom.plans import factor_plans, indicator_plans, join_plans, table_plans  # noqa: F401
 from barloom.plans.registry import builders, sql_texts  # noqa: F401
