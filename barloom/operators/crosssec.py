@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import div
-from barloom.operators.ranking import average_rank, calendar_join, position, quantile_bucket, weighted_cells
+from barloom.operators.ranking import calendar_join, place, position, quantile_bucket, ranked
 
 
 def zscore(
@@ -35,42 +35,28 @@ def zscore(
 
 
 def rank_ic(
-    df: DataFrame, x: str, y: str, by: Sequence[str] = ("date",), *, min_obs: int = 5, min_distinct: int = 0
+    df: DataFrame, x: str, y: str, by: Sequence[str] = ("date",), *, min_obs: int = 5, min_distinct: int = 0,
+    bounded: bool = False,
 ) -> DataFrame:
     """Spearman correlation per group: by, ic, n_obs.
 
     Null below ``min_obs`` pairs, with no variance, or with fewer than
-    ``min_distinct`` different x values.
+    ``min_distinct`` different x values.  Two shuffles of the pairs: one per rank.
     """
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    # equal pairs weigh once: a hot pair costs one row
-    pairs = pairs.groupBy(*by, "_x", "_y").agg(F.count(F.lit(1)).alias("_n"))
-    rx = _cells(pairs, by, "_x", "_rx")
-    ry = _cells(pairs, by, "_y", "_ry")
-    ranked = pairs.join(rx, [*by, "_x"]).join(ry, [*by, "_y"])
-    n, a, b = F.col("_n"), F.col("_rx"), F.col("_ry")
-    sums = ranked.groupBy(*by).agg(
-        F.sum("_n").alias("n_obs"),
-        F.sum(n * a).alias("_sa"), F.sum(n * b).alias("_sb"),
-        F.sum(n * a * b).alias("_sab"), F.sum(n * a * a).alias("_saa"), F.sum(n * b * b).alias("_sbb"),
-        F.min("_rx").alias("_lox"), F.max("_rx").alias("_hix"), F.min("_ry").alias("_loy"), F.max("_ry").alias("_hiy"),
-        *([F.countDistinct("_x").alias("_dx")] if min_distinct else []),
-    )
-    m = F.col("n_obs")
-    cov = F.col("_sab") - F.col("_sa") * F.col("_sb") / m
-    vx = F.col("_saa") - F.col("_sa") * F.col("_sa") / m
-    vy = F.col("_sbb") - F.col("_sb") * F.col("_sb") / m
-    ok = (m >= min_obs) & (F.col("_lox") < F.col("_hix")) & (F.col("_loy") < F.col("_hiy"))
+    key = [c for c in ("code",) if c in df.columns] or df.columns
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+        *by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.xxhash64(*key).alias("_h"))
+    placed = place(pairs, by, ["_x", "_y"], bounded)
+    # one pass counts both rankings: at most (ranges x ranges) cells per group
+    cells = placed.groupBy(*by, "_range__x", "_range__y").agg(F.count(F.lit(1)).alias("_cnt"))
+    both = ranked(placed, by, "_x", "_rx", bounded, cells)
+    both = ranked(both, by, "_y", "_ry", bounded, cells)
+    ok = (F.count(F.lit(1)) >= min_obs) & (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
+    res = both.groupBy(*by).agg(F.when(ok, F.corr("_rx", "_ry")).alias("ic"), F.count(F.lit(1)).alias("n_obs"))
     if min_distinct:
-        ok = ok & (F.col("_dx") >= min_distinct)
-    return sums.select(*by, F.when(ok, cov / F.sqrt(vx * vy)).alias("ic"), "n_obs")
-
-
-def _cells(pairs: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
-    """Average rank per distinct value of weighted pairs."""
-    return weighted_cells(pairs, by, value, "_n").select(
-        *by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out)
-    )
+        few = pairs.groupBy(*by).agg(F.countDistinct("_x").alias("_dx"))
+        res = res.join(few, list(by)).withColumn("ic", F.when(F.col("_dx") >= min_distinct, F.col("ic"))).drop("_dx")
+    return res
 
 
 def ic_stats(ics: DataFrame, by: Sequence[str] = (), *, periods: int = 12) -> DataFrame:
@@ -89,8 +75,8 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str =
 
 def orthogonality(df: DataFrame, target: str, refs: Sequence[str], by: str = "date", min_obs: int = 5) -> DataFrame:
     """Per-period Spearman of the target against each reference factor, summarised."""
-    long = unpivot(df, [by, target], refs)
-    ics = rank_ic(long, target, "value", [by, "factor"], min_obs=min_obs)
+    long = unpivot(df, ["code", by, target], refs)
+    ics = rank_ic(long, target, "value", [by, "factor"], min_obs=min_obs, bounded=True)  # dates x listed factors
     return ics.where(F.col("ic").isNotNull()).groupBy("factor").agg(
         F.avg("ic").alias("rho_mean"), F.avg(F.abs("ic")).alias("rho_mean_abs"),
         F.max(F.abs("ic")).alias("rho_max_abs"), F.count(F.lit(1)).alias("n_periods"),
@@ -134,10 +120,10 @@ def long_short(df: DataFrame, factor: str, ret: str, *, by: str = "date", frac:
 
 def rank_z_combine(df: DataFrame, signs: dict[str, int], by: str = "date", out: str = "composite") -> DataFrame:
     """Average of signed z-scores (population std) of per-period average ranks."""
-    ranked = df
+    ranks = place(df, [by], list(signs))
     for c in signs:
-        ranked = average_rank(ranked, [by], c, f"_r_{c}")
-    z = zscore(ranked, [f"_r_{c}" for c in signs], by, ddof=0, prefix="_z", fill=False)
+        ranks = ranked(ranks, [by], c, f"_r_{c}")
+    z = zscore(ranks, [f"_r_{c}" for c in signs], by, ddof=0, prefix="_z", fill=False)
     parts = [F.col(f"_z_r_{c}") * float(s) for c, s in signs.items()]
     return z.withColumn(out, sum(parts[1:], parts[0]) / float(len(parts))).drop(
         *[f"_r_{c}" for c in signs], *[f"_z_r_{c}" for c in signs])

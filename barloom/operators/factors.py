@@ -45,6 +45,15 @@ def amplitude_imbalance(bars: DataFrame, *ns: int) -> DataFrame:
     return df.withColumns(outs).drop(*_MOVES)
 
 
+def price_action(bars: DataFrame, n: int) -> DataFrame:
+    """Amplitude imbalance and team coin over n bars from one set of moves."""
+    df = _moves(bars)
+    total = sum_n("_amp", n)
+    return df.withColumns({
+        f"amp_imb_{n}": F.when(total > 0, (sum_n("_up", n) - sum_n("_dn", n)) / total), f"team_coin_{n}": sum_n("_tc", n),
+    }).drop(*_MOVES)
+
+
 def team_coin(bars: DataFrame, *ns: int) -> DataFrame:
     """Sum of intraday return times overnight return over n bars."""
     df = _moves(bars)

@@ -1,15 +1,16 @@
 """Exact ranks, positions and quantiles of groups too large for one task.
 
 ``rank() over (partition by date order by x)`` hands a whole cross-section to
-one task.  Here a group is cut into value ranges instead:
-
-1. equal values are counted first (map-side combine, so a value shared by a
-   third of all rows is one row per task);
-2. approximate percentiles per group give the range borders.  They decide only
-   the balance, never the result;
-3. ranges are numbered by adding the counts of all lower ranges.
-
-Every step is a hash aggregation or a window over one small range.
+one task.  Here every group is cut into value ranges:
+
+1. approximate percentiles per group give border values.  They decide only the
+   balance, never the result;
+2. a row falls either strictly between two borders (even range) or exactly on
+   one (odd range).  A value shared by many rows is a border, so it has a range
+   of its own, and an open range holds about 1/RANGES of its group;
+3. range sizes, summed upwards, give the number of rows below a range; a window
+   ranks rows inside open ranges only.  Rows of an odd range are all equal: their
+   rank needs no window, so they are spread over tasks by a slice key.
 """
 
 from __future__ import annotations
@@ -21,19 +22,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RANGES = 32
+SLICES = 32
+
+
+def bounded_by_calendar(stats: DataFrame, keys: Sequence[str]) -> bool:
+    """True if the keys are one DATE column: at most one row per calendar day."""
+    types = {f.name: f.dataType for f in stats.schema.fields}
+    return len(keys) == 1 and isinstance(types[keys[0]], T.DateType)
 
 
-def calendar_join(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join of per-period statistics onto rows.
+def calendar_join(df: DataFrame, stats: DataFrame, keys: Sequence[str], *, bounded: bool = False) -> DataFrame:
+    """Left join of per-group statistics onto rows.
 
-    A statistics table keyed by DATE columns only has at most one row per
-    calendar day (tens of thousands of rows per century), so it is broadcast.
-    Any other key has no such bound: the choice is left to Spark, which
-    broadcasts by measured size and otherwise merges, splitting skewed keys.
+    Statistics keyed by one DATE column have at most one row per calendar day
+    (tens of thousands per century) and are broadcast, as are tables the caller
+    knows to be of that order (``bounded``: dates times a listed few names).
+    Otherwise Spark chooses: it broadcasts by measured size, or merges and
+    splits skewed keys.
     """
-    types = {f.name: f.dataType for f in stats.schema.fields}
-    dated = [k for k in keys if isinstance(types[k], T.DateType)]
-    if len(keys) == len(dated) == 1:
+    if bounded or bounded_by_calendar(stats, keys):
         stats = F.broadcast(stats)
     return df.join(stats, list(keys), "left")
 
@@ -42,108 +49,130 @@ def with_global(df: DataFrame, stats: DataFrame) -> DataFrame:
     """Attach the columns of a one-row table through a scalar subquery."""
     cols = stats.columns
     one = stats.select(F.struct(*cols).alias("_g")).scalar()
-    return df.withColumn("_g", one).withColumns({c: F.col("_g")[c] for c in cols}).drop("_g")
+    return df.withColumn("_g", one).select(*df.columns, *[F.col("_g")[c].alias(c) for c in cols])
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
-    return calendar_join(df, stats, by) if by else with_global(df, stats)
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], bounded: bool = False) -> DataFrame:
+    return calendar_join(df, stats, by, bounded=bounded) if by else with_global(df, stats)
+
+
+def _borders(value: str, ranges: int = RANGES) -> Column:
+    return F.array_distinct(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000))
 
 
 def _range_of(value: Column, borders: Column) -> Column:
-    """Number of borders below the value."""
-    return F.size(F.filter(borders, lambda b: b < value))
+    """2 x (borders below the value) + 1 if the value is a border."""
+    return (2 * F.size(F.filter(borders, lambda b: b < value)) + F.array_contains(borders, value).cast("int")).cast("int")
+
+
+def place(df: DataFrame, by: Sequence[str], values: Sequence[str], bounded: bool = False) -> DataFrame:
+    """Add ``_range_<v>`` for every value column; all borders come from one aggregation."""
+    stats = df.groupBy(*by).agg(*[_borders(v).alias(f"_b_{v}") for v in values])
+    cols = {f"_range_{v}": F.when(F.col(v).isNotNull(), _range_of(F.col(v), F.col(f"_b_{v}"))) for v in values}
+    return attach(df, stats, by, bounded).withColumns(cols).drop(*[f"_b_{v}" for v in values])
+
 
+def _below(placed: DataFrame, by: Sequence[str], cells: Sequence[str], *more: Column) -> DataFrame:
+    """Rows per range (``_size``) and in all lower ranges (``_below``); a few dozen rows per group."""
+    sizes = placed.where(F.col(cells[0]).isNotNull()).groupBy(*by, *cells).agg(F.count(F.lit(1)).alias("_size"), *more)
+    lower = Window.partitionBy(*by).orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn("_below", F.coalesce(F.sum("_size").over(lower), F.lit(0)))
 
-def value_cells(
-    df: DataFrame, by: Sequence[str], value: str, sub: Sequence[str] = (), ranges: int = RANGES
+
+def _spread_key(df: DataFrame) -> Column:
+    """A content hash: the same row gets the same slice when a task is run again."""
+    cols = [c for c in ("code", "_h") if c in df.columns] or df.columns
+    return F.pmod(F.xxhash64(*cols), F.lit(SLICES))
+
+
+def ranked(
+    placed: DataFrame, by: Sequence[str], value: str, out: str, bounded: bool = False, cells: DataFrame | None = None
 ) -> DataFrame:
-    """Distinct values per group with their counts and the count of all smaller ones.
+    """Average rank of a placed value column, appended as ``out``.
 
-    Columns: by, value, sub, ``n`` and ``before``.
+    ``cells`` may bring ready counts per (by, range) as column ``_cnt``.
     """
-    known = df.where(F.col(value).isNotNull())
-    return _numbered(known.groupBy(*by, value, *sub).agg(F.count(F.lit(1)).alias("n")), by, value, sub, ranges)
-
-
-def weighted_cells(df: DataFrame, by: Sequence[str], value: str, weight: str, ranges: int = RANGES) -> DataFrame:
-    """As ``value_cells`` for rows that already stand for ``weight`` equal rows."""
-    return _numbered(df.groupBy(*by, value).agg(F.sum(weight).alias("n")), by, value, (), ranges)
-
-
-def _numbered(cells: DataFrame, by: Sequence[str], value: str, sub: Sequence[str], ranges: int) -> DataFrame:
-    probs = [i / ranges for i in range(1, ranges)]
-    # borders from the distinct cells: they balance the work of the windows below
-    borders = cells.groupBy(*by).agg(F.percentile_approx(value, probs, 1000).alias("_borders"))
-    placed = (
-        attach(cells, borders, by)
-        .withColumn("_range", _range_of(F.col(value), F.col("_borders")))
-        .drop("_borders")
-    )
-    below = placed.groupBy(*by, "_range").agg(F.sum("n").alias("_m"))
-    upto = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    below = below.withColumn("_below", F.coalesce(F.sum("_m").over(upto), F.lit(0))).drop("_m")
-    inside = (
-        Window.partitionBy(*by, "_range").orderBy(value, *sub).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    placed = placed.withColumn("_inner", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    return (
-        placed.join(below, [*by, "_range"])
-        .withColumn("before", F.col("_below") + F.col("_inner"))
-        .drop("_range", "_below", "_inner")
-    )
-
-
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, ranges: int = RANGES) -> DataFrame:
-    """Average rank (1-based, ties share the mean) of ``value`` within ``by``."""
-    ranks = value_cells(df, by, value, ranges=ranges).select(
-        *by, value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranks, [*by, value], "left")
+    rng = f"_range_{value}"
+    if cells is None:
+        below = _below(placed, by, [rng])
+    else:
+        lower = Window.partitionBy(*by).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
+        below = cells.groupBy(*by, rng).agg(F.sum("_cnt").alias("_size")).withColumn("_below", F.coalesce(F.sum("_size").over(lower), F.lit(0)))
+    tied = (F.col(rng) % 2) == 1
+    df = attach_cells(placed, below, [*by, rng], bounded or not by or bounded_by_calendar(placed.select(*by), by))
+    # equal rows need no order: any split of them over tasks will do
+    df = df.withColumn("_slice", F.when(tied | F.col(rng).isNull(), _spread_key(placed)).otherwise(0))
+    w = Window.partitionBy(*by, rng, "_slice").orderBy(value)
+    inside = (F.rank().over(w) + F.count(F.lit(1)).over(w)) / 2.0  # lowest and highest rank of the ties
+    rank = F.when(tied, F.col("_below") + (F.col("_size") + 1) / 2.0).otherwise(F.col("_below") + inside)
+    return df.withColumn(out, F.when(F.col(rng).isNotNull(), rank)).drop(rng, "_size", "_below", "_slice")
+
+
+def attach_cells(df: DataFrame, cells: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
+    return df.join(F.broadcast(cells) if bounded else cells, list(keys), "left")
+
+
+def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, *, bounded: bool = False) -> DataFrame:
+    """Average rank (1-based, ties share the mean) of ``value`` within ``by``; null stays null."""
+    return ranked(place(df, by, [value], bounded), by, value, out, bounded)
 
 
 def position(
-    df: DataFrame, by: Sequence[str], value: str, tiebreak: str, out: str, total: str | None = None,
-    ranges: int = RANGES,
+    df: DataFrame, by: Sequence[str], value: str, tiebreak: str, out: str, total: str | None = None, *, bounded: bool = False
 ) -> DataFrame:
-    """1-based position in (value, tiebreak) order within ``by``.
+    """1-based position in (value, tiebreak) order within ``by``; rows without a value are dropped.
 
-    Rows sharing one value are split again by a range of the numeric form of
-    the tiebreak, so a heavily tied value does not gather in one task either.
+    Equal values (odd ranges) are cut again by ranges of the numeric form of
+    the tiebreak, so a heavily tied value does not gather in one task.
     """
-    tie = F.col(tiebreak).cast("double")
-    borders = df.agg(F.percentile_approx(tie, [i / ranges for i in range(1, ranges)], 1000).alias("_tb"))
-    marked = with_global(df, borders).withColumn("_slice", _range_of(tie, F.col("_tb"))).drop("_tb")
-    cells = value_cells(marked, by, value, ["_slice"], ranges).select(*by, value, "_slice", "before")
-    w = Window.partitionBy(*by, value, "_slice").orderBy(tiebreak)
-    known = marked.where(F.col(value).isNotNull()).withColumn("_in", F.row_number().over(w))
-    res = (
-        known.join(cells, [*by, value, "_slice"])
-        .withColumn(out, (F.col("before") + F.col("_in")).cast("bigint"))
-        .drop("before", "_in", "_slice")
-    )
+    known = df.where(F.col(value).isNotNull()).withColumn("_tie", F.col(tiebreak).cast("double"))
+    placed = place(known, by, [value], bounded)
+    ties = with_global(placed, known.agg(_borders("_tie", SLICES).alias("_tb")))
+    rng = f"_range_{value}"
+    placed = ties.withColumn("_slice", F.when(F.col(rng) % 2 == 1, _range_of(F.col("_tie"), F.col("_tb"))).otherwise(0)).drop("_tb", "_tie")
+    below = _below(placed, by, [rng, "_slice"]).drop("_size")
+    small = bounded or not by or bounded_by_calendar(placed.select(*by), by)
+    w = Window.partitionBy(*by, rng, "_slice").orderBy(value, tiebreak)
+    res = attach_cells(placed, below, [*by, rng, "_slice"], small)
+    res = res.withColumn(out, (F.col("_below") + F.row_number().over(w)).cast("bigint")).drop(rng, "_slice", "_below")
     if total:
-        sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias(total))
-        res = attach(res, sizes, by)
+        sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias(total))
+        res = attach(res, sizes, by, bounded)
     return res
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], ranges: int = RANGES) -> DataFrame:
-    """Exact linear-interpolated quantiles per group, one column per entry."""
-    cells = value_cells(df, by, value, ranges=ranges)
-    sizes = cells.groupBy(*by).agg(F.sum("n").alias("_size"))
-    cells = attach(cells, sizes, by)
-    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("n"))
-    aggs, outs = [], []
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], *, bounded: bool = False) -> DataFrame:
+    """Exact linear-interpolated quantiles per group, one column per entry.
+
+    Only the ranges that hold a wanted order statistic are sorted.
+    """
+    rng = f"_range_{value}"
+    placed = place(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], bounded)
+    below = _below(placed, by, [rng], F.min(value).alias("_min"))
+    total = F.sum("_size").over(Window.partitionBy(*by))
+    cells = below.withColumn("_n", total)
+    spots = []
+    for name, p in probs.items():
+        pos = (F.col("_n") - 1) * float(p)
+        for side, k in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            spots.append(F.struct(F.lit(f"{side}_{name}").alias("spot"), k.cast("bigint").alias("k")))
+    wanted = cells.withColumn("_spots", F.filter(F.array(*spots), lambda s: (F.col("_below") <= s["k"]) & (s["k"] < F.col("_below") + F.col("_size")))).where(F.size("_spots") > 0)
+    wanted = wanted.withColumnRenamed(rng, "_rng")
+    # odd ranges hold one value; open ranges are ordered
+    tied = wanted.where(F.col("_rng") % 2 == 1).select(*by, "_n", F.explode("_spots").alias("_s"), F.col("_min").alias("_v"))
+    open_ = wanted.where(F.col("_rng") % 2 == 0).select(*[F.col(b) for b in by], F.col("_rng").alias(rng), "_n", "_below", "_spots")
+    small = bounded or not by or bounded_by_calendar(placed.select(*by), by)
+    rows = placed.join(F.broadcast(open_) if small else open_, [*by, rng])
+    w = Window.partitionBy(*by, rng).orderBy(value)
+    rows = rows.withColumn("_k", F.col("_below") + F.row_number().over(w) - 1)
+    rows = rows.select(*by, "_n", F.explode(F.filter("_spots", lambda s: s["k"] == F.col("_k"))).alias("_s"), F.col(value).alias("_v"))
+    got = tied.unionByName(rows).groupBy(*by).agg(
+        F.max("_n").alias("_n"), *[F.max(F.when(F.col("_s.spot") == f"{s}_{n}", F.col("_v"))).alias(f"_{s}_{n}") for n in probs for s in ("lo", "hi")])
+    outs = []
     for name, p in probs.items():
-        pos = (F.col("_size") - 1) * float(p)
-        aggs += [
-            F.max(F.when(holds(F.floor(pos)), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(holds(F.ceil(pos)), F.col(value))).alias(f"_hi_{name}"),
-            F.max(pos - F.floor(pos)).alias(f"_w_{name}"),
-        ]
-        lo, hi, w = (F.col(f"_{k}_{name}") for k in ("lo", "hi", "w"))
-        outs.append((lo + (hi - lo) * w).alias(name))
-    return cells.groupBy(*by).agg(*aggs).select(*by, *outs)
+        pos = (F.col("_n") - 1) * float(p)
+        outs.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * (pos - F.floor(pos))).alias(name))
+    return got.select(*by, *outs)
 
 
 def quantile_bucket(position_col: str, total_col: str, k: int = 5) -> Column:
@@ -152,11 +181,10 @@ def quantile_bucket(position_col: str, total_col: str, k: int = 5) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.try_divide((pos - 1) * float(k), n - 1))).cast("int")
 
 
-def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int | Column, out: str = "rank") -> DataFrame:
+def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First k rows per group; the tie order must be complete.
 
     Spark keeps only k rows per group in every task before the shuffle.
     """
     w = Window.partitionBy(*by).orderBy(*order)
-    ranked = df.withColumn(out, F.row_number().over(w))
-    return ranked.where(F.col(out) <= k)
+    return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

@@ -19,9 +19,10 @@ a.close/lag(a.close,5) OVER (PARTITION BY a.code ORDER BY a.date)-1 AS mom,lead(
 
 def panel(t):
     """Four factors and the next-bar return, one window partitioning."""
-    b = A.amplitude_imbalance(t.bars_m, 5).withColumnRenamed("amp_imb_5", "amp")
-    b = A.team_coin(b, 5).withColumnRenamed("team_coin_5", "tc")
-    return b.select("code", "date", "close", "amp", "tc", change(F.col("volume").cast("double"), 5).alias("vc"), change("close", 5).alias("mom"), (div(lead("close"), "close") - 1.0).alias("fwd"))
+    b = A.price_action(t.bars_m, 5)
+    return b.select(
+        "code", "date", "close", F.col("amp_imb_5").alias("amp"), F.col("team_coin_5").alias("tc"),
+        change(F.col("volume").cast("double"), 5).alias("vc"), change("close", 5).alias("mom"), (div(lead("close"), "close") - 1.0).alias("fwd"))
 
 
 def rank_sql(x: str, by: str) -> str:
@@ -147,14 +148,14 @@ SCREEN_SQL = "sc AS (SELECT date,fwd,UNNEST(['amp','tc','vc','mom']) AS factor,U
 @query("ic_mass_screen", on_bars(f"SELECT factor,{SUMMARY} FROM fi WHERE ic IS NOT NULL GROUP BY factor", PANEL_SQL, SCREEN_SQL, ic_sql("fi", "sc", "value", "fwd", "date,factor")))
 def ic_mass_screen(t):
     """Many factors in long form against one return panel, in one job."""
-    long = C.unpivot(panel(t), ["date", "fwd"], ["amp", "tc", "vc", "mom"])
-    s = C.ic_stats(C.rank_ic(long, "value", "fwd", ["date", "factor"]), ["factor"])
+    long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
+    s = C.ic_stats(C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True), ["factor"])
     return s.select("factor", "n_periods", *[r(c).alias(c) for c in STAT_COLS])
 
 
 def half_screens(t):
-    long = C.unpivot(panel(t), ["date", "fwd"], ["amp", "tc", "vc", "mom"]).withColumn("late", F.col("date") >= "1998-06-01")
-    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"])
+    long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"]).withColumn("late", F.col("date") >= "1998-06-01")
+    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True)
     early = C.ic_stats(ics.where("date < '1998-06-01'"), ["factor"])
     return early, C.ic_stats(ics.where("date >= '1998-06-01'"), ["factor"])
 
@@ -172,8 +173,8 @@ def ic_screen_comparison(t):
 @query("ic_factor_month_matrix", on_bars("SELECT factor," + ",".join(f"{r6(f'avg(CASE WHEN year(date)={y} THEN ic END)')} AS y{y}" for y in range(1995, 2002)) + " FROM fi GROUP BY 1", PANEL_SQL, SCREEN_SQL, ic_sql("fi", "sc", "value", "fwd", "date,factor")))
 def ic_factor_month_matrix(t):
     """Factor x period matrix of mean IC over a given list of periods."""
-    long = C.unpivot(panel(t), ["date", "fwd"], ["amp", "tc", "vc", "mom"])
-    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"]).withColumn("y", F.concat(F.lit("y"), F.year("date").cast("string")))
+    long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
+    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True).withColumn("y", F.concat(F.lit("y"), F.year("date").cast("string")))
     years = [f"y{y}" for y in range(1995, 2002)]
     return ics.groupBy("factor").pivot("y", years).agg(F.avg("ic")).select("factor", *[r(y).alias(y) for y in years])
 
@@ -225,8 +226,8 @@ def ic_topk_and_ic(t):
 @query("ic_label_factors", on_bars("SELECT DISTINCT factor,CASE factor WHEN 'amp' THEN 'stable' WHEN 'vc' THEN 'volume_leak' WHEN 'mom' THEN 'spurious' ELSE 'unlabelled' END AS label FROM fi", PANEL_SQL, SCREEN_SQL, ic_sql("fi", "sc", "value", "fwd", "date,factor")))
 def ic_label_factors(t):
     labels = t.spark.createDataFrame([("amp", "stable"), ("amp", "derived"), ("vc", "volume_leak"), ("mom", "spurious"), ("mom", "derived")], "factor string, label string")
-    s = C.unpivot(panel(t), ["date", "fwd"], ["amp", "tc", "vc", "mom"])
-    screened = C.rank_ic(s, "value", "fwd", ["date", "factor"]).select("factor").distinct()
+    s = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
+    screened = C.rank_ic(s, "value", "fwd", ["date", "factor"], bounded=True).select("factor").distinct()
     return G.label_factors(screened, labels, ["stable", "spurious", "volume_leak", "derived"])
 
 
