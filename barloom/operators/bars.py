@@ -7,26 +7,31 @@ per (task, period).  After it, rows are unique on (code, date).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def sequence_key(day: Column, *parts: tuple[Column, int]) -> Column:
-    """Total order of trades packed into one DECIMAL.
+def _pack(parts: Sequence[tuple[Column, int]]) -> tuple[Column, int]:
+    """Non-negative integers of at most 18 digits in total as one BIGINT; a wider value raises."""
+    packed, width = F.lit(0).cast("bigint"), 0
+    for c, digits in parts:
+        fits = F.when((c >= 0) & (c < 10**digits), c.cast("bigint")).otherwise(F.raise_error(F.lit("sequence part too wide")).cast("bigint"))
+        packed, width = packed * F.lit(10**digits) + fits, width + digits
+    return packed, width
+
 
-    ``parts`` are (non-negative integer column, digits).  A DECIMAL ordering
-    keeps first/last inside a hash aggregate; a struct ordering would force a
-    sort of the raw trades.  A value wider than its digits raises under ANSI.
+def sequence_key(high: Sequence[tuple[Column, int]], low: Sequence[tuple[Column, int]]) -> Column:
+    """Total order of trades as one DECIMAL from two groups of (column, digits).
+
+    A DECIMAL ordering keeps first/last inside a hash aggregate; a struct
+    ordering would force a sort of the raw trades.
     """
-    key = F.unix_date(day).cast("decimal(7,0)")
-    width = 7
-    for c, digits in parts:
-        width += digits
-        if width > 38:
-            raise ValueError("sequence key is limited to 38 digits")
-        shift = F.lit("1" + "0" * digits).cast(f"decimal({digits + 1},0)")
-        key = (key * shift + c.cast(f"decimal({digits},0)")).cast(f"decimal({width},0)")
-    return key
+    (hi, hi_w), (lo, lo_w) = _pack(high), _pack(low)
+    if max(hi_w, lo_w) > 18:
+        raise ValueError("a group is limited to 18 digits")
+    return hi.cast(f"decimal({hi_w},0)") * F.lit(10**lo_w).cast(f"decimal({lo_w + 1},0)") + lo.cast(f"decimal({lo_w},0)")
 
 
 def to_bars(

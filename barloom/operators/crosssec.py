@@ -12,18 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import div
-from barloom.operators.ranking import calendar_join, place, position, quantile_bucket, ranked
+from barloom.operators.ranking import attach, place, position, quantile_bucket, ranked
 
 
 def zscore(
-    df: DataFrame, cols: Sequence[str], by: str = "date", *, ddof: int = 1, prefix: str = "z_", fill: bool = True
+    df: DataFrame, cols: Sequence[str], by: str | None = "date", *, ddof: int = 1, prefix: str = "z_", fill: bool = True
 ) -> DataFrame:
-    """z per date; no spread and (with ``fill``) missing values give 0."""
+    """z per date (or over all rows if ``by`` is None); no spread and (with ``fill``) missing values give 0."""
     std = F.stddev_samp if ddof == 1 else F.stddev_pop
     aggs = []
     for c in cols:
         aggs += [F.avg(c).alias(f"_m_{c}"), std(c).alias(f"_s_{c}")]
-    joined = calendar_join(df, df.groupBy(by).agg(*aggs), [by])
+    keys = [by] if by else []
+    joined = attach(df, df.groupBy(*keys).agg(*aggs), keys)
     outs = {}
     for c in cols:
         m, s = F.col(f"_m_{c}"), F.col(f"_s_{c}")

@@ -15,6 +15,7 @@ from barloom.operators import indicators as I
 from barloom.operators import recur as R
 from barloom.operators.joins import asof, densified, interval_sums
 from barloom.operators.ranking import attach, calendar_join, quantiles
+from barloom.sources.sinks import publish
 
 
 def _moves(bars: DataFrame) -> DataFrame:
@@ -257,9 +258,11 @@ def holder_features(reports: DataFrame, grid: DataFrame, *, keep: int = 6, max_a
         "change_3m": F.col("change_pct"), "change_6m": total(183), "change_12m": total(366),
         "age_days": F.coalesce(F.datediff("date", "_at"), F.lit(-1)),
     })
-    med = quantiles(df.where(F.col("avg_holding").isNotNull()), ["date"], "avg_holding", {"_med": 0.5})
+    # the medians read the joined rows several times: write them once, cut the lineage
+    df = publish(df.drop("hist"), "holders")
+    med = quantiles(df, ["date"], "avg_holding", {"_med": 0.5})
     df = calendar_join(df, med, ["date"])
-    return df.withColumn("concentration", 1.0 - div("avg_holding", "_med")).drop("change_pct", "hist", "_at", "_med")
+    return df.withColumn("concentration", 1.0 - div("avg_holding", "_med")).drop("change_pct", "_at", "_med")
 
 
 def quarterly_eps(fund: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Positions, profit and book curves from a trade log.
 
-The log has sym, date, action (BUY/SELL), price, shares and ``seq``, a total
-order within the symbol.  Everything that adds up is summed per (symbol, day)
+The log has sym, date, action (BUY/SELL), price, shares and ``seq``, which
+orders a symbol's trades of one day.  Everything that adds up is summed per (symbol, day)
 on the map side first, so later windows run on at most one row per symbol and
 day.  Only the rounded weighted-average cost depends on the order of single
 trades; it is folded in a stream, per holding episode.
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import div
 from barloom.operators.joins import asof
 from barloom.operators.ranking import with_global
+from barloom.sources.sinks import publish
 
 
 def is_buy() -> Column:
@@ -39,7 +40,7 @@ def prefix_sum(df: DataFrame, value: Column, out: str, *, key: str = "sym", date
     sums = marked.groupBy(key, "_b").agg(F.sum("_x").alias("_s"))
     before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inside = Window.partitionBy(key, "_b").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "_b").orderBy(date, seq).rowsBetween(Window.unboundedPreceding, -1)
     marked = marked.withColumn("_in", F.coalesce(F.sum("_x").over(inside), F.lit(0)))
     return marked.join(sums, [key, "_b"]).withColumn(out, F.col("_off") + F.col("_in")).drop("_b", "_x", "_off", "_in")
 
@@ -84,12 +85,13 @@ def positions(trades: DataFrame) -> DataFrame:
     A buy while flat or short restarts the average, so the log of a symbol
     falls apart into independent episodes; they are folded in parallel.
     """
-    held = prefix_sum(trades, signed_shares(), "held")
+    # every later step reads this once-written narrow table
+    log = publish(prefix_sum(trades.select("sym", "date", "seq", "action", "price", "shares"), signed_shares(), "held"), "held")
     restart = F.when(is_buy() & (F.col("held") <= 0), 1).otherwise(0)
-    ep = prefix_sum(held.withColumn("_restart", restart), F.col("_restart"), "_before").withColumn("episode", (F.col("_before") + F.col("_restart")).cast("bigint"))
+    ep = prefix_sum(log.withColumn("_restart", restart), F.col("_restart"), "_before").withColumn("episode", (F.col("_before") + F.col("_restart")).cast("bigint"))
     ordered = (
-        ep.where(F.col("action").isin("BUY", "SELL")).select("sym", "episode", "seq", is_buy().alias("buy"), "price", F.col("shares").cast("bigint"), F.col("held").cast("bigint"))
-        .repartition("sym", "episode").sortWithinPartitions("sym", "episode", "seq").drop("seq")
+        ep.where(F.col("action").isin("BUY", "SELL")).select("sym", "episode", "date", "seq", is_buy().alias("buy"), "price", F.col("shares").cast("bigint"), F.col("held").cast("bigint"))
+        .repartition("sym", "episode").sortWithinPartitions("sym", "episode", "date", "seq").drop("date", "seq")
     )
     folded = ordered.mapInArrow(_fold, _FOLD)
     costs = folded.groupBy("sym").agg(
@@ -97,14 +99,14 @@ def positions(trades: DataFrame) -> DataFrame:
         F.round(F.sum("realized"), 2).alias("realized_pnl"))
     sell = F.col("action") == "SELL"
     cents = F.round(F.col("shares") * F.col("price"), 2)
-    totals = trades.groupBy("sym").agg(
+    totals = log.groupBy("sym").agg(
         F.sum(signed_shares()).cast("bigint").alias("net_shares"),
         F.coalesce(F.sum(F.when(is_buy(), F.col("shares"))), F.lit(0)).alias("total_buy_shares"),
         F.coalesce(F.sum(F.when(sell, F.col("shares"))), F.lit(0)).alias("total_sell_shares"),
         F.round(F.coalesce(F.sum(F.when(is_buy(), cents)), F.lit(0.0)), 2).alias("total_buy_cost"),
         F.round(F.coalesce(F.sum(F.when(sell, cents)), F.lit(0.0)), 2).alias("total_sell_revenue"),
         F.max(F.when(is_buy(), F.col("date"))).alias("last_buy_date"), F.max(F.when(sell, F.col("date"))).alias("last_sell_date"),
-        F.max_by("date", "seq").alias("last_trade_date"), F.count(F.lit(1)).alias("trade_count"),
+        F.max("date").alias("last_trade_date"), F.count(F.lit(1)).alias("trade_count"),
     )
     n = F.col("net_shares")
     status = F.when(n > 0, "holding").when(n < 0, "short").when(F.col("total_buy_shares") > 0, "closed").otherwise("none")

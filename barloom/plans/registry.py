@@ -31,7 +31,7 @@ class Tables:
 
     @cached_property
     def trades(self) -> DataFrame:
-        """Trade log: returned lines sell, all others buy; ``seq`` is a total order."""
+        """Trade log: returned lines sell, all others buy; ``seq`` orders a symbol's trades of one day."""
         d = F.to_date("l_shipdate")
         return self.lineitem.select(
             F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("sym"),
@@ -39,7 +39,7 @@ class Tables:
             F.when(F.col("l_returnflag") == "R", "SELL").otherwise("BUY").alias("action"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.col("l_quantity").cast("bigint").alias("shares"),
-            trade_seq(d).alias("seq"),
+            F.struct("l_orderkey", "l_linenumber", "l_partkey").alias("seq"),
         )
 
     @cached_property
@@ -61,10 +61,7 @@ class Tables:
         """Daily bars per user from the event stream (volume = number of events)."""
         e = self.table("events")
         micros = F.unix_micros(F.col("ts").cast("timestamp"))
-        seq = (
-            micros.cast("decimal(20,0)") * F.lit(10**15).cast("decimal(16,0)")
-            + F.col("event_id").cast("decimal(15,0)")
-        )
+        seq = sequence_key([(micros, 18)], [(F.col("event_id"), 18)])
         return to_bars(
             e, code=F.col("user_id"), period=F.to_date("ts"), price=F.col("value"), seq=seq,
         )
@@ -94,9 +91,9 @@ class Tables:
 
 
 def trade_seq(day):
+    """Order of trades: day, order, line, part."""
     return sequence_key(
-        day, (F.col("l_orderkey"), 15), (F.col("l_linenumber"), 2), (F.col("l_partkey"), 14)
-    )
+        [(F.unix_date(day), 5), (F.col("l_orderkey"), 13)], [(F.col("l_linenumber"), 3), (F.col("l_partkey"), 15)])
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:

@@ -210,7 +210,7 @@ vo AS (SELECT code,round(least(bull,1)::DOUBLE,2) AS b,CASE WHEN risk>0 THEN rou
 
 def debated(t):
     m = A.pick_metrics(t.bars_m)
-    z = C.zscore(m.withColumn("one", F.lit("1970-01-01").cast("date")), ["vol_ratio", "ret_1"], "one", fill=False)
+    z = C.zscore(m, ["vol_ratio", "ret_1"], None, fill=False)
     x = z.select("code", F.col("z_vol_ratio").alias("z_pred"), F.col("z_ret_1").alias("z_amp"), (F.col("ret_1") / 10.0).alias("amp_imb"), "ma5", "ma20", "last_close", "ret_1", "vol_ratio",
                  F.col("ma20").alias("rec_price"), (F.col("ma5") * 0.9).alias("stop_loss"))
     return D.debate(x)

@@ -79,10 +79,10 @@ def proj_validate_trades(t):
     """Rejected rows with their reasons (limits shifted so that real rows violate them)."""
     x = t.trades.withColumns({"price": F.lit(90000.0) - F.col("price") + 1e-9, "shares": F.lit(49) - F.col("shares")})
     _, bad = B.split_valid(x, B.trade_rules())
-    w = Window.partitionBy("sym").orderBy("seq")
-    num = t.trades.select("sym", "seq", F.row_number().over(w).alias("n"))
+    w = Window.partitionBy("sym").orderBy("date", "seq")
+    num = t.trades.select("sym", "date", "seq", F.row_number().over(w).alias("n"))
     has = lambda e: F.when(F.array_contains("errors", e), F.lit(e))
-    return bad.join(num, ["sym", "seq"]).select("sym", "date", F.col("n").cast("bigint").alias("seq"), has("bad_price").alias("e1"), has("bad_shares").alias("e2"))
+    return bad.join(num, ["sym", "date", "seq"]).select("sym", "date", F.col("n").cast("bigint").alias("seq"), has("bad_price").alias("e1"), has("bad_shares").alias("e2"))
 
 
 @query("proj_bar_contract", on_bars("SELECT CAST(count(*) FILTER (WHERE n>1) AS BIGINT) AS duplicate_keys,count(*) FILTER (WHERE n>1)=0 AS ok FROM (SELECT code,date,count(*) AS n FROM bars GROUP BY 1,2)"))
@@ -356,7 +356,7 @@ def agg_histogram(t):
 def agg_trade_summary(t):
     return t.trades.groupBy("sym").agg(
         F.count_if(F.col("action") == "BUY").alias("n_buy"), F.count_if(F.col("action") == "SELL").alias("n_sell"),
-        F.max_by("action", "seq").alias("last_action"), F.max("date").alias("last_date"), F.min_by("action", "seq").alias("first_action"))
+        F.max_by("action", F.struct("date", "seq")).alias("last_action"), F.max("date").alias("last_date"), F.min_by("action", F.struct("date", "seq")).alias("first_action"))
 
 
 @query("agg_two_table_counts", "SELECT 'orders' AS tbl,count(*) AS n FROM orders UNION ALL SELECT 'lineitem',count(*) FROM lineitem")

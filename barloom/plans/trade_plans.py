@@ -73,10 +73,10 @@ def position_book_totals(t):
 g AS (SELECT sym,date FROM (SELECT DISTINCT sym FROM tr) CROSS JOIN (SELECT DISTINCT date FROM cl)),
 v AS (SELECT g.sym,g.date,sum(ds) OVER w AS q,last_value(close IGNORE NULLS) OVER w AS c FROM g LEFT JOIN fl USING (sym,date) LEFT JOIN cl USING (sym,date) WINDOW w AS (PARTITION BY g.sym ORDER BY g.date)),
 mv AS (SELECT date,sum(coalesce(q*c,0)) AS m FROM v GROUP BY 1),cc AS (SELECT date,-sum(sum(dc)) OVER (ORDER BY date) AS b FROM fl GROUP BY 1)""") +
-       f"SELECT date,{r6('m', 2)} AS market_value,{r6('b', 2)} AS cost_basis,{r6('m-b', 2)} AS pnl FROM mv JOIN cc USING (date)")
+       f"SELECT date,{r6('m', 0)} AS market_value,{r6('b', 0)} AS cost_basis,{r6('m-b', 0)} AS pnl FROM mv JOIN cc USING (date)")
 def position_book_curve(t):
     c = P.book_curve(log(t), closes(t))
-    return c.select("date", *[r(x, 2).alias(x) for x in ("market_value", "cost_basis", "pnl")])
+    return c.select("date", *[r(x, 0).alias(x) for x in ("market_value", "cost_basis", "pnl")])
 
 
 NAV_SQL = """st AS (SELECT *,CASE WHEN action='BUY' THEN 100 ELSE -100 END AS s FROM tr),
@@ -87,9 +87,9 @@ v AS (SELECT g.sym,g.date,last_value(q IGNORE NULLS) OVER w AS q,last_value(clos
 nav AS MATERIALIZED (SELECT date,100000+k+m AS nav FROM (SELECT date,sum(coalesce(q*c,0)) AS m FROM v GROUP BY 1) JOIN (SELECT date,sum(sum(CASE WHEN action='BUY' THEN -price ELSE price END*100)) OVER (ORDER BY date) AS k FROM tr GROUP BY 1) USING (date))"""
 
 
-@query("position_nav_series", with_(LOG_SQL, CLOSE_SQL, NAV_SQL, recursive=True) + f"SELECT date,{r6('nav', 2)} AS nav FROM nav")
+@query("position_nav_series", with_(LOG_SQL, CLOSE_SQL, NAV_SQL, recursive=True) + f"SELECT date,{r6('nav', 0)} AS nav FROM nav")
 def position_nav_series(t):
-    return P.nav_series(log(t), closes(t)).select("date", r("nav", 2).alias("nav"))
+    return P.nav_series(log(t), closes(t)).select("date", r("nav", 0).alias("nav"))
 
 
 @query("position_replay_curve", with_(LOG_SQL, CLOSE_SQL, f"""ac AS (SELECT sym,date,bool_or(action='BUY') AS h FROM tr GROUP BY 1,2),
@@ -102,9 +102,9 @@ def position_replay_curve(t):
 
 @query("position_daily_pnl", with_(LOG_SQL, CLOSE_SQL, """ql AS (SELECT sym,date,sum(sum(CASE WHEN action='BUY' THEN 1 ELSE -1 END)) OVER (PARTITION BY sym ORDER BY date) AS q FROM tr GROUP BY 1,2),
 dl AS (SELECT sym,date,close-lag(close) OVER (PARTITION BY sym ORDER BY date) AS dc FROM cl)""") +
-       f"SELECT date,{r6('sum(CASE WHEN q>0 THEN q*dc*100 ELSE 0 END)', 3)} AS pnl FROM (SELECT d.sym,d.date,d.dc,a.q FROM dl d ASOF LEFT JOIN ql a ON a.sym=d.sym AND d.date>a.date WHERE dc IS NOT NULL) GROUP BY 1")
+       f"SELECT date,{r6('sum(CASE WHEN q>0 THEN q*dc*100 ELSE 0 END)', 0)} AS pnl FROM (SELECT d.sym,d.date,d.dc,a.q FROM dl d ASOF LEFT JOIN ql a ON a.sym=d.sym AND d.date>a.date WHERE dc IS NOT NULL) GROUP BY 1")
 def position_daily_pnl(t):
-    return P.daily_pnl(log(t), closes(t)).select("date", r("pnl", 3).alias("pnl"))
+    return P.daily_pnl(log(t), closes(t)).select("date", r("pnl", 0).alias("pnl"))
 
 
 @query("position_action_items", pos_sql(f"""SELECT sym,kind,CASE kind WHEN 'stop_breached' THEN 0 WHEN 'near_stop' THEN 1 WHEN 'new_recommendation' THEN 2 ELSE 3 END AS priority FROM (SELECT sym,CASE WHEN net_shares>0 AND close<st THEN 'stop_breached' WHEN net_shares>0 AND close<st*1.05 THEN 'near_stop'
@@ -136,7 +136,7 @@ def cost_rows(t):
 def cost_breakdown(t):
     rows = cost_rows(t)
     d = K.with_costs(rows, symbol="symbol")
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("sym").orderBy("seq")).cast("bigint"))
+    d = d.withColumn("n", F.row_number().over(Window.partitionBy("sym").orderBy("date", "seq")).cast("bigint"))
     return d.select("sym", F.col("n").alias("seq"), r("filled_price").alias("filled_price"), *[r(c, 5).alias(c) for c in ("commission", "stamp_duty", "transfer_fee", "total_fees")], r("slippage_cost", 4).alias("slippage_cost"), r("net_amount", 4).alias("net_amount"))
 
 
