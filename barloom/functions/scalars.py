@@ -114,11 +114,8 @@ def first_of_list(c: Column, sep: str = "|") -> Column:
 
 
 def valuation_tag(pe: Column) -> Column:
-    """Ladder at PE 35 / 25 / 15 / 0."""
-    return (
-        F.when(pe.isNull(), "n/a").when(pe > 35, "expensive").when(pe > 25, "high").when(pe > 15, "fair")
-        .when(pe > 0, "cheap").otherwise("loss")
-    )
+    """Ladder at PE 35 / 25 / 15 / 0; unknown or negative earnings give "?"."""
+    return F.when(pe > 35, "高估").when(pe > 25, "略高").when(pe > 15, "合理").when(pe > 0, "低估").otherwise("?")
 
 
 def limit_threshold(c: Column, *, normal: float = 0.095, wide: float = 0.195, wide_prefix: str = "^(SH688|SZ300)") -> Column:

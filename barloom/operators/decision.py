@@ -10,6 +10,8 @@ from barloom.operators import indicators as I
 from barloom.operators.ranking import top_k, with_global
 from barloom.operators.signals import SLACK, THRESHOLD, VOTE_WEIGHTS, fusion_inputs, vote_score, votes
 
+# Trend labels.
+RISING, FALLING = "上升", "下降"
 INDICATORS = ["ma5", "ma10", "ma20", "ma60", "rsi", "k", "d", "j", "dif", "dea", "hist", "boll_upper", "boll_mid", "boll_lower", "atr"]
 THREE_DIGITS = {"dif", "dea", "hist"}
 
@@ -42,7 +44,7 @@ def _decision() -> list[Column]:
         F.col("code"), F.col("date"), r2(px).alias("price"), r2((px / F.col("_prev") - 1.0) * 100.0).alias("change_pct"),
         sig.alias("signal"), F.round(b, 3).alias("buy_score"), F.round(s, 3).alias("sell_score"),
         F.struct(*[F.col(f"v_{n.lower()}").alias(n) for n in VOTE_WEIGHTS]).alias("votes"),
-        F.when(up, "up").otherwise("down").alias("trend_ma60"), r2((px / F.col("ma60") - 1.0) * 100.0).alias("above_ma60_pct"),
+        F.when(up, RISING).otherwise(FALLING).alias("trend_ma60"), r2((px / F.col("ma60") - 1.0) * 100.0).alias("above_ma60_pct"),
         F.struct(*[F.round(c, 3 if c in THREE_DIGITS else 2).alias(c) for c in INDICATORS]).alias("indicators"),
         F.when(buy | sell, F.array(r2(low), r2(px * 1.005))).alias("entry_range"),
         side(px - 1.8 * a, px + 1.8 * a).alias("stop_loss"), side(px + 2.0 * a, px - 2.0 * a).alias("target_1"),
@@ -68,12 +70,12 @@ def breadth(scan: DataFrame, members: DataFrame, group: str) -> DataFrame:
     mean = lambda c: F.try_divide(F.sum(F.col(c) * w), F.sum(w))
     return j.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), *[pct(F.col("signal") == s).alias(f"{s.lower()}_pct") for s in ("BUY", "SELL", "HOLD")],
-        pct(F.col("trend_ma60") == "up").alias("uptrend_pct"), mean("change_pct").alias("w_chg"), mean("buy_score").alias("w_buy"), mean("sell_score").alias("w_sell"))
+        pct(F.col("trend_ma60") == RISING).alias("uptrend_pct"), mean("change_pct").alias("w_chg"), mean("buy_score").alias("w_buy"), mean("sell_score").alias("w_sell"))
 
 
 def ranking(scan: DataFrame, side: str = "BUY", n: int = 20) -> DataFrame:
     """Best decisions of one side: score, up-trend first, RSI ascending (mirrored for SELL)."""
-    up = F.when(F.col("trend_ma60") == "up", 0).otherwise(1)
+    up = F.when(F.col("trend_ma60") == RISING, 0).otherwise(1)
     rsi = F.col("indicators.rsi")
     if side == "BUY":
         order = [F.desc("buy_score"), up.asc(), rsi.asc(), F.asc("code")]

@@ -42,7 +42,7 @@ def trade_rules() -> dict[str, Column]:
         "bad_action": ~F.col("action").isin("BUY", "SELL"),
         "bad_price": F.col("price") <= 0,
         "bad_shares": F.col("shares") <= 0,
-        "bad_date": ~F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") | F.col("date").cast("string").try_cast("date").isNull(),
+        "bad_date": F.col("date").isNotNull() & (~F.col("date").cast("string").rlike(r"^\d{4}-\d{2}-\d{2}$") | F.col("date").cast("string").try_cast("date").isNull()),
         "bad_symbol": ~F.col("sym").rlike(r"^(SH|SZ|BJ)?\d{6}$"),
     }
 

@@ -152,7 +152,7 @@ def signal_multi_fusion(t):
 
 LAST_SQL = f"""la AS (SELECT *,row_number() OVER ({W}) AS nn,lag(close) OVER ({W}) AS pc,{full_sql('avg', 'close', 5)} AS ma5,{full_sql('avg', 'close', 60)} AS ma60,max(date) OVER (PARTITION BY code) AS md FROM vs),
 de AS MATERIALIZED (SELECT *,CASE WHEN bs+1e-9>=0.5 AND bs>ss THEN 'BUY' WHEN ss+1e-9>=0.5 AND ss>bs THEN 'SELL' ELSE 'HOLD' END AS signal,coalesce(close>ma60,false) AS upt FROM la WHERE date=md)"""
-DEC_COLS = """code,date,round(close,2) AS price,round((close/pc-1)*100,2) AS change_pct,signal,round(bs,3) AS buy_score,round(ss,3) AS sell_score,v_bias,v_macd,v_kdj,v_rsi,v_boll,CASE WHEN upt THEN 'up' ELSE 'down' END AS trend_ma60,
+DEC_COLS = """code,date,round(close,2) AS price,round((close/pc-1)*100,2) AS change_pct,signal,round(bs,3) AS buy_score,round(ss,3) AS sell_score,v_bias,v_macd,v_kdj,v_rsi,v_boll,CASE WHEN upt THEN '上升' ELSE '下降' END AS trend_ma60,
 round(rsi,2) AS rsi,round(dif,3)+0.0 AS dif,round(CASE signal WHEN 'BUY' THEN close-1.8*atr WHEN 'SELL' THEN close+1.8*atr END,2) AS stop_loss,round(CASE signal WHEN 'BUY' THEN close+2*atr WHEN 'SELL' THEN close-2*atr END,2) AS target_1,
 round(CASE signal WHEN 'BUY' THEN close+3.5*atr WHEN 'SELL' THEN close-3.5*atr END,2) AS target_2,round(CASE signal WHEN 'BUY' THEN least(close,ma5)*0.995 WHEN 'SELL' THEN close*0.995 END,2) AS entry_low,
 CAST(CASE WHEN signal='BUY' THEN (CASE WHEN bs>=0.65 THEN 15 ELSE 10 END)+(CASE WHEN upt THEN 5 ELSE 0 END) ELSE 0 END AS INTEGER) AS suggested_position_pct"""

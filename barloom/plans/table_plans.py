@@ -276,7 +276,7 @@ def scalar_split_first(t):
     return t.table("part").select("p_partkey", S.first_of_list(F.replace("p_type", F.lit(" "), F.lit("|"))).alias("head"))
 
 
-@query("scalar_valuation_tag", on_bars("SELECT code,date,CASE WHEN pe IS NULL THEN 'n/a' WHEN pe>35 THEN 'expensive' WHEN pe>25 THEN 'high' WHEN pe>15 THEN 'fair' WHEN pe>0 THEN 'cheap' ELSE 'loss' END AS tag FROM (SELECT code,date,close/nullif(volume,0)/5-2 AS pe FROM bars)"))
+@query("scalar_valuation_tag", on_bars("SELECT code,date,CASE WHEN pe>35 THEN '高估' WHEN pe>25 THEN '略高' WHEN pe>15 THEN '合理' WHEN pe>0 THEN '低估' ELSE '?' END AS tag FROM (SELECT code,date,close/nullif(volume,0)/5-2 AS pe FROM bars)"))
 def scalar_valuation_tag(t):
     return t.bars_m.select("code", "date", S.valuation_tag(F.try_divide("close", "volume") / 5.0 - 2.0).alias("tag"))
 
@@ -352,6 +352,13 @@ def agg_histogram(t):
     return h.select("bin", "n", r("lo").alias("lo"))
 
 
+@query("agg_topk_cutoff", on_bars(f"SELECT date,{r6('min(amount)', 3)} AS cutoff,count(*) AS n FROM (SELECT *,row_number() OVER (PARTITION BY date ORDER BY amount DESC,code) AS k FROM bars) WHERE k<=8 GROUP BY 1"))
+def agg_topk_cutoff(t):
+    """Score of the last row that makes the top K."""
+    top = top_k(t.bars_m, ["date"], [F.desc("amount"), F.asc("code")], 8)
+    return top.groupBy("date").agg(r(F.min("amount"), 3).alias("cutoff"), F.count(F.lit(1)).alias("n"))
+
+
 @query("agg_trade_summary", with_(TRADES_SQL) + "SELECT sym,count(*) FILTER (WHERE action='BUY') AS n_buy,count(*) FILTER (WHERE action='SELL') AS n_sell,arg_max(action,seq) AS last_action,max(date) AS last_date,arg_min(action,seq) AS first_action FROM trades GROUP BY 1")
 def agg_trade_summary(t):
     return t.trades.groupBy("sym").agg(
