@@ -12,6 +12,7 @@ from barloom.operators import indicators as I
 from barloom.operators.ranking import top_k
 from barloom.plans.join_plans import amp_sql, z_sql
 from barloom.plans.registry import BARS_D_SQL, W, on_bars, query, r, r6, with_
+from barloom.sources.sinks import publish
 
 PANEL_SQL = amp_sql(5) + f""",ff AS MATERIALIZED (SELECT a.code,a.date,a.close,a.amp_imb AS amp,a.team_coin AS tc,volume/CAST(lag(volume,5) OVER (PARTITION BY a.code ORDER BY a.date) AS DOUBLE)-1 AS vc,
 a.close/lag(a.close,5) OVER (PARTITION BY a.code ORDER BY a.date)-1 AS mom,lead(a.close,1) OVER (PARTITION BY a.code ORDER BY a.date)/a.close-1 AS fwd FROM amp a)"""
@@ -154,8 +155,9 @@ def ic_mass_screen(t):
 
 
 def half_screens(t):
-    long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"]).withColumn("late", F.col("date") >= "1998-06-01")
-    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True)
+    """Screens before and after mid-1998; the correlations (dates x factors) are written once and read twice."""
+    long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
+    ics = publish(C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True), "ics")
     early = C.ic_stats(ics.where("date < '1998-06-01'"), ["factor"])
     return early, C.ic_stats(ics.where("date >= '1998-06-01'"), ["factor"])
 
