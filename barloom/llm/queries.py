@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import language, quality
+from barloom.llm import html_text, language, mixing, quality
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
@@ -42,6 +42,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
+@query("op4_html")
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = read(spark, sf_dir, "pages").select("page_id", "url", html_text.extract("html").alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -49,3 +55,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = fold("doc_id", 3) == 1
     out = docs.select("doc_id", held.alias("held_out"), language.predict(model).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query("op10_mixing", mixing.MIX_SQL)
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
