@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import html_text, language, mixing, quality
+from barloom.llm import exact, html_text, language, mixing, quality, token_counts
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
+VOCABULARY = "byte_bpe_50k.json"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    """Path of the public tokenizer file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         _QUERIES[name] = fn
@@ -42,6 +50,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_CUT).cast("int"))
 
 
+@query("op2_tokens")
+def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op4_html")
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "pages").select("page_id", "url", html_text.extract("html").alias("text"))
@@ -57,6 +70,11 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
 
 
+@query("op7_exact", exact.EXACT_SQL)
+def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.assign(read(spark, sf_dir, "documents"))
+
+
 @query("op10_mixing", mixing.MIX_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
