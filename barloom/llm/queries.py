@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, html_text, language, mixing, quality, token_counts
+from barloom.llm import exact, html_text, language, mixing, packing, quality, token_counts
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
@@ -75,6 +75,11 @@ def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.assign(read(spark, sf_dir, "documents"))
 
 
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
+
+
 @query("op10_mixing", mixing.MIX_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
