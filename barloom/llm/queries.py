@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, html_text, language, mixing, packing, quality, token_counts
+from barloom.llm import exact, html_text, language, minhash, mixing, packing, quality, token_counts
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
@@ -55,6 +55,11 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op3_minhash")
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 @query("op4_html")
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = read(spark, sf_dir, "pages").select("page_id", "url", html_text.extract("html").alias("text"))
