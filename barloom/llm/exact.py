@@ -1,6 +1,6 @@
 """Exact duplicates, combined in three steps so that no group meets in one task.
 
-1. Locally: inside an Arrow batch, texts equal after deleting ASCII white space
+1. Locally: inside a slice of an Arrow batch, texts equal after deleting ASCII white space
    share a leader, found by digest and then by comparing the content.
 2. Salted: leaders meet by (digest, salt) and full content; one leader of each
    salt's group goes on.
@@ -31,8 +31,8 @@ def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def _leaders(digest: Callable[[bytes], str]):
-    """Arrow pass (id, text) -> rows with their leader; leaders carry what their group needs."""
+def _leaders(digest: Callable[[bytes], str], chunk: int = 2000):
+    """Arrow pass (id, text) -> rows with their leader among ``chunk`` rows; leaders carry what their group needs."""
     schema = pa.schema([
         ("id", pa.int64()), ("row", pa.int64()), ("lead", pa.int64()), ("digest", pa.string()), ("content", pa.binary()),
         ("n", pa.int64()), ("members", pa.int64())])
@@ -40,17 +40,16 @@ def _leaders(digest: Callable[[bytes], str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         row = (TaskContext.get().partitionId() << 36) - 1
-        for batch in batches:
+        for batch in (b.slice(i, chunk) for b in batches for i in range(0, b.num_rows, chunk)):
             ids = batch.column(0).to_pylist()
-            texts = batch.column(1).to_pylist()
             groups: dict[tuple[str, bytes], list] = {}
             out = {k: [None] * len(ids) for k in ("row", "lead", "digest", "content", "n", "members")}
             first = row + 1
-            for i, t in enumerate(texts):
+            for i, t in enumerate(batch.column(1)):
                 row += 1
-                t = t or ""
+                t = t.as_py() or ""
                 bare = t.encode("utf-8", "replace").translate(None, _DELETE)
-                key = (digest(bare), bare)
+                key = (digest(bare), pack(bare))
                 rank = (-len(t), ids[i] is None, ids[i] or 0, row)
                 g = groups.get(key)
                 if g is None:
@@ -59,11 +58,11 @@ def _leaders(digest: Callable[[bytes], str]):
                     g[0] = min(g[0], rank)
                     g[1].append(i)
                 out["row"][i] = row
-            for (d, bare), (best, members) in groups.items():
+            for (d, content), (best, members) in groups.items():
                 for i in members:
                     out["lead"][i] = best[3]
                 j = best[3] - first
-                out["digest"][j], out["content"][j], out["n"][j], out["members"][j] = d, pack(bare), -best[0], len(members)
+                out["digest"][j], out["content"][j], out["n"][j], out["members"][j] = d, content, -best[0], len(members)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64())] + [pa.array(out[f.name], f.type) for f in list(schema)[1:]], schema=schema)
 
