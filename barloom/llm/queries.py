@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, html_text, language, minhash, mixing, packing, quality, token_counts
+from barloom.llm import exact, html_text, language, minhash, mixing, multi_index, packing, quality, token_counts
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
@@ -66,6 +66,11 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query("op5_vectors")
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op6_language")
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
