@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
+_MARKED: set[str] = set()
+
 
 def build_session(app: str = "barloom", cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """Local session for tests and benches; a cluster brings its own session."""
@@ -28,13 +31,27 @@ def build_session(app: str = "barloom", cores: str = "*", shuffle_partitions: in
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests, laptops) a temporary folder is
-    made and recorded, so that later calls agree on it.
+    Where the session names none, a local session (tests, laptops) gets a
+    temporary folder, recorded so that later calls agree on it.  On a cluster
+    that is an error: each executor would write to a disk of its own.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def work_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables; the file system deletes it when the driver ends."""
+    path = f"{shared_dir(spark)}/barloom-{spark.sparkContext.applicationId}"
+    if path not in _MARKED:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _MARKED.add(path)
+    return path

@@ -14,18 +14,29 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalars import add_prefix
 from barloom.operators.tables import split_valid, trade_rules
-from barloom.session import shared_dir
+from barloom.session import work_dir
+
+#: Spark deletes an execution's shuffle files when it ends; a published table needs them no more.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def publish(df: DataFrame, name: str) -> DataFrame:
     """Write to a fresh directory and return the table read back (cuts the lineage)."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEAN)
+        else:
+            spark.conf.set(CLEAN, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def replace_slices(df: DataFrame, path: str, partition: str) -> None:
