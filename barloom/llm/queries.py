@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, html_text, language, minhash, mixing, multi_index, packing, quality, token_counts
+from barloom.llm import exact, html_text, language, minhash, mixing, multi_index, packing, phrases, quality, token_counts
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
@@ -90,6 +90,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary())
 
 
+@query("op9_phrases")
+def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.remove_repeats(read(spark, sf_dir, "documents")).drop("kept_text")
+
+
 @query("op10_mixing", mixing.MIX_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
