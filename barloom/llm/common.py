@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.sources.sinks import publish
+
 SPACE = "\x20\x09-\x0d"  # ASCII white space, as in the contracts' word pattern
 WORD = re.compile(f"[^{SPACE}]+")
 _ASCII_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
@@ -31,3 +33,19 @@ def input_tasks(df: DataFrame, per_task: int, rows: int) -> int:
     """Number of shuffle tasks so that each gets about ``per_task`` of ``rows`` rows."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(floor, -(-rows // per_task))
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id: str, text: str) -> DataFrame:
+    """Rows of ``docs`` that ``decided`` (id, text_hash, kept) keeps, unchanged.
+
+    Rows are found again by id and text.  Of rows equal in both, of which some
+    are kept and some dropped, one is kept.
+    """
+    per = publish(decided.groupBy(F.col(id).alias("_k"), F.col("text_hash").alias("_h")).agg(
+        F.count(F.lit(1)).alias("_n"), F.sum(F.col("kept").cast("int")).alias("_kept")).where("_kept < _n"), "dropped")
+    same = F.col(id).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
+    stay = docs.join(per, same, "left_anti")
+    some = per.where("_kept > 0")
+    if some.isEmpty():
+        return stay
+    return stay.unionByName(docs.join(some, same, "left_semi").dropDuplicates([id, text]))

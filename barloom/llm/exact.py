@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import keep_rows
 from barloom.sources.sinks import publish
 
 _DELETE = b" \t\n\x0b\x0c\r"
@@ -34,7 +35,7 @@ def sha256(data: bytes) -> str:
 def _leaders(digest: Callable[[bytes], str], chunk: int = 2000):
     """Arrow pass (id, text) -> rows with their leader among ``chunk`` rows; leaders carry what their group needs."""
     schema = pa.schema([
-        ("id", pa.int64()), ("row", pa.int64()), ("lead", pa.int64()), ("digest", pa.string()), ("content", pa.binary()),
+        ("id", pa.int64()), ("text_hash", pa.int64()), ("row", pa.int64()), ("lead", pa.int64()), ("digest", pa.string()), ("content", pa.binary()),
         ("n", pa.int64()), ("members", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +65,13 @@ def _leaders(digest: Callable[[bytes], str], chunk: int = 2000):
                 j = best[3] - first
                 out["digest"][j], out["content"][j], out["n"][j], out["members"][j] = d, content, -best[0], len(members)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64())] + [pa.array(out[f.name], f.type) for f in list(schema)[1:]], schema=schema)
+                [batch.column(0), batch.column(2)] + [pa.array(out[f.name], f.type) for f in list(schema)[2:]], schema=schema)
 
     return run
 
 
 def assign(docs: DataFrame, *, id: str = "doc_id", text: str = "text", salts: int = 16, digest: Callable[[bytes], str] = sha256) -> DataFrame:
-    """Group every row: (id, keep_id, group_size, kept, text_sha256, n_points).
+    """Group every row: (id, text_hash, keep_id, group_size, kept, text_sha256).
 
     Null texts are empty, and empty texts are equal.  Of a group the row with
     the most code points, then the smallest id, stays; null ids come last and
@@ -78,8 +79,8 @@ def assign(docs: DataFrame, *, id: str = "doc_id", text: str = "text", salts: in
     exactly one row.  An empty table gives an empty result.
     """
     ids = F.col(id).cast("long").alias("id")
-    rows = publish(docs.select(ids, F.col(text).alias("text")).mapInArrow(
-        _leaders(digest), "id long, row long, lead long, digest string, content binary, n long, members long"), "exact-rows")
+    rows = publish(docs.select(ids, F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        _leaders(digest), "id long, text_hash long, row long, lead long, digest string, content binary, n long, members long"), "exact-rows")
 
     best = [F.col("n").desc(), F.col("id").asc_nulls_last(), F.col("row")]
     frame = (Window.unboundedPreceding, Window.unboundedFollowing)
@@ -88,7 +89,7 @@ def assign(docs: DataFrame, *, id: str = "doc_id", text: str = "text", salts: in
         w = Window.partitionBy(*keys, "content").orderBy(*best).rowsBetween(*frame)
         return df.withColumns({"top": F.first("row").over(w), "top_id": F.first("id").over(w), "total": F.sum("members").over(w)})
 
-    leaders = rows.where("row = lead").drop("lead").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
+    leaders = rows.where("row = lead").drop("lead", "text_hash").withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     salted = merged(leaders, "digest", "salt")
     salted = publish(salted.select(
         "row", "top", "digest", "id", "n", F.col("total").alias("members"),
@@ -96,32 +97,13 @@ def assign(docs: DataFrame, *, id: str = "doc_id", text: str = "text", salts: in
     final = merged(salted.where("row = top").drop("top"), "digest").select(
         F.col("row").alias("top"), F.col("top").alias("keep_row"), F.col("top_id").alias("keep_id"), F.col("total").alias("group_size"), "digest")
     by_lead = salted.select(F.col("row").alias("lead"), "top").join(final, "top")
-    return rows.select("id", "row", "lead").join(by_lead, "lead").select(
-        F.col("id").alias(id), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
+    return rows.select("id", "text_hash", "row", "lead").join(by_lead, "lead").select(
+        F.col("id").alias(id), "text_hash", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.col("digest").alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", salts: int = 16) -> DataFrame:
-    """The rows of ``docs`` that stay, unchanged.
-
-    Rows are found again by id.  Where an id has both kept and dropped rows (a
-    repeated id, or null), content decides: one row per (id, content) whose
-    content keeps that id.
-    """
-    cols = docs.columns
-    groups = publish(assign(docs, id=id, text=text, salts=salts), "exact-groups")
-    dropped = groups.where(~F.col("kept")).select(F.col(id).alias("_k")).distinct()
-    both = groups.where("kept").select(F.col(id).alias("_k")).join(dropped.withColumnRenamed("_k", "_d"), F.col("_k").eqNullSafe(F.col("_d")), "left_semi").distinct()
-    stay = docs.join(dropped, F.col(id).eqNullSafe(F.col("_k")), "left_anti")
-    if both.isEmpty():
-        return stay
-    both = publish(both, "exact-repeated")
-    bare = F.sha2(F.encode(F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", ""), "utf-8"), 256)
-    w = Window.partitionBy(id, "_sha").orderBy(F.length(F.coalesce(text, F.lit(""))).desc(), text)
-    again = docs.join(both, F.col(id).eqNullSafe(F.col("_k")), "left_semi").withColumn("_sha", bare)
-    again = again.withColumn("_n", F.row_number().over(w)).where("_n = 1")
-    keeps = groups.where("kept").select(F.col(id).alias("_k"), F.col("text_sha256").alias("_s"))
-    again = again.join(keeps, F.col(id).eqNullSafe(F.col("_k")) & (F.col("_sha") == F.col("_s")), "left_semi")
-    return stay.unionByName(again.select(*cols))
+    """The rows of ``docs`` that stay, with all their columns."""
+    return keep_rows(docs, assign(docs, id=id, text=text, salts=salts), id, text)
 
 
 EXACT_SQL = r"""

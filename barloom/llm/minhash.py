@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import input_tasks
+from barloom.llm.common import input_tasks, keep_rows
 from barloom.llm.components import connected_components
 from barloom.sources.sinks import publish
 
@@ -96,7 +96,7 @@ def minima(found: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _sets(p: MinHash):
-    schema = pa.schema([("id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("minima", pa.binary()), ("words", pa.binary())])
+    schema = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("minima", pa.binary()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(p.seed)
@@ -112,7 +112,7 @@ def _sets(p: MinHash):
                 s = shingles(words, p.words, known)
                 for col, v in zip(out, (row, len(s), xxhash.xxh3_128_digest(s.tobytes()), minima(s, a, b).tobytes() if len(s) else None, pack(b" ".join(words)) if len(s) else None), strict=True):
                     col.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, f.type) for c, f in zip(out, list(schema)[1:], strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2)] + [pa.array(c, f.type) for c, f in zip(out, list(schema)[2:], strict=True)], schema=schema)
 
     return run
 
@@ -225,7 +225,7 @@ def _between(p: MinHash):
 
 
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", params: MinHash | None = None) -> DataFrame:
-    """Components of similar rows: (id, n_shingles, component_id, kept).
+    """Components of similar rows: (id, text_hash, n_shingles, component_id, kept).
 
     The component id is the smallest id in it and that row is kept (the first
     of rows that share it).  Null and blank texts have no shingles and link
@@ -233,12 +233,12 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     id and keeps one row.  An empty table gives an empty result.
     """
     p = params or MinHash()
-    rows = publish(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        _sets(p), "id long, row long, n long, digest binary, minima binary, words binary"), "minhash-rows")
+    rows = publish(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(
+        _sets(p), "id long, text_hash long, row long, n long, digest binary, minima binary, words binary"), "minhash-rows")
     total = rows.count()
-    small = rows.select("id", "row", "n", "digest")
+    small = rows.select("id", "text_hash", "row", "n", "digest")
     first = small.where("n > 0").groupBy("digest").agg(F.min("row").alias("first"))
-    member = publish(small.join(first, "digest", "left").select("id", "row", "n", F.coalesce("first", "row").alias("first")), "minhash-members")
+    member = publish(small.join(first, "digest", "left").select("id", "text_hash", "row", "n", F.coalesce("first", "row").alias("first")), "minhash-members")
     copies = member.where("row <> first").select(F.col("row").alias("u"), F.col("first").alias("v"))
     heads = member.where("n > 0 and row = first").select("row")
 
@@ -273,7 +273,12 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
         comp = publish(comp, "minhash-components")
 
     out = member.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    out = publish(out.select("id", "row", "n", "component"), "minhash-labels")
+    out = publish(out.select("id", "text_hash", "row", "n", "component"), "minhash-labels")
     low = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top"))
     return out.join(low.select("component", "component_id", F.col("top.row").alias("top")), "component").select(
-        F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("top")).alias("kept"))
+        F.col("id").alias(id), "text_hash", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("top")).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id: str = "doc_id", text: str = "text", params: MinHash | None = None) -> DataFrame:
+    """One row of each component, with all its columns."""
+    return keep_rows(docs, near_duplicates(docs, id=id, text=text, params=params), id, text)

@@ -11,13 +11,15 @@ first.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from barloom.llm.common import SPACE
+from barloom.llm.common import SPACE, WORD
 from barloom.sources.sinks import publish
 
 WEIGHTS = (5, 2, 1)
@@ -90,6 +92,42 @@ def mix(
     return placed.select(F.col("id").alias(id), "text_hash", "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"))
 
 
+def _first_words(text: Column, n: Column) -> Column:
+    """Text up to the end of its n-th word; null stays null."""
+
+    @F.pandas_udf("string")
+    def cut(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        out = []
+        for t, k in zip(texts, counts, strict=True):
+            out.append(None if t is None else t[:next(itertools.islice(WORD.finditer(t), int(k) - 1, None)).end()])
+        return pd.Series(out, dtype=object)
+
+    return cut(text, n)
+
+
+def take(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", **options) -> DataFrame:
+    """The mix itself, with all columns of ``docs``: a row for each epoch of a document.
+
+    A document that the budget cuts ends behind the last word taken, and
+    ``n_chars`` is counted again.  Documents without words are left out.
+    """
+    plan = mix(docs, id=id, text=text, **options).where("taken > 0").groupBy(F.col(id).alias("_k"), F.col("text_hash").alias("_h")).agg(
+        F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
+    # Equal rows share what was taken of them; one of them carries it.
+    rows = docs.join(publish(plan, "mix-plan"), F.col(id).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h")))
+    several = rows.where("_rows > 1")
+    rows = rows.where("_rows = 1").unionByName(several.dropDuplicates([id, text])) if not several.isEmpty() else rows
+    epochs, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
+    copies = F.concat(F.array_repeat(F.lit(0), epochs), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
+    rows = rows.withColumn("_cut", F.explode(copies))
+    part = _first_words(F.when(F.col("_cut") > 0, F.col(text)), F.col("_cut"))
+    rows = rows.withColumn("_part", part)
+    changed = {text: F.coalesce("_part", text)}
+    if n_chars in docs.columns:
+        changed[n_chars] = F.when(F.col("_part").isNull(), F.col(n_chars)).otherwise(F.length("_part").cast("long"))
+    return rows.withColumns(changed).select(*docs.columns)
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce('0'||source, '1') AS k, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,

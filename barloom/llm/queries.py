@@ -57,7 +57,7 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op4_html")
@@ -82,7 +82,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_exact", exact.EXACT_SQL)
 def op7_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact.assign(read(spark, sf_dir, "documents"))
+    return exact.assign(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 @query("op8_packing")
