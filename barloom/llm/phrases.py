@@ -6,10 +6,13 @@ earlier, in a document with a smaller id or before in the same one.
 1. Anchors.  Every window holds the smallest-hashed of its short runs of words.
    Equal windows have equal anchors, so only windows whose anchor occurs twice
    can be repeats.  One anchor covers about seven windows.
-2. Passages.  Runs of windows with one such anchor are cut out as passages;
-   equal passages are combined before anything else, with their first place.
-3. Confirmation.  Windows of distinct passages are counted by fingerprint; those
-   that occur twice are the phrases to look for, each with its first place.
+2. Passages.  Runs of windows with one such anchor are cut out as passages and
+   equal passages are combined.  All but the first occurrence of a passage are
+   repeats throughout.
+3. Confirmation.  What is left are first occurrences that share only some
+   windows: passages that differ but have one anchor, and passages that repeat
+   themselves.  Their windows are counted by fingerprint; those that occur twice
+   are the phrases to look for, each with its first place.
 4. Automata.  Phrases are sharded by anchor and compiled into Aho-Corasick
    automata over words, a bounded number in each; the passages of a shard are
    streamed through.  The automaton compares the words themselves, so
@@ -110,16 +113,17 @@ def _documents(w: Windows):
 
 
 def _passages(w: Windows):
-    """Arrow pass (place, words, anchors) -> passages (at, key, anchor, words)."""
-    schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("anchor", pa.int64()), ("words", pa.binary())])
+    """Arrow pass (place, words, anchors) -> passages (at, key, anchor, size, inner, words); inner: has a window twice."""
+    schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("anchor", pa.int64()), ("size", pa.int32()), ("inner", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = _WordHash(), zstandard.ZstdDecompressor().decompress
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            cols: list[list] = [[] for _ in schema]
             for i in range(b.num_rows):
                 words = unpack(b.column(1)[i].as_py()).split(b" ")
-                anchors, _ = window_anchors(hashes(words, known), w)
+                h = hashes(words, known)
+                anchors, at = window_anchors(h, w)
                 wanted = b.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 hit = np.isin(anchors, wanted)
                 edge = np.ones(len(hit) + 1, bool)
@@ -129,7 +133,8 @@ def _passages(w: Windows):
                 for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if hit[s]:
                         text = b" ".join(words[s:e + w.words - 1])
-                        for c, v in zip(cols, (base + s, xxhash.xxh3_128_digest(text), int(anchors[s:s + 1].view(np.int64)[0]), text), strict=True):
+                        inner = bool(at[s] != at[e - 1]) and len(np.unique(fingerprints(h[s:e + w.words - 1], w.words))) < e - s
+                        for c, v in zip(cols, (base + s, xxhash.xxh3_128_digest(text), int(anchors[s:s + 1].view(np.int64)[0]), e - s + w.words - 1, inner, text), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
@@ -137,19 +142,19 @@ def _passages(w: Windows):
 
 
 def _windows(w: Windows):
-    """Arrow pass (at, times, words) of passages -> their distinct windows (print, at, place, times)."""
-    names = ["print", "at", "place", "times"]
+    """Arrow pass (at, words) of passages -> their distinct windows (print, at, place, inner)."""
+    names = ["print", "at", "place", "inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _WordHash()
         for b in batches:
             found, starts, places, counts = [], [], [], []
-            for at, times, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for at, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 value, first, n = np.unique(fingerprints(hashes(text.as_py().split(b" "), known), w.words), return_index=True, return_counts=True)
                 found.append(value.view(np.int64))
                 starts.append(at + first)
                 places.append(np.full(len(first), at))
-                counts.append(n * times)
+                counts.append(n > 1)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, starts, places, counts)], names=names)
 
@@ -169,13 +174,13 @@ def intervals(starts: list[int], width: int) -> list[int]:
 
 def _locate(w: Windows):
     """Arrow pass over (shard, block, lot) groups: phrases compiled, passages streamed; covered intervals of passages."""
-    schema = pa.schema([("at", pa.int64()), ("first", pa.list_(pa.int32())), ("later", pa.list_(pa.int32()))])
+    schema = pa.schema([("at", pa.int64()), ("first", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         for g in runs(batches, 3):
-            at, times = g.column("at").to_pylist(), g.column("times").to_pylist()
+            at = g.column("at").to_pylist()
             texts, offsets = g.column("words"), g.column("offsets")
             number: dict[bytes, int] = {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
@@ -191,17 +196,14 @@ def _locate(w: Windows):
             if not stream or not len(automaton):
                 continue
             automaton.make_automaton()
-            cols: list[list] = [[], [], []]
+            cols: list[list] = [[], []]
             for i in stream:
                 ids = tuple([number.get(x, 0) for x in texts[i].as_py().split(b" ")])
-                hits = [(e - w.words + 1, place) for e, place in automaton.iter(ids)]
-                if not hits:
-                    continue
-                later = intervals([s for s, _ in hits], w.words) if times[i] > 1 else []
+                hits = ((e - w.words + 1, place) for e, place in automaton.iter(ids))
                 first = intervals([s for s, place in hits if place != at[i] + s], w.words)
-                if first or later:
-                    for c, v in zip(cols, (at[i], first, later), strict=True):
-                        c.append(v)
+                if first:
+                    cols[0].append(at[i])
+                    cols[1].append(first)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -252,13 +254,16 @@ def remove_repeats(
     found = publish(found, "phrase-anchors").join(publish(order, "phrase-order"), "row")
     held = publish(rows.select("row", "words").join(found, "row"), "phrase-candidates")
 
-    seen = publish(held.select("place", "words", "anchors").mapInArrow(_passages(w), "at long, key binary, anchor long, words binary"), "passages")
-    same = seen.groupBy("key").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("times"))
-    places = publish(seen.select("at", "key").join(same, "key").select("at", "head", "times"), "passage-places")
-    passages = publish(seen.join(places.where("at = head").select("at", "times"), "at").select("at", "anchor", "times", "words"), "passage-heads")
+    seen = publish(held.select("place", "words", "anchors").mapInArrow(
+        _passages(w), "at long, key binary, anchor long, size int, inner boolean, words binary"), "passages")
+    same = seen.groupBy("key").agg(F.min("at").alias("head"))
+    places = publish(seen.select("at", "key", "size").join(same, "key").select("at", "size", "head"), "passage-places")
+    heads = publish(seen.select("at", "anchor", "inner").join(places.where("at = head").select("at"), "at"), "passage-heads")
+    several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor")
+    passages = publish(seen.select("at", "words").join(heads.join(several, "anchor").select("at", "anchor"), "at"), "passages-mixed")
 
-    window = publish(passages.select("at", "times", "words").mapInArrow(_windows(w), "print long, at long, place long, times long"), "passage-windows")
-    first = window.groupBy("print").agg(F.min("at").alias("at"), F.sum("times").alias("n")).where("n > 1").select("at")
+    window = publish(passages.select("at", "words").mapInArrow(_windows(w), "print long, at long, place long, inner boolean"), "passage-windows")
+    first = window.groupBy("print").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("at")
     wanted = first.join(window.select("at", "place"), "at").groupBy("place").agg(F.sort_array(F.collect_list((F.col("at") - F.col("place")).cast("int"))).alias("offsets"))
     phrase = publish(passages.join(wanted.withColumnRenamed("place", "at"), "at"), "phrases")
 
@@ -269,17 +274,17 @@ def remove_repeats(
         passages.groupBy(shard).agg(F.ceil(F.count(F.lit(1)) / lot).cast("int").alias("lots")), "shard")
     block, part = F.pmod(F.xxhash64("at"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64("at", F.lit(1)), F.col("lots")).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = phrase.select(shard, "at", "times", "words", "offsets").join(sizes, "shard").select(
-        "shard", block.alias("block"), all_of("lots").alias("lot"), "at", "times", "words", "offsets")
-    right = passages.select(shard, "at", "times", "words").join(sizes, "shard").select(
-        "shard", all_of("blocks").alias("block"), part.alias("lot"), "at", "times", "words", F.lit(None).cast("array<int>").alias("offsets"))
+    left = phrase.select(shard, "at", "words", "offsets").join(sizes, "shard").select(
+        "shard", block.alias("block"), all_of("lots").alias("lot"), "at", "words", "offsets")
+    right = passages.select(shard, "at", "words").join(sizes, "shard").select(
+        "shard", all_of("blocks").alias("block"), part.alias("lot"), "at", "words", F.lit(None).cast("array<int>").alias("offsets"))
     unit = ["shard", "block", "lot"]
     hits = left.unionByName(right).repartition(max(tasks, min(shards, 4 * tasks)), *unit).sortWithinPartitions(*unit)
-    covers = publish(hits.mapInArrow(_locate(w), "at long, first array<int>, later array<int>").withColumnRenamed("at", "head"), "phrase-hits")
+    hits = publish(hits.mapInArrow(_locate(w), "at long, first array<int>"), "phrase-hits")
 
-    cover = F.when(F.col("at") == F.col("head"), F.col("first")).otherwise(F.col("later"))
-    covered = places.join(covers, "head").select(
-        F.shiftright("at", PLACE).alias("place"), F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("start"), cover.alias("cover")).where(F.size("cover") > 0)
+    again = places.where("at <> head").select("at", F.array(F.lit(0), F.col("size")).alias("cover"))
+    covered = again.unionByName(hits.select("at", F.col("first").alias("cover"))).select(
+        F.shiftright("at", PLACE).alias("place"), F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("start"), "cover")
     covered = covered.groupBy("place").agg(F.collect_list(F.struct("start", "cover")).alias("covers"))
     changed = held.select("row", "place", "words").join(covered, "place").select("row", "words", "covers").mapInArrow(
         _drop(), "row long, n_removed long, kept string")
