@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     Loops and repeated edges are allowed, null ends are not edges; without
     edges the result is empty.
     """
-    e = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where(F.col(u).isNotNull() & F.col(v).isNotNull())
+    both = edges.where(F.col(u).isNotNull() & F.col(v).isNotNull())
+    e = both.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v"))
     alone = e.where("u = v").select(F.col("u").alias("node"), F.col("u").alias("component"))
     e = publish(e.where("u <> v").distinct(), "edges")
     before = _mark(e)

@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
 
     out = member.join(comp.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
     out = publish(out.select("id", "text_hash", "row", "n", "component"), "minhash-labels")
-    low = out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top"))
+    low = publish(out.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top")), "minhash-heads")
     return out.join(low.select("component", "component_id", F.col("top.row").alias("top")), "component").select(
         F.col("id").alias(id), "text_hash", F.col("n").alias("n_shingles"), "component_id", (F.col("row") == F.col("top")).alias("kept"))
 

@@ -269,6 +269,6 @@ def near_vectors(
     else:
         member = member.select("id", "row", F.lit(0).cast("long").alias("n_links"), F.col("head").alias("component"))
     member = publish(member, "vector-labels")
-    low = member.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top"))
+    low = publish(member.groupBy("component").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("top")), "vector-heads")
     return member.join(low.select("component", "component_id", F.col("top.row").alias("top")), "component").select(
         F.col("id").alias(id), "n_links", "component_id", (F.col("row") == F.col("top")).alias("kept"))
