@@ -38,6 +38,7 @@ MARKS = frozenset(
     "popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored "
     "subscribe toolbar widget".split())
 _TOKEN = re.compile(r"[a-z0-9]+")
+_OPEN = re.compile(r"</?[a-zA-Z!]")
 
 
 class _Lines(HTMLParser):
@@ -125,6 +126,9 @@ def main_text(html: str | None, sigma: float = 1.0, majority: float = 0.6) -> st
     """Blocks of the content region, one blank line between two; empty if there is none."""
     if not html:
         return ""
+    last = html.rfind("<")
+    if last > html.rfind(">") and _OPEN.match(html, last):
+        html = html[:last]  # a tag that the end of the page cuts off
     parser = _Lines()
     parser.feed(html)
     parser.close()
