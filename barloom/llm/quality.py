@@ -78,17 +78,40 @@ def _dictionary(texts: list[str], size: int, block: int, most: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 40) -> np.ndarray:
-    """Newton steps of ridge-penalised logistic regression."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+    """Ridge-penalised logistic regression; the first column of ``x`` is the constant and is not penalised.
+
+    Newton steps are halved until the penalised loss falls, so that nearly
+    separable labels cannot make them diverge.
+    """
+    shift, scale = x.mean(0), x.std(0)
+    shift[0], scale = 0.0, np.where(scale > 0, scale, 1.0)
+    z = (x - shift) / scale
+    pull = np.full(x.shape[1], ridge)
+    pull[0] = 1e-6
+
+    def loss(w: np.ndarray) -> float:
+        m = z @ w
+        return float(np.logaddexp(0, m).sum() - y @ m + 0.5 * (pull * w * w).sum())
+
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
-        w = w + step
-        if np.abs(step).max() < 1e-9:
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        h = (z * (p * (1 - p))[:, None]).T @ z + np.diag(pull)
+        step = np.linalg.solve(h, z.T @ (y - p) - pull * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, abs(now)):
             break
-    return w
+    out = w / scale
+    out[0] -= (w / scale * shift)[1:].sum()
+    return out
 
 
 def fit(
@@ -142,7 +165,7 @@ def fit(
         fitted = sample.mapInPandas(measure, "k long, y int, d double, r double").collect()
     fitted.sort(key=lambda r: (r.k, r.y, r.d, r.r))
     x = _terms(np.array([r.d for r in fitted]), np.array([r.r for r in fitted]))
-    return QualityModel(good, bad, tuple(map(float, _logistic(x, np.array([r.y for r in fitted], float)))), block, level)
+    return QualityModel(good, bad, tuple(map(float, logistic(x, np.array([r.y for r in fitted], float)))), block, level)
 
 
 def score(model: QualityModel, text: str | Column = "text") -> Column:

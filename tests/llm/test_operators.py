@@ -238,6 +238,17 @@ def test_quality_separates_held_out_documents(spark, odd, none):
     assert none.select(quality.score(model)).count() == 0
 
 
+def test_calibration_of_separable_labels_is_finite_and_right():
+    rng = np.random.default_rng(3)
+    for gap in (0.0, 0.5, 5.0):
+        d, r = rng.normal(size=400), rng.normal(-1, 0.01, 400)
+        y = (d + rng.normal(size=400) * (gap == 0) > 0).astype(float)
+        x = quality._terms(d * 1e-3 + gap * 1e-3 * y, r)
+        w = quality.logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+        assert np.isfinite(w).all() and ((p > 0.5) == y).mean() > (0.7 if gap == 0 else 0.98)
+
+
 def test_quality_without_labels(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert odd.select(quality.score(quality.fit(odd, labels)).alias("s")).distinct().collect() == [(0.5,)]
