@@ -16,6 +16,7 @@ alike in short and in long texts; every byte is compressed.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,7 +79,7 @@ def _dictionary(texts: list[str], size: int, block: int, most: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> np.ndarray:
     """Ridge-penalised logistic regression; the first column of ``x`` is the constant and is not penalised.
 
     Newton steps are halved until the penalised loss falls, so that nearly
@@ -116,7 +117,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60)
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, id: str = "doc_id", text: str = "text", label: str = "quality",
-    per_class: int = 1500, calibration: int = 3000, dictionary: int = 112640, block: int = 8192, level: int = 3,
+    per_class: int = 1500, calibration: int = 3000, dictionary: int = 112640, block: int = 2048, level: int = 3,
     train_bytes: int = 32 << 20,
 ) -> QualityModel:
     """Learn from a bounded sample of labelled documents.
@@ -146,7 +147,7 @@ def fit(
     sample = docs.select(F.col(id).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(ids), "k")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("k")
+        pdf = pdf.iloc[np.argsort([zlib.crc32(str(k).encode()) for k in pdf["k"]], kind="stable")]  # mixed: neighbours by id may be alike
         return pd.DataFrame({"y": [int(pdf["y"].iloc[0])], "d": [_dictionary(list(pdf["t"]), dictionary, block, train_bytes)]})
 
     made = {r.y: bytes(r.d) for r in sample.where("dictionary").groupBy("y").applyInPandas(train, "y int, d binary").collect()}
