@@ -37,7 +37,6 @@ def zscore(
 
 def rank_ic(
     df: DataFrame, x: str, y: str, by: Sequence[str] = ("date",), *, min_obs: int = 5, min_distinct: int = 0,
-    bounded: bool = False,
 ) -> DataFrame:
     """Spearman correlation per group: by, ic, n_obs.
 
@@ -47,11 +46,11 @@ def rank_ic(
     key = [c for c in ("code",) if c in df.columns] or df.columns
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.xxhash64(*key).alias("_h"))
-    placed = place(pairs, by, ["_x", "_y"], bounded)
+    placed = place(pairs, by, ["_x", "_y"])
     # one pass counts both rankings: at most (ranges x ranges) cells per group
     cells = placed.groupBy(*by, "_range__x", "_range__y").agg(F.count(F.lit(1)).alias("_cnt"))
-    both = ranked(placed, by, "_x", "_rx", bounded, cells)
-    both = ranked(both, by, "_y", "_ry", bounded, cells)
+    both = ranked(placed, by, "_x", "_rx", cells)
+    both = ranked(both, by, "_y", "_ry", cells)
     ok = (F.count(F.lit(1)) >= min_obs) & (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))
     res = both.groupBy(*by).agg(F.when(ok, F.corr("_rx", "_ry")).alias("ic"), F.count(F.lit(1)).alias("n_obs"))
     if min_distinct:
@@ -77,7 +76,7 @@ def unpivot(df: DataFrame, keys: Sequence[str], cols: Sequence[str], name: str =
 def orthogonality(df: DataFrame, target: str, refs: Sequence[str], by: str = "date", min_obs: int = 5) -> DataFrame:
     """Per-period Spearman of the target against each reference factor, summarised."""
     long = unpivot(df, ["code", by, target], refs)
-    ics = rank_ic(long, target, "value", [by, "factor"], min_obs=min_obs, bounded=True)  # dates x listed factors
+    ics = rank_ic(long, target, "value", [by, "factor"], min_obs=min_obs)
     return ics.where(F.col("ic").isNotNull()).groupBy("factor").agg(
         F.avg("ic").alias("rho_mean"), F.avg(F.abs("ic")).alias("rho_mean_abs"),
         F.max(F.abs("ic")).alias("rho_max_abs"), F.count(F.lit(1)).alias("n_periods"),

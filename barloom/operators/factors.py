@@ -14,7 +14,7 @@ from barloom.functions.frames import (
 from barloom.operators import indicators as I
 from barloom.operators import recur as R
 from barloom.operators.joins import asof, densified, interval_sums
-from barloom.operators.ranking import attach, calendar_join, quantiles
+from barloom.operators.ranking import calendar_join, global_quantiles, quantiles, with_global
 from barloom.sources.sinks import publish
 
 
@@ -140,12 +140,11 @@ def realized_vol(bars: DataFrame, *ns: int) -> DataFrame:
 
 
 def clip_quantiles(df: DataFrame, cols: Sequence[str], lo: float = 0.005, hi: float = 0.995) -> DataFrame:
-    """Clip each column at its own exact global quantiles."""
-    for c in cols:
-        q = quantiles(df, [], c, {"_lo": lo, "_hi": hi})
-        df = attach(df, q, [])
-        df = df.withColumn(c, F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col("_hi")), F.col("_lo")))).drop("_lo", "_hi")
-    return df
+    """Clip each column at its own exact global quantiles, all taken from the unclipped rows in one pass."""
+    sides = {f"_{side}_{c}": (c, p) for c in cols for side, p in (("lo", lo), ("hi", hi))}
+    clipped = with_global(df, global_quantiles(df, sides))
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c), F.col(f"_hi_{c}")), F.col(f"_lo_{c}")))
+    return clipped.withColumns({c: cut(c) for c in cols}).drop(*sides)
 
 
 def max_returns(bars: DataFrame, n: int = 20, short: int = 5, top: int = 5) -> DataFrame:

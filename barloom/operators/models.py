@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,15 +57,30 @@ def picker(df: DataFrame, features: Sequence[str], *, share: float = 0.5, rounds
     return pred.withColumn("ensemble", F.col("probability") * F.col("momentum"))
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], label: str, months: Sequence, *, train: int = 12, gap: int = 1, rounds: int = 10):
-    """Yield (month, predictions) for each test month, fitted on the ``train`` months ending ``gap`` months before it.
+def walk_months(df: DataFrame, *, train: int = 12, gap: int = 1) -> list:
+    """Months of the calendar that have ``train`` months of history before the gap; one per month, so few."""
+    months = [r.m for r in df.select(F.trunc("date", "month").alias("m")).distinct().orderBy("m").collect()]
+    return months[train + gap:]
 
-    The loop is over months only; every fit reads one window of the table.
+
+def walk_window(df: DataFrame, month, *, train: int = 12, gap: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Training and test rows of one test month: ``train`` months that end ``gap`` months before it, and the month."""
+    m, day = F.trunc("date", "month"), F.to_date(F.lit(str(month)))
+    return df.where((m >= F.add_months(day, -(train + gap))) & (m < F.add_months(day, -gap))), df.where(m == day)
+
+
+def walk_forward(df: DataFrame, features: Sequence[str], label: str, months: Sequence, *, train: int = 12, gap: int = 1, rounds: int = 10, learner: str = "gbt"):
+    """Yield (month, predictions) for each test month, fitted on its window; months without training rows are passed over.
+
+    ``learner`` is "gbt" or "linear".  The loop is over months only; every fit
+    reads one window of the table.
     """
-    m = F.trunc("date", "month")
     for month in months:
-        day = F.to_date(F.lit(str(month)))
-        window = df.where((m >= F.add_months(day, -(train + gap))) & (m < F.add_months(day, -gap))).dropna(subset=[*features, label])
-        pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=7)])
-        test = df.where(m == day).dropna(subset=list(features))
-        yield month, pipe.fit(window).transform(test).select("date", "code", F.col("prediction").alias("score"), day.alias("month"))
+        window, test = walk_window(df, month, train=train, gap=gap)
+        window = window.dropna(subset=[*features, label])
+        if window.isEmpty():
+            continue
+        fit = LinearRegression(featuresCol="_x", labelCol=label, regParam=1e-3) if learner == "linear" else GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=7)
+        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), fit]).fit(window)
+        day = F.to_date(F.lit(str(month))).alias("month")
+        yield month, model.transform(test.dropna(subset=list(features))).select("date", "code", F.col("prediction").alias("score"), day)

@@ -31,16 +31,14 @@ def bounded_by_calendar(stats: DataFrame, keys: Sequence[str]) -> bool:
     return len(keys) == 1 and isinstance(types[keys[0]], T.DateType)
 
 
-def calendar_join(df: DataFrame, stats: DataFrame, keys: Sequence[str], *, bounded: bool = False) -> DataFrame:
+def calendar_join(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of per-group statistics onto rows.
 
     Statistics keyed by one DATE column have at most one row per calendar day
-    (tens of thousands per century) and are broadcast, as are tables the caller
-    knows to be of that order (``bounded``: dates times a listed few names).
-    Otherwise Spark chooses: it broadcasts by measured size, or merges and
-    splits skewed keys.
+    (tens of thousands per century) and are broadcast.  For any other key Spark
+    chooses: it broadcasts by measured size, or merges and splits skewed keys.
     """
-    if bounded or bounded_by_calendar(stats, keys):
+    if bounded_by_calendar(stats, keys):
         stats = F.broadcast(stats)
     return df.join(stats, list(keys), "left")
 
@@ -52,8 +50,8 @@ def with_global(df: DataFrame, stats: DataFrame) -> DataFrame:
     return df.withColumn("_g", one).select(*df.columns, *[F.col("_g")[c].alias(c) for c in cols])
 
 
-def attach(df: DataFrame, stats: DataFrame, by: Sequence[str], bounded: bool = False) -> DataFrame:
-    return calendar_join(df, stats, by, bounded=bounded) if by else with_global(df, stats)
+def attach(df: DataFrame, stats: DataFrame, by: Sequence[str]) -> DataFrame:
+    return calendar_join(df, stats, by) if by else with_global(df, stats)
 
 
 def _borders(value: str, ranges: int = RANGES) -> Column:
@@ -65,11 +63,11 @@ def _range_of(value: Column, borders: Column) -> Column:
     return (2 * F.size(F.filter(borders, lambda b: b < value)) + F.array_contains(borders, value).cast("int")).cast("int")
 
 
-def place(df: DataFrame, by: Sequence[str], values: Sequence[str], bounded: bool = False) -> DataFrame:
+def place(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add ``_range_<v>`` for every value column; all borders come from one aggregation."""
     stats = df.groupBy(*by).agg(*[_borders(v).alias(f"_b_{v}") for v in values])
     cols = {f"_range_{v}": F.when(F.col(v).isNotNull(), _range_of(F.col(v), F.col(f"_b_{v}"))) for v in values}
-    return attach(df, stats, by, bounded).withColumns(cols).drop(*[f"_b_{v}" for v in values])
+    return attach(df, stats, by).withColumns(cols).drop(*[f"_b_{v}" for v in values])
 
 
 def _below(placed: DataFrame, by: Sequence[str], cells: Sequence[str], *more: Column) -> DataFrame:
@@ -86,7 +84,7 @@ def _spread_key(df: DataFrame) -> Column:
 
 
 def ranked(
-    placed: DataFrame, by: Sequence[str], value: str, out: str, bounded: bool = False, cells: DataFrame | None = None
+    placed: DataFrame, by: Sequence[str], value: str, out: str, cells: DataFrame | None = None
 ) -> DataFrame:
     """Average rank of a placed value column, appended as ``out``.
 
@@ -99,7 +97,7 @@ def ranked(
         lower = Window.partitionBy(*by).orderBy(rng).rowsBetween(Window.unboundedPreceding, -1)
         below = cells.groupBy(*by, rng).agg(F.sum("_cnt").alias("_size")).withColumn("_below", F.coalesce(F.sum("_size").over(lower), F.lit(0)))
     tied = (F.col(rng) % 2) == 1
-    df = attach_cells(placed, below, [*by, rng], bounded or not by or bounded_by_calendar(placed.select(*by), by))
+    df = attach_cells(placed, below, [*by, rng], not by or bounded_by_calendar(placed.select(*by), by))
     # equal rows need no order: any split of them over tasks will do
     df = df.withColumn("_slice", F.when(tied | F.col(rng).isNull(), _spread_key(placed)).otherwise(0))
     w = Window.partitionBy(*by, rng, "_slice").orderBy(value)
@@ -112,42 +110,101 @@ def attach_cells(df: DataFrame, cells: DataFrame, keys: Sequence[str], bounded:
     return df.join(F.broadcast(cells) if bounded else cells, list(keys), "left")
 
 
-def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str, *, bounded: bool = False) -> DataFrame:
+def average_rank(df: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Average rank (1-based, ties share the mean) of ``value`` within ``by``; null stays null."""
-    return ranked(place(df, by, [value], bounded), by, value, out, bounded)
+    return ranked(place(df, by, [value]), by, value, out)
 
 
-def position(
-    df: DataFrame, by: Sequence[str], value: str, tiebreak: str, out: str, total: str | None = None, *, bounded: bool = False
-) -> DataFrame:
+def _in_order(df: DataFrame, column: str) -> DataFrame:
+    """Add ``_tie``, a number that never falls where ``column`` rises.
+
+    A string gives the six bytes behind the prefix that all strings share, so
+    prefixed codes spread as well as plain ones.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return df.withColumn("_tie", F.col(column).cast("double"))
+    ends = df.agg(F.min(column).alias("_first"), F.max(column).alias("_last"))
+    n = F.least(F.length("_first"), F.length("_last"))
+    same = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0),
+        lambda k, i: F.when((k == i - 1) & (F.substring("_first", i, F.lit(1)) == F.substring("_last", i, F.lit(1))), i).otherwise(k))
+    df = with_global(df, ends.select(F.coalesce(same, F.lit(0)).alias("_skip")))
+    rest = F.hex(F.substring(F.encode(F.substring(F.col(column), F.col("_skip") + 1, F.lit(6)), "utf-8"), 1, 6))
+    return df.withColumn("_tie", F.conv(F.rpad(rest, 12, "0"), 16, 10).cast("double")).drop("_skip")
+
+
+def position(df: DataFrame, by: Sequence[str], value: str, tiebreak: str, out: str, total: str | None = None) -> DataFrame:
     """1-based position in (value, tiebreak) order within ``by``; rows without a value are dropped.
 
-    Equal values (odd ranges) are cut again by ranges of the numeric form of
-    the tiebreak, so a heavily tied value does not gather in one task.
+    Equal values (odd ranges) are cut again by ranges of the tiebreak, so a
+    heavily tied value does not gather in one task.
     """
-    known = df.where(F.col(value).isNotNull()).withColumn("_tie", F.col(tiebreak).cast("double"))
-    placed = place(known, by, [value], bounded)
-    ties = with_global(placed, known.agg(_borders("_tie", SLICES).alias("_tb")))
+    known = _in_order(df.where(F.col(value).isNotNull()), tiebreak)
+    placed = place(known, by, [value])
+    ties = with_global(placed, known.agg(F.coalesce(_borders("_tie", SLICES), F.array().cast("array<double>")).alias("_tb")))
     rng = f"_range_{value}"
-    placed = ties.withColumn("_slice", F.when(F.col(rng) % 2 == 1, _range_of(F.col("_tie"), F.col("_tb"))).otherwise(0)).drop("_tb", "_tie")
+    placed = ties.withColumn("_slice", F.when(F.col(rng) % 2 == 1, F.coalesce(_range_of(F.col("_tie"), F.col("_tb")), F.lit(-1))).otherwise(0)).drop("_tb", "_tie")
     below = _below(placed, by, [rng, "_slice"]).drop("_size")
-    small = bounded or not by or bounded_by_calendar(placed.select(*by), by)
+    small = not by or bounded_by_calendar(placed.select(*by), by)
     w = Window.partitionBy(*by, rng, "_slice").orderBy(value, tiebreak)
     res = attach_cells(placed, below, [*by, rng, "_slice"], small)
     res = res.withColumn(out, (F.col("_below") + F.row_number().over(w)).cast("bigint")).drop(rng, "_slice", "_below")
     if total:
         sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias(total))
-        res = attach(res, sizes, by, bounded)
+        res = attach(res, sizes, by)
     return res
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float], *, bounded: bool = False) -> DataFrame:
+#: Approximate quantiles are exact to 1 / ACCURACY of the rows.
+ACCURACY = 10000
+
+
+def global_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of exact linear-interpolated quantiles: ``wanted`` maps names to (column, share).
+
+    One aggregation brackets every wanted value by approximate quantiles; a
+    second counts the rows below each bracket, with the nearest values outside
+    it, and a third the values inside, a few ten-thousandths of the table.
+    Only distinct values inside a bracket are ordered.
+    """
+    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
+    names, margin = list(wanted), 2.0 / ACCURACY
+    aggs = [F.count(c).alias(f"_n_{c}") for c in cols]
+    for i, (c, p) in enumerate(wanted.values()):
+        ends = F.percentile_approx(F.col(c).cast("double"), [max(0.0, p - margin), min(1.0, p + margin)], ACCURACY)
+        aggs.append(ends.alias(f"_e_{i}"))
+    placed = with_global(df.select(*cols), df.agg(*aggs))
+    below, under, over, inside = [], [], [], []
+    for i, (c, _) in enumerate(wanted.values()):
+        v, ends = F.col(c).cast("double"), F.col(f"_e_{i}")
+        below.append(F.count_if(v < ends[0]))
+        under.append(F.max(F.when(v < ends[0], v)))
+        over.append(F.min(F.when(v > ends[1], v)))
+        inside.append(F.when(v.between(ends[0], ends[1]), F.struct(F.lit(i).alias("i"), v.alias("v"), F.col(f"_n_{c}").alias("n"))))
+    around = placed.agg(F.array(*below).alias("_below"), F.array(*under).alias("_under"), F.array(*over).alias("_over"))
+    cells = placed.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("rows"), F.max("x.n").alias("n"))
+    upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    share = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("i") + 1)
+    cells = with_global(cells.withColumns({"to": F.sum("rows").over(upto), "at": (F.col("n") - 1) * share}), around)
+    to = F.col("to") + F.get("_below", F.col("i"))
+    holds = lambda k: (to - F.col("rows") <= k) & (k < to)
+    lo, hi = F.floor("at"), F.ceil("at")
+    got = cells.groupBy("i").agg(
+        F.coalesce(F.max(F.when(holds(lo), F.col("v"))), F.max(F.get("_under", F.col("i")))).alias("lo"),
+        F.coalesce(F.max(F.when(holds(hi), F.col("v"))), F.max(F.get("_over", F.col("i")))).alias("hi"), F.max("at").alias("at"))
+    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
+    return got.agg(*[F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(names)])
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Exact linear-interpolated quantiles per group, one column per entry.
 
     Only the ranges that hold a wanted order statistic are sorted.
     """
+    if not by:
+        return global_quantiles(df, {name: (value, p) for name, p in probs.items()})
     rng = f"_range_{value}"
-    placed = place(df.where(F.col(value).isNotNull()).select(*by, value), by, [value], bounded)
+    placed = place(df.where(F.col(value).isNotNull()).select(*by, value), by, [value])
     below = _below(placed, by, [rng], F.min(value).alias("_min"))
     total = F.sum("_size").over(Window.partitionBy(*by))
     cells = below.withColumn("_n", total)
@@ -161,7 +218,7 @@ def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, flo
     # odd ranges hold one value; open ranges are ordered
     tied = wanted.where(F.col("_rng") % 2 == 1).select(*by, "_n", F.explode("_spots").alias("_s"), F.col("_min").alias("_v"))
     open_ = wanted.where(F.col("_rng") % 2 == 0).select(*[F.col(b) for b in by], F.col("_rng").alias(rng), "_n", "_below", "_spots")
-    small = bounded or not by or bounded_by_calendar(placed.select(*by), by)
+    small = not by or bounded_by_calendar(placed.select(*by), by)
     rows = placed.join(F.broadcast(open_) if small else open_, [*by, rng])
     w = Window.partitionBy(*by, rng).orderBy(value)
     rows = rows.withColumn("_k", F.col("_below") + F.row_number().over(w) - 1)
@@ -184,7 +241,12 @@ def quantile_bucket(position_col: str, total_col: str, k: int = 5) -> Column:
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, out: str = "rank") -> DataFrame:
     """First k rows per group; the tie order must be complete.
 
-    Spark keeps only k rows per group in every task before the shuffle.
+    Spark keeps only k rows per group in every task before the shuffle, for k
+    up to ``spark.sql.optimizer.windowGroupLimitThreshold``; a larger k would
+    send whole groups to one task and is refused: use ``position``.
     """
+    most = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k > most:
+        raise ValueError(f"top_k is for at most {most} rows a group; cut at a position instead")
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)

@@ -14,30 +14,30 @@ from pyspark.sql import functions as F
 from barloom.operators.tables import first_per_key, newest_per_key
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *, order: Sequence[str] | None = None) -> DataFrame:
-    """New row wins.  ``order`` picks the last of several new rows of one key."""
-    fresh = newest_per_key(new, keys, order) if order else new.dropDuplicates(list(keys))
+def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str], *, order: Sequence[str]) -> DataFrame:
+    """New row wins; of several new rows of one key the last in ``order``."""
+    fresh = newest_per_key(new, keys, order)
     return old.join(fresh, list(keys), "left_anti").unionByName(fresh, allowMissingColumns=True)
 
 
-def append_new(old: DataFrame, new: DataFrame, keys: Sequence[str], *, order: Sequence[str] | None = None) -> DataFrame:
-    """Rows of ``new`` whose key is not stored yet (the stored row wins); append these."""
-    fresh = first_per_key(new, keys, order) if order else new.dropDuplicates(list(keys))
+def append_new(old: DataFrame, new: DataFrame, keys: Sequence[str], *, order: Sequence[str]) -> DataFrame:
+    """Rows of ``new`` whose key is not stored yet (the stored row wins), the first in ``order`` of each key; append these."""
+    fresh = first_per_key(new, keys, order)
     return fresh.join(old.select(*keys), list(keys), "left_anti")
 
 
-def upsert_protected(old: DataFrame, new: DataFrame, keys: Sequence[str], protected: DataFrame, *, required: Sequence[str] = ("date", "close"), key: str = "code") -> DataFrame:
+def upsert_protected(old: DataFrame, new: DataFrame, keys: Sequence[str], protected: DataFrame, *, order: Sequence[str], required: Sequence[str] = ("date", "close"), key: str = "code") -> DataFrame:
     """Upsert that leaves protected symbols alone and ignores incomplete new rows."""
     usable = new.dropna(subset=list(required)).join(protected.select(key), key, "left_anti")
-    return upsert(old, usable, keys).dropna(subset=list(required))
+    return upsert(old, usable, keys, order=order).dropna(subset=list(required))
 
 
 def keep_largest(parts: Sequence[DataFrame], keys: Sequence[str], by: str = "close") -> DataFrame:
-    """Union of the parts with the row of the largest ``by`` per key."""
+    """Union of the parts with the row of the largest ``by`` per key; the other columns, in their order, break ties."""
     alls = parts[0]
     for p in parts[1:]:
         alls = alls.unionByName(p)
-    return newest_per_key(alls, keys, [by])
+    return newest_per_key(alls, keys, [by, *(c for c in alls.columns if c != by and c not in keys)])
 
 
 def stitch(main: DataFrame, backfill: DataFrame, cut: Column, *, keys: Sequence[str] = ("code", "date"), date: str = "date") -> DataFrame:

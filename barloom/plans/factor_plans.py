@@ -11,7 +11,7 @@ from barloom.operators import joins as J
 from barloom.plans.indicator_plans import pick
 from barloom.plans.join_plans import amp_sql, z_sql
 from barloom.plans.registry import (
-    ANN_SQL, BARS_M_SQL, MACD_SQL, NUMBERED_SQL, SUPPLIERS_SQL, TRADES_SQL, W, ewm_sql, full_sql, kdj_sql, on_bars, query, r,
+    ANN_SQL, BARS_M_SQL, MACD_SQL, NUMBERED_SQL, SUPPLIERS_SQL, TRADES_SQL, W, ewm_sql, full_sql, daily, kdj_sql, on_bars, query, r,
     r6, rsi_sql, with_, wn, wp,
 )
 
@@ -50,6 +50,12 @@ def factor_high_distance(t):
     return pick(t.bars_m.withColumns({f"high_{n}": A.high_distance(n) for n in (20, 60)}), "high_20", "high_60")
 
 
+@query("factor_high_distance_daily", daily(on_bars("SELECT code,date," + ",".join(f"{r6(f'close/{full_sql(chr(109)+chr(97)+chr(120), chr(99)+chr(108)+chr(111)+chr(115)+chr(101), n, wp(n))}-1')} AS high_{n}" for n in (20, 60, 252)) + " FROM bars")))
+def factor_high_distance_daily(t):
+    """Distance from the high of 20, 60 and 252 days."""
+    return pick(t.bars_s.withColumns({f"high_{n}": A.high_distance(n) for n in (20, 60, 252)}), "high_20", "high_60", "high_252")
+
+
 @query("factor_idio_vol", on_bars(f"SELECT code,date,{r6(full_sql('stddev_samp', 'ex', 20))} AS idio_vol_20 FROM (SELECT *,ret-avg(ret) OVER (PARTITION BY date) AS ex FROM rt)", RET_SQL))
 def factor_idio_vol(t):
     return pick(A.idiosyncratic_vol(t.bars_m), "idio_vol_20")
@@ -88,6 +94,16 @@ def factor_realized_vol(t):
     return pick(A.realized_vol(t.bars_m, 5, 20, 60), "rv_5", "rv_20", "rv_60")
 
 
+RV = ("rv_5", "rv_20", "rv_60")
+
+
+@query("factor_realized_vol_clipped", on_bars("SELECT code,date," + ",".join(f"{r6(f'CASE WHEN {c} IS NOT NULL THEN greatest(least({c},hi_{c}),lo_{c}) END')} AS {c}" for c in RV) + " FROM rv,(SELECT " + ",".join(f"quantile_cont({c},0.005) AS lo_{c},quantile_cont({c},0.995) AS hi_{c}" for c in RV) + " FROM rv)",
+       RET_SQL, "rv AS MATERIALIZED (SELECT code,date," + ",".join(f"sqrt({full_sql('sum', 'sq', n)}) AS rv_{n}" for n in (5, 20, 60)) + " FROM (SELECT *,ret*ret AS sq FROM rt))"))
+def factor_realized_vol_clipped(t):
+    """All three columns clipped at their own borders in one pass."""
+    return pick(A.clip_quantiles(A.realized_vol(t.bars_m, 5, 20, 60).select("code", "date", *RV), RV), *RV)
+
+
 @query("factor_clip_quantiles", on_bars(f"""SELECT code,date,{r6('CASE WHEN ret IS NOT NULL THEN greatest(least(ret,hi),lo) END')} AS ret FROM rt,
 (SELECT quantile_cont(ret,0.005) AS lo,quantile_cont(ret,0.995) AS hi FROM rt)""", RET_SQL))
 def factor_clip_quantiles(t):
@@ -142,14 +158,13 @@ def agg_collapse_events(t):
                     r("change_rate").alias("change_rate"), "n_reasons", *[r(c).alias(c) for c in ("net_buy_pct", "top_buyer_pct", "top_seller_pct")])
 
 
-@query("factor_event_features", with_(TRADES_SQL, EVD_SQL, "grid AS (SELECT code,date FROM (SELECT DISTINCT code FROM evd) CROSS JOIN (SELECT DISTINCT date FROM evd WHERE date>='1998-01-01' AND date<'1999-01-01'))",
+@query("factor_event_features", with_(TRADES_SQL, EVD_SQL, "grid AS (SELECT code,date FROM (SELECT DISTINCT code FROM evd) CROSS JOIN (SELECT DISTINCT date FROM evd))",
        "g AS (SELECT code,date,CASE WHEN net_amt IS NULL THEN 0 ELSE 1 END AS f,coalesce(net_amt,0) AS a,coalesce(net_amt/nullif(accum_amount,0)*100,0) AS p FROM grid LEFT JOIN evd USING (code,date))") +
        f"""SELECT code,date,CAST(f AS INTEGER) AS on_list,CAST(sum(f) OVER {wn(30)} AS BIGINT) AS count_30,CAST(sum(f) OVER {wn(60)} AS BIGINT) AS count_60,{r6(f'sum(a) OVER {wn(30)}/1e4', 5)} AS net_sum_30_wan,
 {r6(f'sum(a) OVER {wn(60)}/1e4', 5)} AS net_sum_60_wan,{r6(f'avg(p) OVER {wn(30)}')} AS net_buy_evt_avg_30 FROM g""")
 def factor_event_features(t):
     d = A.collapse_events(board_events(t)).where("n_reasons > 0")
-    cal = d.where("date >= '1998-01-01' and date < '1999-01-01'")
-    x = A.event_features(d, d.select("code").distinct(), cal)
+    x = A.event_features(d, d.select("code").distinct(), d)
     return x.select("code", "date", "on_list", "count_30", "count_60", r("net_sum_30_wan", 5).alias("net_sum_30_wan"),
                     r("net_sum_60_wan", 5).alias("net_sum_60_wan"), r("net_buy_evt_avg_30").alias("net_buy_evt_avg_30"))
 

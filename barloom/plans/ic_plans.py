@@ -150,14 +150,14 @@ SCREEN_SQL = "sc AS (SELECT date,fwd,UNNEST(['amp','tc','vc','mom']) AS factor,U
 def ic_mass_screen(t):
     """Many factors in long form against one return panel, in one job."""
     long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
-    s = C.ic_stats(C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True), ["factor"])
+    s = C.ic_stats(C.rank_ic(long, "value", "fwd", ["date", "factor"]), ["factor"])
     return s.select("factor", "n_periods", *[r(c).alias(c) for c in STAT_COLS])
 
 
 def half_screens(t):
     """Screens before and after mid-1998; the correlations (dates x factors) are written once and read twice."""
     long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
-    ics = publish(C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True), "ics")
+    ics = publish(C.rank_ic(long, "value", "fwd", ["date", "factor"]), "ics")
     early = C.ic_stats(ics.where("date < '1998-06-01'"), ["factor"])
     return early, C.ic_stats(ics.where("date >= '1998-06-01'"), ["factor"])
 
@@ -172,13 +172,12 @@ def ic_screen_comparison(t):
     return c.select("factor", r("before").alias("before"), r("after").alias("after"), "status", r("move").alias("move"))
 
 
-@query("ic_factor_month_matrix", on_bars("SELECT factor," + ",".join(f"{r6(f'avg(CASE WHEN year(date)={y} THEN ic END)')} AS y{y}" for y in range(1995, 2002)) + " FROM fi GROUP BY 1", PANEL_SQL, SCREEN_SQL, ic_sql("fi", "sc", "value", "fwd", "date,factor")))
+@query("ic_factor_month_matrix", on_bars(f"SELECT factor,CAST(date_trunc('month',date) AS DATE) AS month,{r6('avg(ic)')} AS ic,count(ic) AS n FROM fi GROUP BY 1,2", PANEL_SQL, SCREEN_SQL, ic_sql("fi", "sc", "value", "fwd", "date,factor")))
 def ic_factor_month_matrix(t):
-    """Factor x period matrix of mean IC over a given list of periods."""
+    """Factor x month matrix of mean IC in long form, so no month can be left out."""
     long = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
-    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"], bounded=True).withColumn("y", F.concat(F.lit("y"), F.year("date").cast("string")))
-    years = [f"y{y}" for y in range(1995, 2002)]
-    return ics.groupBy("factor").pivot("y", years).agg(F.avg("ic")).select("factor", *[r(y).alias(y) for y in years])
+    ics = C.rank_ic(long, "value", "fwd", ["date", "factor"]).groupBy("factor", F.trunc("date", "month").alias("month"))
+    return ics.agg(F.avg("ic").alias("ic"), F.count("ic").alias("n")).select("factor", "month", r("ic").alias("ic"), "n")
 
 
 @query("ic_monthly_breakdown", with_(BARS_D_SQL, f"x AS (SELECT code,date,close AS v,lead(close,1) OVER ({W})/nullif(close,0)-1 AS fwd FROM bars)", ic_sql("ic", "x", "v", "fwd", n=6)) +
@@ -229,7 +228,7 @@ def ic_topk_and_ic(t):
 def ic_label_factors(t):
     labels = t.spark.createDataFrame([("amp", "stable"), ("amp", "derived"), ("vc", "volume_leak"), ("mom", "spurious"), ("mom", "derived")], "factor string, label string")
     s = C.unpivot(panel(t), ["code", "date", "fwd"], ["amp", "tc", "vc", "mom"])
-    screened = C.rank_ic(s, "value", "fwd", ["date", "factor"], bounded=True).select("factor").distinct()
+    screened = C.rank_ic(s, "value", "fwd", ["date", "factor"]).select("factor").distinct()
     return G.label_factors(screened, labels, ["stable", "spurious", "volume_leak", "derived"])
 
 

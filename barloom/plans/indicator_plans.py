@@ -11,7 +11,7 @@ from barloom.operators import indicators as I
 from barloom.operators import recur as R
 from barloom.operators.bars import equal_weight_index
 from barloom.plans.registry import (
-    BARS_D_SQL, MACD_SQL, NUMBERED_SQL, BARS_M_SQL, Tables, W, ewm_sql, full_sql, kdj_sql, on_bars, query, r,
+    BARS_D_SQL, MACD_SQL, NUMBERED_SQL, BARS_M_SQL, Tables, W, ewm_sql, full_sql, daily, kdj_sql, on_bars, query, r,
     r6, rsi_sql, with_, wn,
 )
 
@@ -139,6 +139,12 @@ def win_rsrs(t):
     return pick(I.rsrs(t.bars_m, 18, 30), "slope", "rsrs")
 
 
+@query("win_rsrs_daily", daily(on_bars(f"SELECT code,date,{r6('slope')} AS slope,{r6('rsrs')} AS rsrs FROM rsrs", rsrs_sql(18, 600))))
+def win_rsrs_daily(t):
+    """Default lengths on daily bars."""
+    return pick(I.rsrs(t.bars_s), "slope", "rsrs")
+
+
 @query("win_ssa")
 def win_ssa(t):
     return pick(I.ssa(t.bars_m, 30), "ssa")

@@ -11,7 +11,7 @@ from barloom.operators import metrics as M
 from barloom.operators import picks as P
 from barloom.operators.bars import equal_weight_index
 from barloom.operators.ranking import top_k
-from barloom.plans.registry import BARS_D_SQL, BARS_M_SQL, SUPPLIERS_SQL, W, on_bars, query, r, r6, with_, wn
+from barloom.plans.registry import BARS_D_SQL, BARS_M_SQL, SUPPLIERS_SQL, W, daily, on_bars, query, r, r6, with_, wn
 
 LAG = f"lag(close) OVER ({W})"
 # monthly returns per nation (variant): equal-weight mean of member returns, damped to stay positive
@@ -185,6 +185,13 @@ def pick_market_regime(t):
     return m.select("code", "date", "regime")
 
 
+@query("pick_market_regime_daily", daily(on_bars(f"""SELECT code,date,CASE WHEN rn<=200 THEN 'normal' WHEN close<ma*0.95 THEN 'bear' WHEN v>0.35 THEN 'panic' WHEN close/lag(close,60) OVER ({W})-1<-0.15 THEN 'drawdown' ELSE 'normal' END AS regime FROM
+(SELECT *,row_number() OVER ({W}) AS rn,avg(close) OVER {wn(200)} AS ma,stddev_samp(ret) OVER {wn(19)}*sqrt(252) AS v FROM (SELECT *,close/{LAG}-1 AS ret FROM bars))""")))
+def pick_market_regime_daily(t):
+    """Default lengths on daily bars."""
+    return P.market_regime(t.bars_s, key="code").select("code", "date", "regime")
+
+
 @query("pick_vol_target", on_bars(f"SELECT code,date,{r6('CASE WHEN rn>12 THEN least(2.0/greatest(v,0.05),1) ELSE 1 END')} AS vol_scale FROM (SELECT *,row_number() OVER ({W}) AS rn,stddev_samp(ret) OVER {wn(11)}*sqrt(12) AS v FROM (SELECT *,close/{LAG}-1 AS ret FROM bars))"))
 def pick_vol_target(t):
     return P.vol_target(t.bars_m, target=2.0, n=12, periods=12, key="code").select("code", "date", r("vol_scale").alias("vol_scale"))

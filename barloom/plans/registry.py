@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.operators.bars import sequence_key, to_bars
@@ -45,11 +45,19 @@ class Tables:
     @cached_property
     def bars_m(self) -> DataFrame:
         """Monthly bars per supplier."""
+        return self.bars_from(self.lineitem)
+
+    @cached_property
+    def bars_s(self) -> DataFrame:
+        """Daily bars per pool of suppliers, long enough for the longest windows."""
+        return self.bars_from(self.lineitem, "day", F.col("l_suppkey") % 25)
+
+    def bars_from(self, lineitem: DataFrame, unit: str = "month", code: Column | None = None) -> DataFrame:
         d = F.to_date("l_shipdate")
         return to_bars(
-            self.lineitem,
-            code=F.col("l_suppkey"),
-            period=F.trunc(d, "month"),
+            lineitem,
+            code=F.col("l_suppkey") if code is None else code,
+            period=F.trunc(d, unit) if unit != "day" else d,
             price=F.col("l_extendedprice") / F.col("l_quantity"),
             seq=trade_seq(d),
             volume=F.col("l_quantity"),
@@ -132,6 +140,7 @@ bars AS (
          arg_max(l_extendedprice/l_quantity, (l_shipdate,l_orderkey,l_linenumber,l_partkey)) AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume, sum(l_extendedprice) AS amount
   FROM lineitem GROUP BY 1,2)"""
+BARS_S_SQL = BARS_M_SQL.replace("date_trunc('month',l_shipdate)", "l_shipdate").replace("CAST(l_suppkey AS", "CAST(l_suppkey%25 AS")
 BARS_D_SQL = """
 bars AS (
   SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS code, CAST(ts AS DATE) AS date,
@@ -158,6 +167,11 @@ def on_bars(select: str, *ctes: str) -> str:
     return with_(BARS_M_SQL, *ctes) + select
 
 
+def daily(sql: str) -> str:
+    """The same query over daily bars of supplier pools."""
+    return sql.replace(BARS_M_SQL.strip(), BARS_S_SQL.strip())
+
+
 W = "PARTITION BY code ORDER BY date"
 
 

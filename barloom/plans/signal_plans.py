@@ -10,7 +10,7 @@ from barloom.operators import factors as A
 from barloom.operators import signals as S
 from barloom.plans.indicator_plans import ADX_SQL, AROON_SQL, ARBR_SQL, STOCH_SQL, TR_SQL, rsrs_sql
 from barloom.plans.registry import (
-    BARS_M_SQL, MACD_SQL, NUMBERED_SQL, SUPPLIERS_SQL, W, ewm_sql, full_sql, kdj_sql, query, r, r6, rsi_sql, with_, wn,
+    BARS_M_SQL, BARS_S_SQL, MACD_SQL, NUMBERED_SQL, SUPPLIERS_SQL, W, daily, ewm_sql, full_sql, kdj_sql, query, r, r6, rsi_sql, with_, wn,
 )
 
 
@@ -104,6 +104,22 @@ def signal_factor_momentum(t):
     return out(S.factor_momentum(t.bars_m, 6, 6, 12))
 
 
+@query("signal_factor_momentum_daily", daily(sig_sql("q", "s>CASE WHEN c>=60 THEN hi END", "s<CASE WHEN c>=60 THEN lo END",
+       f"f1 AS (SELECT *,close/lag(close) OVER ({W})-1 AS rr,close/lag(close,20) OVER ({W})-1 AS mom FROM bars)",
+       f"f2 AS (SELECT *,1/nullif({full_sql('stddev_samp', 'rr', 20)},0) AS inv,{_z('volume', 20)} AS vz FROM f1)",
+       f"f3 AS (SELECT *,({_z('mom', 60)}+{_z('inv', 60)}+{_z('vz', 60)})/3 AS s FROM f2)",
+       f"q AS (SELECT *,count(s) OVER {wn(60)} AS c,quantile_cont(s,0.8) OVER {wn(60)} AS hi,quantile_cont(s,0.2) OVER {wn(60)} AS lo FROM f3)")))
+def signal_factor_momentum_daily(t):
+    """Default lengths on daily bars."""
+    return out(S.factor_momentum(t.bars_s))
+
+
+@query("signal_registered", daily(sig_sql("bars", f"{full_sql('avg', 'close', 10)}>{full_sql('avg', 'close', 30)}", None)))
+def signal_registered(t):
+    """A signal looked up by its name and applied with ``transform``."""
+    return out(t.bars_s.transform(S.REGISTRY["sma_cross"]))
+
+
 @query("signal_rsrs_timing", sig_sql("rsrs", "rsrs>0.7", "rsrs<-0.7", rsrs_sql(18, 30)))
 def signal_rsrs_timing(t):
     return out(S.rsrs_timing(t.bars_m, 18, 30))
@@ -187,6 +203,13 @@ def decision_market_scan(t):
     return scan(t).select("code", "name", "signal", "price", "buy_score", "sell_score", "error")
 
 
+@query("decision_market_scan_daily", daily(scan_sql("SELECT u.code,signal,round(close,2) AS price,round(bs,3) AS buy_score,round(ss,3) AS sell_score,CASE WHEN cc IS NULL THEN 'no data' WHEN cc<90 THEN 'only '||cc||' bars' END AS error FROM (SELECT DISTINCT code FROM bars0 UNION ALL SELECT '999999') u LEFT JOIN de USING (code) LEFT JOIN (SELECT code,least(count(*),180) AS cc FROM bars0 GROUP BY 1) z ON z.code=u.code").replace(BARS_M_SQL.replace("bars AS (", "bars0 AS (").strip(), BARS_S_SQL.replace("bars AS (", "bars0 AS (").strip()).replace("kk<=60 AND least(cc,60)>=50", "kk<=180 AND least(cc,180)>=90")))
+def decision_market_scan_daily(t):
+    """The scan at its default window on daily bars."""
+    codes = t.bars_s.select("code").distinct().unionByName(t.suppliers.limit(1).select(F.lit("999999").alias("code")))
+    return D.market_scan(t.bars_s, codes.withColumn("name", F.col("code"))).select("code", "signal", "price", "buy_score", "sell_score", "error")
+
+
 @query("decision_breadth", scan_sql(f"SELECT industry,count(*) AS n,{r6('''avg(CASE WHEN signal='BUY' THEN 100.0 ELSE 0 END)''')} AS buy_pct,{r6('''avg(CASE WHEN signal='SELL' THEN 100.0 ELSE 0 END)''')} AS sell_pct,{r6('''avg(CASE WHEN signal='HOLD' THEN 100.0 ELSE 0 END)''')} AS hold_pct,{r6('avg(CASE WHEN upt THEN 100.0 ELSE 0 END)')} AS uptrend_pct,{r6('sum(round(bs,3)*w)/sum(w)')} AS w_buy FROM (SELECT de.*,industry,acctbal+2000 AS w FROM de JOIN suppliers USING (code)) GROUP BY 1"))
 def decision_breadth(t):
     members = t.suppliers.select("code", "industry", (F.col("acctbal") + 2000.0).alias("weight"))

@@ -73,13 +73,13 @@ def scan_trade_log(t):
     return readers.trade_log(t.spark, path).select("id", "sym", "price")
 
 
-@query("scan_many_tables", "SELECT o_orderkey AS k,o_totalprice AS v,CAST(NULL AS DOUBLE) AS bal FROM orders WHERE o_orderstatus='P' UNION ALL SELECT c_custkey,NULL,c_acctbal FROM customer")
+@query("scan_many_tables", "SELECT o_orderkey AS k,o_totalprice AS v,CAST(NULL AS DOUBLE) AS bal FROM orders UNION ALL SELECT c_custkey,NULL,c_acctbal FROM customer")
 def scan_many_tables(t):
-    """Tables with different columns as one."""
-    a, b = sinks.new_path(t.spark, "part"), sinks.new_path(t.spark, "part")
-    t.table("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")).write.parquet(a)
+    """Tables with different columns as one; a table that is absent is skipped."""
+    a, b, absent = (sinks.new_path(t.spark, "part") for _ in range(3))
+    t.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v")).write.parquet(a)
     t.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("bal")).write.parquet(b)
-    return readers.many(t.spark, [a, b]).select("k", "v", "bal")
+    return readers.many(t.spark, [a, absent, b], "k bigint, v double, bal double").select("k", "v", "bal")
 
 
 @query("scan_newest_report", with_(ANN_SQL) + f"SELECT code,CAST(date_trunc('quarter',date) AS DATE) AS data_date,arg_max(date,(date,id)) AS announce_date,{r6('arg_max(value,(date,id))', 4)} AS value FROM ann GROUP BY 1,2")
@@ -126,10 +126,22 @@ def merge_upsert(t):
     return pick(U.upsert(*halves(t), ["code", "date"], order=["close"]), "close")
 
 
+REVISED_SQL = "rv AS (SELECT code,date,close+rev AS close,rev FROM bars CROSS JOIN (SELECT UNNEST([1,2,3]) AS rev) WHERE date>='1998-07-01')"
+
+
+@query("merge_upsert_revisions", on_bars(f"SELECT code,date,{r6('close')} AS close,rev FROM (SELECT code,date,max(close) AS close,3 AS rev FROM rv WHERE rev=3 GROUP BY 1,2 UNION ALL SELECT code,date,close,0 FROM o WHERE (code,date) NOT IN (SELECT code,date FROM rv))", HALF_SQL, REVISED_SQL))
+def merge_upsert_revisions(t):
+    """Several new rows of a key: the latest revision is kept."""
+    old, _ = halves(t)
+    new = t.bars_m.where("date >= '1998-07-01'").select("code", "date", "close", F.explode(F.array(F.lit(1), F.lit(3), F.lit(2))).alias("rev"))
+    new = new.withColumn("close", F.col("close") + F.col("rev"))
+    return U.upsert(old.withColumn("rev", F.lit(0)), new, ["code", "date"], order=["rev"]).select("code", "date", r("close").alias("close"), "rev")
+
+
 @query("merge_append_new", on_bars(f"SELECT code,date,{r6('close')} AS close FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE (code,date) NOT IN (SELECT code,date FROM o))", HALF_SQL))
 def merge_append_new(t):
     old, new = halves(t)
-    return pick(old.unionByName(U.append_new(old, new, ["code", "date"])), "close")
+    return pick(old.unionByName(U.append_new(old, new, ["code", "date"], order=["close"])), "close")
 
 
 @query("merge_protected", on_bars(f"SELECT code,date,{r6('close')} AS close FROM (SELECT * FROM m UNION ALL SELECT * FROM o WHERE (code,date) NOT IN (SELECT code,date FROM m))", HALF_SQL, "m AS (SELECT * FROM n WHERE code NOT LIKE '00000%' AND close<50000)"))
@@ -138,7 +150,7 @@ def merge_protected(t):
     old, new = halves(t)
     new = new.withColumn("close", F.when(F.col("close") < 50000, F.col("close")))
     prot = t.bars_m.where(F.col("code").startswith("00000")).select("code").distinct()
-    return pick(U.upsert_protected(old, new, ["code", "date"], prot), "close")
+    return pick(U.upsert_protected(old, new, ["code", "date"], prot, order=["close"]), "close")
 
 
 @query("merge_keep_largest", on_bars(f"SELECT code,date,{r6('max(close)')} AS close FROM (SELECT * FROM o UNION ALL SELECT code,date,close-2 FROM n) GROUP BY 1,2", HALF_SQL))

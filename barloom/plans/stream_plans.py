@@ -53,7 +53,7 @@ def stream_ingest_history(t):
     b.withColumn("close", F.col("close") + 1000.0).write.json(again)
     more = sinks.new_path(t.spark, "bars5b")
     stored = t.spark.read.parquet(out).drop("batch")
-    stored.write.parquet(f"{more}/batch=-1")
+    stored.write.partitionBy("day").parquet(f"{more}/batch=-1")
     SB.ingest_against_history(SB.bar_stream(t.spark, again), more, sinks.new_path(t.spark, "ckpt")).awaitTermination()
     return t.spark.read.parquet(more).select("code", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "close")
 
@@ -61,7 +61,12 @@ def stream_ingest_history(t):
 @query("stream_live_view", with_(FIVE_SQL, "k AS (SELECT *,row_number() OVER (PARTITION BY code ORDER BY datetime DESC) AS k FROM fm)") +
        f"SELECT code,max(datetime) AS datetime,arg_max(close,datetime) AS close,count(*) AS n_spark,{r6('list(close ORDER BY datetime)[1]')} AS oldest,{r6('max(CASE WHEN k=1 THEN close END)/max(CASE WHEN k=2 THEN close END)-1')} AS ret FROM k WHERE k<=24 GROUP BY 1")
 def stream_live_view(t):
-    v = SB.live_view(five_minute(t), 24)
+    feed, state = sinks.new_path(t.spark, "feed"), {}
+    b = five_minute(t)
+    b.where(F.col("datetime") < "2024-01-20").write.json(feed)
+    b.where(F.col("datetime") >= "2024-01-20").write.mode("append").json(feed)
+    SB.live_view_stream(SB.bar_stream(t.spark, feed), lambda: state.get("bars"), lambda kept: state.update(bars=kept), sinks.new_path(t.spark, "ckpt")).awaitTermination()
+    v = SB.live_view(state["bars"], 24)
     return v.select("code", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "close", F.size("spark").cast("bigint").alias("n_spark"), r(F.get("spark", F.lit(0))).alias("oldest"), r("ret").alias("ret"))
 
 
@@ -69,13 +74,13 @@ def stream_live_view(t):
 def stream_daily_merge(t):
     """Daily rows arriving as files are merged into the main table; the new row wins."""
     b = t.bars_d.select("code", "date", "close")
-    state = {"path": sinks.new_path(t.spark, "main")}
-    b.where("date < '2024-01-25'").write.parquet(state["path"])
+    main = sinks.new_path(t.spark, "main")
+    b.where("date < '2024-01-25'").write.partitionBy("date").parquet(main)
     inc = sinks.new_path(t.spark, "sidecar")
     b.where("date >= '2024-01-20'").withColumn("close", F.col("close") + 7.0).write.parquet(inc)
     stream = t.spark.readStream.schema(b.schema).parquet(inc)
-    SB.daily_merge(stream, lambda: t.spark.read.parquet(state["path"]), lambda p: state.update(path=p), sinks.new_path(t.spark, "ckpt")).awaitTermination()
-    return t.spark.read.parquet(state["path"])
+    SB.daily_merge(stream, main, sinks.new_path(t.spark, "ckpt"), order=["close"]).awaitTermination()
+    return t.spark.read.schema(b.schema).parquet(main)
 
 
 @query("stream_positions", """WITH RECURSIVE e AS (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS sym,CASE WHEN event_type IN ('view','click','purchase') THEN 'BUY' ELSE 'SELL' END AS action,value AS price,CAST(event_id%7+1 AS BIGINT) AS shares,row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) AS seq FROM events WHERE value>0),

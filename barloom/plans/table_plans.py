@@ -126,7 +126,9 @@ def filter_price_limit(t):
 
 @query("filter_latest_date", on_bars(f"SELECT code,date,{r6('close')} AS close FROM bars WHERE date=(SELECT max(date) FROM bars)"))
 def filter_latest_date(t):
-    return B.on_latest_date(t.bars_m).select("code", "date", r("close").alias("close"))
+    """The newest month is found on the raw column, and the raw rows are cut at its first day before any bar is built."""
+    newest = t.lineitem.agg(F.trunc(F.max("l_shipdate"), "month").cast(t.lineitem.schema["l_shipdate"].dataType).alias("d")).scalar()
+    return t.bars_from(t.lineitem.where(F.col("l_shipdate") >= newest)).select("code", "date", r("close").alias("close"))
 
 
 @query("filter_full_coverage_date", with_(BARS_D_SQL, "c AS (SELECT date,count(DISTINCT code) AS n FROM bars GROUP BY 1)", "l AS (SELECT * FROM c ORDER BY date DESC LIMIT 10)") +
@@ -215,9 +217,8 @@ def set_union_all(t):
 @query("set_distinct_keep", with_(ANN_SQL) + f"SELECT code,date,arg_max(id,id) AS last_id,arg_min(id,id) AS first_id,{r6('arg_max(value,id)', 4)} AS value FROM ann GROUP BY 1,2")
 def set_distinct_keep(t):
     a = t.announcements.select("code", "date", "id", "value")
-    last = B.newest_per_key(a, ["code", "date"], ["id"]).withColumnRenamed("id", "last_id")
-    first = B.first_per_key(a, ["code", "date"], ["id"]).select("code", "date", F.col("id").alias("first_id"))
-    return last.join(first, ["code", "date"]).select("code", "date", "last_id", "first_id", r("value", 4).alias("value"))
+    g = a.groupBy("code", "date").agg(F.max("id").alias("last_id"), F.min("id").alias("first_id"), F.max_by("value", "id").alias("value"))
+    return g.select("code", "date", "last_id", "first_id", r("value", 4).alias("value"))
 
 
 @query("set_compare", with_(ANN_SQL, SUPPLIERS_SQL) + "SELECT code,CASE WHEN a AND b THEN 'shared' WHEN a THEN 'only_a' ELSE 'only_b' END AS side FROM (SELECT DISTINCT code,true AS a FROM ann) FULL JOIN (SELECT DISTINCT code,true AS b FROM suppliers) USING (code)")
@@ -229,12 +230,11 @@ TOPD = "top AS (SELECT date,code FROM (SELECT date,code,row_number() OVER (PARTI
 
 
 def two_days(t):
-    """Top-20 sets of the last two dates."""
-    top = top_k(t.bars_m, ["date"], [F.desc("volume"), F.asc("code")], 20)
-    dates = t.bars_m.agg(F.max("date").alias("d1"))
-    top = with_global(top, dates)
-    prev = top.where("date < d1").agg(F.max("date").alias("d0"))
-    top = with_global(top, prev)
+    """Top-20 sets of the last two dates; only their rows are ranked."""
+    dates = t.lineitem.select(F.trunc(F.to_date("l_shipdate"), "month").alias("date")).distinct().orderBy(F.desc("date")).limit(2)
+    ends = dates.agg(F.max("date").alias("d1"), F.min("date").alias("d0"))
+    near = with_global(t.bars_m, ends).where("date = d1 or date = d0")
+    top = top_k(near, ["date"], [F.desc("volume"), F.asc("code")], 20)
     return top.where("date = d1").select("code"), top.where("date = d0").select("code")
 
 

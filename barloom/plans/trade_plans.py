@@ -109,12 +109,12 @@ def position_daily_pnl(t):
 
 @query("position_action_items", pos_sql(f"""SELECT sym,kind,CASE kind WHEN 'stop_breached' THEN 0 WHEN 'near_stop' THEN 1 WHEN 'new_recommendation' THEN 2 ELSE 3 END AS priority FROM (SELECT sym,CASE WHEN net_shares>0 AND close<st THEN 'stop_breached' WHEN net_shares>0 AND close<st*1.05 THEN 'near_stop'
 WHEN NOT coalesce(net_shares>0,false) AND rec AND rd=DATE '2001-11-04' THEN 'new_recommendation' WHEN NOT coalesce(net_shares>0,false) AND rec THEN 'stale_recommendation' END AS kind FROM
-(SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS sym,abs(s_acctbal) AS st,s_suppkey%3=0 AS rec,CASE WHEN s_suppkey%2=0 THEN DATE '2001-11-04' ELSE DATE '2001-11-01' END AS rd FROM supplier UNION ALL SELECT 'C'||c_custkey,1.0,c_custkey%2=0,DATE '2001-11-04' FROM customer WHERE c_nationkey=3) p FULL JOIN (SELECT sym,net_shares FROM pos) q USING (sym) LEFT JOIN lc USING (sym)) WHERE kind IS NOT NULL""", LASTC))
+(SELECT lpad(CAST(s_suppkey AS VARCHAR),6,'0') AS sym,abs(s_acctbal) AS st,s_suppkey%3=0 AS rec,CASE WHEN s_suppkey%2=0 THEN DATE '2001-11-04' ELSE DATE '2001-11-01' END AS rd FROM supplier UNION ALL SELECT 'C'||c_custkey,1.0,c_custkey%2=0,DATE '2001-11-04' FROM customer) p FULL JOIN (SELECT sym,net_shares FROM pos) q USING (sym) LEFT JOIN lc USING (sym)) WHERE kind IS NOT NULL""", LASTC))
 def position_action_items(t):
     s = t.table("supplier").select(
         F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("sym"), F.abs("s_acctbal").alias("stop_loss"), (F.col("s_suppkey") % 3 == 0).alias("recommended"),
         F.to_date(F.when(F.col("s_suppkey") % 2 == 0, "2001-11-04").otherwise("2001-11-01")).alias("rec_date"))
-    c = t.table("customer").where("c_nationkey = 3").select(
+    c = t.table("customer").select(
         F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("sym"), F.lit(1.0).alias("stop_loss"), (F.col("c_custkey") % 2 == 0).alias("recommended"), F.lit("2001-11-04").cast("date").alias("rec_date"))
     items = P.action_items(P.positions(log(t)), s.unionByName(c), last_close(t), F.lit("2001-11-04").cast("date"))
     return items.select("sym", "kind", "priority")
@@ -221,6 +221,17 @@ def risk_alert_levels(t):
     return a.select("variant", "date", r("cum_60").alias("cum_60"), r("rel_60").alias("rel_60"), "level")
 
 
+@query("risk_alert_levels_60", with_(*VBASE, NEG_SQL, "bi AS (SELECT date,avg(close) AS bench FROM bars GROUP BY 1)",
+       f"al AS (SELECT variant,date,neg_run,nav/lag(nav,60) OVER w-1 AS cum,nav/lag(nav,60) OVER w-bench/lag(bench,60) OVER w AS rel,{rs_sql(3)} AS s3,{rs_sql(6)} AS s6 FROM (SELECT ng.*,100*product(1+ret*25) OVER (PARTITION BY variant ORDER BY ng.date) AS nav,bench FROM ng JOIN bi USING (date)) WINDOW w AS (PARTITION BY variant ORDER BY date))") +
+       f"SELECT variant,date,{r6('cum')} AS cum_60,{r6('rel')} AS rel_60,CASE WHEN s6<0 THEN 'black' WHEN cum<-0.3 OR (s3<0.3 AND neg_run>=3) THEN 'red' WHEN cum<-0.2 OR neg_run>=3 THEN 'orange' WHEN cum<-0.1 OR rel<-0.05 THEN 'yellow' ELSE 'green' END AS level FROM al")
+def risk_alert_levels_60(t):
+    w = Window.partitionBy("variant").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    v = variants(t).withColumn("value", 100.0 * F.product(1.0 + F.col("ret") * 25.0).over(w))
+    bench = t.bars_m.groupBy("date").agg(F.avg("close").alias("bench"))
+    a = Q.alerts(calendar_join(v, bench, ["date"]), by=["variant"])
+    return a.select("variant", "date", r("cum_60").alias("cum_60"), r("rel_60").alias("rel_60"), "level")
+
+
 # --- data quality ----------------------------------------------------------
 @query("quality_checks", with_(BARS_D_SQL, "l AS (SELECT max(date) AS d FROM bars)", f"""rc AS (SELECT code,date,close/nullif(lag(close) OVER ({W}),0)-1 AS chg FROM bars,l WHERE date>=d-10)""") + """
 SELECT 'neg_close' AS "check",true AS critical,count(*) FILTER (WHERE close<0)=0 AS passed,CAST(count(*) FILTER (WHERE close<0) AS BIGINT) AS n_bad FROM bars

@@ -66,13 +66,17 @@ def vote_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(VOTE_SCHEMA).option("mode", "DROPMALFORMED").json(path)
 
 
-def many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Several tables with differing columns as one; absent columns are null."""
-    frames = [spark.read.parquet(p) for p in paths]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return nan_to_null(out)
+def many(spark: SparkSession, paths: Sequence[str], schema: str) -> DataFrame:
+    """Several tables with differing columns as one read; absent columns are null, absent tables are skipped."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    there = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        if path.getFileSystem(conf).exists(path):
+            there.append(p)
+    if not there:
+        return spark.createDataFrame([], schema)
+    return nan_to_null(spark.read.schema(schema).parquet(*there))
 
 
 def newest_report(reports: DataFrame, keys: Sequence[str] = ("code", "data_date"), order: str = "announce_date") -> DataFrame:

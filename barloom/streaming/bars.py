@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from barloom.functions.frames import div
 from barloom.operators.ranking import top_k
 from barloom.operators.upsert import append_new, upsert
-from barloom.sources.sinks import new_path
+from barloom.sources.sinks import publish, replace_slices
 
 MINUTE_BARS = T.StructType([
     T.StructField("code", T.StringType()), T.StructField("datetime", T.TimestampType()),
@@ -43,27 +43,36 @@ def ingest_against_history(stream: DataFrame, path: str, checkpoint: str) -> Str
     """Append bars whose key is not in the whole stored history (the stored bar wins).
 
     A batch is written to its own directory, so a repeated batch replaces
-    itself.  Only the days a batch touches are read back.
+    itself, and by day inside it.  The schema is given and the day is a
+    partition, so a batch opens the files of its own days only.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        target = f"{path}/batch={batch_id}"
+        batch = batch.withColumn("day", F.to_date("datetime")).persist()
         try:
-            stored = spark.read.parquet(path).where(F.col("batch") != batch_id)
-        except Exception as exc:
-            if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise
-            stored = batch.limit(0)
-        span = batch.agg(F.min("datetime").alias("a"), F.max("datetime").alias("b")).first()
-        if span["a"] is None:
-            return
-        near = stored.where(F.col("datetime").between(span["a"], span["b"]))
-        append_new(near, batch, ["code", "datetime"]).write.mode("overwrite").parquet(target)
+            span = batch.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+            if span["a"] is None:
+                return
+            fresh = append_new(stored_days(spark, path, batch, batch_id, span["a"], span["b"]), batch, ["code", "datetime"], order=[c for c in batch.columns if c not in ("code", "datetime")])
+            fresh.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stored_days(spark: SparkSession, path: str, like: DataFrame, batch_id: int, first: object, last: object) -> DataFrame:
+    """Stored bars of other batches between two days; none where nothing is stored yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return like.limit(0)
+    rows = [f for f in like.schema.fields if f.name != "day"]
+    schema = T.StructType([*rows, T.StructField("batch", T.LongType()), T.StructField("day", T.DateType())])
+    stored = spark.read.schema(schema).parquet(path)
+    return stored.where((F.col("batch") != batch_id) & F.col("day").between(F.lit(first), F.lit(last))).select(like.columns)
+
+
 def live_view(bars: DataFrame, n: int = 24) -> DataFrame:
     """Latest bar, last-n closes in time order and last return per symbol."""
     last = top_k(bars, ["code"], [F.desc("datetime")], n, "_k")
@@ -74,15 +83,33 @@ def live_view(bars: DataFrame, n: int = 24) -> DataFrame:
     return g.withColumn("ret", div("close", "_prev") - 1.0).drop("_prev")
 
 
-def daily_merge(stream: DataFrame, current: Callable[[], DataFrame], swap: Callable[[str], None], checkpoint: str, keys: tuple[str, ...] = ("code", "date")) -> StreamingQuery:
-    """Merge arriving daily rows into the main table; the new row wins.
+def live_view_stream(stream: DataFrame, load: Callable[[], DataFrame | None], swap: Callable[[DataFrame], None], checkpoint: str, n: int = 24) -> StreamingQuery:
+    """Keep the last n bars of every symbol while bars arrive; ``live_view`` of them is the view.
 
-    ``current`` reads the published table and ``swap`` publishes a new path.
+    ``load`` gives the bars kept so far and ``swap`` takes the new ones, as a
+    written table.  A bar that comes again replaces the kept one.
+    """
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        before = load()
+        rest = [c for c in batch.columns if c not in ("code", "datetime")]
+        bars = upsert(before if before is not None else batch.limit(0), batch, ["code", "datetime"], order=rest)
+        swap(publish(top_k(bars, ["code"], [F.desc("datetime")], n, "_k").drop("_k"), "live-bars"))
+
+    return stream.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def daily_merge(stream: DataFrame, path: str, checkpoint: str, *, order: Sequence[str], keys: tuple[str, ...] = ("code", "date"), partition: str = "date") -> StreamingQuery:
+    """Merge arriving rows into the table at ``path``, partitioned by date; the new row wins.
+
+    Only the partitions that a batch touches are read and replaced, through a
+    written copy of their new content.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        path = new_path(batch.sparkSession, "main")
-        upsert(current(), batch, list(keys)).write.parquet(path)
-        swap(path)
+        spark = batch.sparkSession
+        days = batch.select(partition).distinct()
+        near = spark.read.schema(batch.schema).parquet(path).join(days, partition, "left_semi").select(batch.columns)
+        replace_slices(publish(upsert(near, batch, list(keys), order=order), "merged-days"), path, partition)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

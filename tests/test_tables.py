@@ -41,10 +41,10 @@ def test_upsert_directions(spark):
     old = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 2.0)], "code string, date int, close double")
     new = spark.createDataFrame([("b", 1, 9.0), ("c", 1, None)], "code string, date int, close double")
     keys = ["code", "date"]
-    assert {(r.code, r.close) for r in U.upsert(old, new, keys).collect()} == {("a", 1.0), ("b", 9.0), ("c", None)}
-    assert [r.code for r in U.append_new(old, new, keys).collect()] == ["c"]
+    assert {(r.code, r.close) for r in U.upsert(old, new, keys, order=["close"]).collect()} == {("a", 1.0), ("b", 9.0), ("c", None)}
+    assert [r.code for r in U.append_new(old, new, keys, order=["close"]).collect()] == ["c"]
     prot = spark.createDataFrame([("b",)], "code string")
-    assert {(r.code, r.close) for r in U.upsert_protected(old, new, keys, prot).collect()} == {("a", 1.0), ("b", 2.0)}
+    assert {(r.code, r.close) for r in U.upsert_protected(old, new, keys, prot, order=["close"]).collect()} == {("a", 1.0), ("b", 2.0)}
 
 
 def nav(spark, values):
