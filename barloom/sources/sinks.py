@@ -39,6 +39,14 @@ def publish(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``publish`` wrote, when all that was read from it is published too."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if files and spark.sparkContext.applicationId in files[0]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def replace_slices(df: DataFrame, path: str, partition: str) -> None:
     """Replace only the partitions present in ``df``; running it twice changes nothing."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
