@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import input_tasks
 from barloom.llm.minhash import _WordHash, runs
-from barloom.sources.sinks import publish
+from barloom.sources.sinks import discard, publish
 
 PLACE = 24  # bits of a word's place in its document
 ROWS = 26  # bits of a document's place in its range
@@ -58,31 +58,55 @@ def split(text: str | None) -> list[bytes]:
 
 
 def fingerprints(h: np.ndarray, k: int) -> np.ndarray:
-    """64-bit fingerprints of all runs of k word hashes."""
+    """64-bit fingerprints of all runs of k word hashes, from those of runs half as long."""
     if len(h) < k:
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - k + 1, np.uint64)
-    for i in range(k):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[i:len(h) - k + 1 + i]
+    part, size, step = h, 1, pow(0x9E3779B97F4A7C15, 1, 1 << 64)
+    out, done = None, 0  # fingerprints of runs of ``done`` words
+    while True:
+        if k & size:
+            if out is None:
+                out = part
+            else:  # the longer part comes first
+                out = part[:len(part) - done] * np.uint64(pow(0x9E3779B97F4A7C15, done, 1 << 64)) + out[size:size + len(part) - done]
+            done += size
+        if 2 * size > k:
+            break
+        part = part[:-size] * np.uint64(step) + part[size:]
+        size, step = 2 * size, step * step % (1 << 64)
+    out = out[:len(h) - k + 1].copy()
     out ^= out >> np.uint64(29)
     out *= np.uint64(0xBF58476D1CE4E5B9)
     out ^= out >> np.uint64(32)
     return out
 
 
+def sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
+    """Smallest or largest (``best``) of each run of ``span`` values, by doubling."""
+    size = 1
+    while 2 * size <= span:
+        x = best(x[:-size], x[size:])
+        size *= 2
+    return best(x[:len(x) - (span - size)], x[span - size:]) if span > size else x
+
+
 def hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
     return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
 def window_anchors(h: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
-    """Anchor and its place for every window."""
+    """Anchor of every window, and the fingerprints of all runs of anchor length."""
     short = fingerprints(h, w.anchor)
     if len(h) < w.words:
-        return short[:0], np.empty(0, np.int64)
-    span = w.words - w.anchor + 1
-    at = np.lib.stride_tricks.sliding_window_view(short, span).argmin(1) + np.arange(len(h) - w.words + 1)
-    return short[at], at
+        return short[:0], short
+    return sliding(short, w.words - w.anchor + 1, np.minimum), short
+
+
+def anchor_places(anchors: np.ndarray, short: np.ndarray) -> np.ndarray:
+    """Places whose run is the anchor of a window: it equals the largest anchor of the windows over it."""
+    span = len(short) - len(anchors)
+    edge = np.zeros(span, np.uint64)
+    return np.nonzero(short == sliding(np.concatenate([edge, anchors, edge]), span + 1, np.maximum))[0] if len(anchors) else np.empty(0, np.int64)
 
 
 def _documents(w: Windows):
@@ -100,9 +124,8 @@ def _documents(w: Windows):
                 words = split(t.as_py())
                 if len(words) >= 1 << PLACE:
                     raise ValueError(f"a document of {len(words)} words; the limit is {1 << PLACE}")
-                anchors, at = window_anchors(hashes(words, known), w)
-                first = np.unique(at, return_index=True)[1]
-                value, times = np.unique(anchors[first], return_counts=True)
+                anchors, short = window_anchors(hashes(words, known), w)
+                value, times = np.unique(short[anchor_places(anchors, short)], return_counts=True)
                 joined = b" ".join(words)
                 for c, v in zip(cols, (row, len(words), hashlib.sha256(joined).hexdigest(), value.view(np.int64), times.astype(np.int32), pack(joined)), strict=True):
                     c.append(v)
@@ -123,7 +146,7 @@ def _passages(w: Windows):
             for i in range(b.num_rows):
                 words = unpack(b.column(1)[i].as_py()).split(b" ")
                 h = hashes(words, known)
-                anchors, at = window_anchors(h, w)
+                anchors, short = window_anchors(h, w)
                 wanted = b.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 hit = np.isin(anchors, wanted)
                 edge = np.ones(len(hit) + 1, bool)
@@ -133,7 +156,7 @@ def _passages(w: Windows):
                 for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                     if hit[s]:
                         text = b" ".join(words[s:e + w.words - 1])
-                        inner = bool(at[s] != at[e - 1]) and len(np.unique(fingerprints(h[s:e + w.words - 1], w.words))) < e - s
+                        inner = np.count_nonzero(short[s:e + w.words - w.anchor] == anchors[s]) > 1 and len(np.unique(fingerprints(h[s:e + w.words - 1], w.words))) < e - s
                         for c, v in zip(cols, (base + s, xxhash.xxh3_128_digest(text), int(anchors[s:s + 1].view(np.int64)[0]), e - s + w.words - 1, inner, text), strict=True):
                             c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -253,6 +276,8 @@ def remove_repeats(
     order = order.select("row", F.shiftleft(F.shiftright(number, 33), ROWS).bitwiseOR(number.bitwiseAND(F.lit((1 << 33) - 1))).alias("place"))
     found = publish(found, "phrase-anchors").join(publish(order, "phrase-order"), "row")
     held = publish(rows.select("row", "words").join(found, "row"), "phrase-candidates")
+    plain = publish(rows.select("row", "id", "n_words", "whole"), "phrase-plain")
+    discard(rows)
 
     seen = publish(held.select("place", "words", "anchors").mapInArrow(
         _passages(w), "at long, key binary, anchor long, size int, inner boolean, words binary"), "passages")
@@ -262,6 +287,7 @@ def remove_repeats(
     several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor")
     passages = publish(seen.select("at", "words").join(heads.join(several, "anchor").select("at", "anchor"), "at"), "passages-mixed")
 
+    discard(seen)
     window = publish(passages.select("at", "words").mapInArrow(_windows(w), "print long, at long, place long, inner boolean"), "passage-windows")
     first = window.groupBy("print").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("at")
     wanted = first.join(window.select("at", "place"), "at").groupBy("place").agg(F.sort_array(F.collect_list((F.col("at") - F.col("place")).cast("int"))).alias("offsets"))
@@ -289,6 +315,6 @@ def remove_repeats(
     changed = held.select("row", "place", "words").join(covered, "place").select("row", "words", "covers").mapInArrow(
         _drop(), "row long, n_removed long, kept string")
     changed = publish(changed, "phrase-kept")
-    return rows.select("row", "id", "n_words", "whole").join(changed, "row", "left").select(
+    return plain.join(changed, "row", "left").select(
         F.col("id").alias(id), "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce(F.sha2("kept", 256), F.col("whole")).alias("kept_sha256"), F.col("kept").alias("kept_text"))
