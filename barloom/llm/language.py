@@ -105,7 +105,8 @@ def fit(
     known = docs.select(F.col(id).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where("l is not null and t is not null")
     counts = known.groupBy("l").count()
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
-    chosen = known.join(counts.select("l", share.alias("share")), "l").where(
+    # One row per language, and languages are columns of the model: texts of a common one must not be shuffled together.
+    chosen = known.join(F.broadcast(counts.select("l", share.alias("share"))), "l").where(
         F.pmod(F.xxhash64(F.coalesce("k", F.lit(0)), F.lit(seed)), F.lit(1 << 20)) < F.col("share") * (1 << 20))
 
     def bundle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
