@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,13 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(c.cast("string")) % n
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what a Python worker makes of one is held at once."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def input_tasks(df: DataFrame, per_task: int, rows: int) -> int:
     """Number of shuffle tasks so that each gets about ``per_task`` of ``rows`` rows."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

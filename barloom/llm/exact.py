@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import keep_rows
+from barloom.llm.common import keep_rows, slices
 from barloom.sources.sinks import publish
 
 _DELETE = b" \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ def _leaders(digest: Callable[[bytes], str], chunk: int = 2000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         row = (TaskContext.get().partitionId() << 36) - 1
-        for batch in (b.slice(i, chunk) for b in batches for i in range(0, b.num_rows, chunk)):
+        for batch in slices(batches, chunk):
             ids = batch.column(0).to_pylist()
             groups: dict[tuple[str, bytes], list] = {}
             out = {k: [None] * len(ids) for k in ("row", "lead", "digest", "content", "n", "members")}

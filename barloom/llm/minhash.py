@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import input_tasks, keep_rows
+from barloom.llm.common import input_tasks, keep_rows, slices
 from barloom.llm.components import connected_components
 from barloom.sources.sinks import publish
 
@@ -59,7 +59,7 @@ class MinHash:
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
@@ -104,7 +104,7 @@ def _sets(p: MinHash):
         b = rng.integers(0, 1 << 63, p.size, np.uint64) * np.uint64(2)
         known, pack = _WordHash(), zstandard.ZstdCompressor(level=1).compress
         row = (TaskContext.get().partitionId() << 36) - 1
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
             for t in batch.column(1):
                 row += 1

@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import slices
 from barloom.llm.tokens import encoder
 from barloom.sources.sinks import publish
 
@@ -132,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, *, id: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, row = encoder(tokenizer), (TaskContext.get().partitionId() << 36) - 1
-        for b in batches:
+        for b in slices(batches):
             out: list[tuple] = []
             for doc, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 raw = np.append(enc.ids(t.as_py() or ""), np.array([end], "<u4")).tobytes()

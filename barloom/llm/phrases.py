@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import input_tasks
+from barloom.llm.common import input_tasks, slices
 from barloom.llm.minhash import _WordHash, runs
 from barloom.sources.sinks import discard, publish
 
@@ -117,7 +117,7 @@ def _documents(w: Windows):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, pack = _WordHash(), zstandard.ZstdCompressor(level=1).compress
         row = (TaskContext.get().partitionId() << 36) - 1
-        for b in batches:
+        for b in slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column(1):
                 row += 1
@@ -141,7 +141,7 @@ def _passages(w: Windows):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, unpack = _WordHash(), zstandard.ZstdDecompressor().decompress
-        for b in batches:
+        for b in slices(batches, 500):
             cols: list[list] = [[] for _ in schema]
             for i in range(b.num_rows):
                 words = unpack(b.column(1)[i].as_py()).split(b" ")
