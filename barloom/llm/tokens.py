@@ -4,12 +4,14 @@ The vocabulary is read from a tokenizer file of the tokenizers library.  In
 such a file the ids of a byte-level vocabulary are the ranks of its merges, so
 tiktoken's encoder, several times faster on open vocabularies, can run it.
 Every encoder compares the two on the first texts it sees and stops with an
-error if they differ.
+error if they differ.  Texts that tiktoken's regular expressions cannot split,
+those with white-space runs of about a million characters, go to tokenizers.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import sys
 import types
 from collections.abc import Sequence
@@ -18,6 +20,9 @@ import numpy as np
 
 #: How byte-level vocabularies split text before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: White-space runs from here on are not given to tiktoken, whose stack holds about 1,000,000 characters of one.
+LONG_SPACE = 500_000
+_SPACES = re.compile(r"\s+")
 
 
 def _letters() -> dict[str, int]:
@@ -27,6 +32,10 @@ def _letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def long_space(text: str) -> bool:
+    return len(text) >= LONG_SPACE and any(m.end() - m.start() >= LONG_SPACE for m in _SPACES.finditer(text))
+
+
 class TextEncoder:
     def __init__(self, path: str, checked: int = 4):
         import tiktoken
@@ -40,21 +49,38 @@ class TextEncoder:
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for b, i in ranks.items():
             self.size[i] = len(b)
-        self.path, self.unchecked = path, checked
-
-    def _check(self, text: str, ids: list[int]) -> None:
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        if tokenizer.encode(text, add_special_tokens=False).ids != ids:
-            raise ValueError(f"{self.path} is not a byte-level vocabulary ranked by id")
+        self.path, self.unchecked, self.tokenizer = path, checked, None
+
+    def _plain(self, text: str) -> list[int]:
+        """Ids by the tokenizers library."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.path)
+            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _fast(self, text: str) -> list[int] | None:
+        """Ids by tiktoken; none if it fails on the text."""
+        if long_space(text):
+            return None
+        try:
+            return self.encoder.encode_ordinary(text)
+        except BaseException as e:  # a panic is no Exception
+            if type(e).__name__ != "PanicException":
+                raise
+            return None
 
     def ids(self, text: str) -> np.ndarray:
-        ids = self.encoder.encode_ordinary(text)
+        ids = self._fast(text)
+        if ids is None:
+            return np.array(self._plain(text), "<u4")
         if self.unchecked and text:
             self.unchecked -= 1
-            self._check(text, ids)
+            if self._plain(text) != ids:
+                raise ValueError(f"{self.path} is not a byte-level vocabulary ranked by id")
+            if not self.unchecked:
+                self.tokenizer = None  # its memory
         return np.array(ids, "<u4")
 
     def spans(self, text: str) -> np.ndarray:

@@ -342,6 +342,31 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
         assert [tuple(x) for x in enc.spans(t).tolist()] == done.offsets
 
 
+def test_long_white_space_is_encoded(spark, tokenizer):
+    from barloom.llm.tokens import TextEncoder, long_space
+
+    enc = TextEncoder(Q.vocabulary())
+    texts = [f"a{c * 1_100_000}b" for c in " \n\u00a0"] + [" " * 1_100_000, "a b " * 200_000]
+    assert [long_space(t) for t in texts] == [True] * 4 + [False]
+    for t in texts:
+        done = tokenizer.encode(t, add_special_tokens=False)
+        assert enc.ids(t).tolist() == done.ids
+        assert np.array_equal(enc.spans(t), done.offsets)
+    docs = frame(spark, [(1, texts[0], "en", "s"), (2, "a b", "en", "s")])
+    want = [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in (texts[0], "a b")]
+    per = dict(token_counts.count(docs, Q.vocabulary()).groupBy("doc_id").agg(F.sum("n_tokens")).collect())
+    assert [per[1], per[2]] == want
+    assert packing.pack_documents(docs, Q.vocabulary()).agg(F.sum("length")).first()[0] == sum(want) + 2
+
+
+def test_tokenizer_takes_over_when_the_fast_encoder_fails(tokenizer, monkeypatch):
+    from barloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "LONG_SPACE", 10_000_000)
+    t = f"a{' ' * 1_100_000}b"
+    assert tokens.TextEncoder(Q.vocabulary()).ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing(odd, none, tokenizer):
     got = packing.pack_documents(odd, Q.vocabulary(), capacity=64, shard_items=12).collect()
     want = []
