@@ -4,17 +4,19 @@ The standard library's streaming parser turns a page into lines: the text
 between two block-level tags, with the number of tags met inside it.  A line's
 text-to-tag ratio is its length by that number.  The ratios are smoothed along
 the page with a Gaussian and cut at a threshold (the mean of the page's
-smoothed ratios); the lines above it form the content cluster.  The content
-region is the element that holds the cluster: an article or main element if one
-holds any of it, else the deepest element with most of its mass.  Every line of
-the region is kept, short ones too, except what markup declares as something
-else (navigation, adverts, forms, comments ...), whose ratio counts as zero.
+smoothed ratios); the lines above it form the content cluster.  What markup
+declares as something else (navigation, adverts, forms, comments ...) has ratio
+zero and is set aside.  The content region has to hold the cluster, the main
+headings and every other line that is not mostly links: if article or main
+elements hold any of the cluster, these of all of them, else those of the page.
+It is the deepest element that does, and all its lines are kept that are not
+set aside, short ones too.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,6 +33,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset(
     "head nav footer aside form script style noscript template iframe object svg canvas button select textarea dialog menu "
     "title datalist audio video map".split())
+#: Elements that say that they hold the page's content.
+NAMED = frozenset(("article", "main"))
 #: Words of class, id and role that mark such content on any element.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent "
@@ -48,16 +52,19 @@ class _Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, set aside
         self.elements: list[tuple[str, int]] = []  # tag, parent's number
+        self.linked: list[bool] = []  # whether an element is a link or inside one
         self.lines: list[tuple[str, int, bool, int]] = []
+        self.links: list[bool] = []  # whether a line is mostly links
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.in_links = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             top = self.stack[-1] if self.stack else ("", -1, False)
             self.lines.append((text, self.tags, top[2], top[1]))
-        self.parts, self.tags = [], 0
+            self.links.append(2 * self.in_links > len(text))
+        self.parts, self.tags, self.in_links = [], 0, 0
 
     def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in ASIDE:
@@ -90,6 +97,8 @@ class _Lines(HTMLParser):
                 if t in BLOCKS or t in ASIDE:
                     break
         aside = bool(self.stack and self.stack[-1][2]) or self.marked(tag, attrs)
+        link = tag == "a" and any(k == "href" for k, _ in attrs) or bool(self.stack) and self.linked[self.stack[-1][1]]
+        self.linked.append(link)
         self.elements.append((tag, self.stack[-1][1] if self.stack else -1))
         self.stack.append((tag, len(self.elements) - 1, aside))
 
@@ -112,6 +121,8 @@ class _Lines(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.stack and self.linked[self.stack[-1][1]]:
+            self.in_links += len(" ".join(data.split()))
 
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
@@ -122,7 +133,7 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     return full(values) / full(np.ones(len(values)))
 
 
-def main_text(html: str | None, sigma: float = 1.0, majority: float = 0.6) -> str:
+def main_text(html: str | None, sigma: float = 1.0) -> str:
     """Blocks of the content region, one blank line between two; empty if there is none."""
     if not html:
         return ""
@@ -141,27 +152,34 @@ def main_text(html: str | None, sigma: float = 1.0, majority: float = 0.6) -> st
     content = (even >= min(even.mean(), even.max())) & (ratio > 0)
     if not content.any():
         content = ratio == ratio.max()
-    mass: dict[int, float] = {}
-    above: dict[int, list[int]] = {}
-    for i, (_, _, aside, e) in enumerate(lines):
-        if aside:
-            continue
-        if e not in above:
+    above: dict[int, list[int]] = {-1: [-1]}
+    for _, _, aside, e in lines:
+        if not aside and e not in above:
             chain, x = [], e
             while x >= 0:
                 chain.append(x)
                 x = elements[x][1]
             above[e] = chain + [-1]
-        if content[i]:
-            for x in above[e]:
-                mass[x] = mass.get(x, 0.0) + ratio[i]
-    named = [x for x in mass if x >= 0 and elements[x][0] in ("article", "main")]
-    if named:
-        region = max(named, key=lambda x: (mass[x], x))  # the inner one of two with the same mass
+    head = {e for e, chain in above.items() if any(elements[x][0] == "h1" for x in chain if x >= 0)}
+    needed = [i for i, (_, _, aside, e) in enumerate(lines) if not aside and (content[i] or not parser.links[i] or e in head)]
+    outer: dict[int, list[int]] = {}  # needed lines by outermost article or main element
+    for i in needed:
+        named = [x for x in above[lines[i][3]] if x >= 0 and elements[x][0] in NAMED]
+        if named:
+            outer.setdefault(named[-1], []).append(i)
+    if any(content[i] for held in outer.values() for i in held):
+        regions = {_deepest(held, lines, above, lambda x: x >= 0 and elements[x][0] in NAMED) for held in outer.values()}
     else:
-        held = [x for x in mass if mass[x] >= majority * mass[-1] and (x < 0 or elements[x][0] in BLOCKS and elements[x][0] not in ("p", "li", "td", "tr", "h1", "h2"))]
-        region = max(held)  # numbers grow inwards along one chain
-    return "\n\n".join(text for text, _, aside, e in lines if not aside and region in above[e])
+        regions = {_deepest(needed, lines, above, lambda x: x < 0 or elements[x][0] in BLOCKS and elements[x][0] not in ("p", "li", "td", "tr", "h1", "h2"))}
+    return "\n\n".join(text for text, _, aside, e in lines if not aside and not regions.isdisjoint(above[e]))
+
+
+def _deepest(held: list[int], lines: list[tuple[str, int, bool, int]], above: dict[int, list[int]], fit: Callable[[int], bool]) -> int:
+    """The deepest fitting element that holds all these lines."""
+    common = set(above[lines[held[0]][3]])
+    for e in {lines[i][3] for i in held}:
+        common.intersection_update(above[e])
+    return max(x for x in common if fit(x))  # numbers grow inwards along one chain
 
 
 def extract(html: str | Column = "html") -> Column:

@@ -293,6 +293,25 @@ def test_page_text(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG, LESS = "word " * 109 + "words", "text " * 89 + "texts"
+WHOLE_PAGES = [  # lines of the page, all of which are the article's, and markup around them
+    ("<div><section><p>{0}</p></section><section><p>{1}</p></section></div>", [LONG, LESS]),
+    ("<body><h1>{0}</h1><div class=body><p>{1}</p><p>{2}</p></div></body>", ["Head", LONG, LESS]),
+    ("<body><h1><a href=/>{0}</a></h1><div class=body><p>{1}</p></div></body>", ["Head", LONG]),
+    ("<body><ul><li><a href=/a>menu</a><li><a href=/b>more</a></ul><div><h1>{0}</h1><p>{1}</p><p>{2}</p></div></body>", ["Head", "Few words.", LONG]),
+    *((f"<div><p>{{0}}</p>{quote}<p>{{2}}</p></div>", ["Before.", LONG, "Behind it."]) for quote in (
+        "<blockquote><p>{1}</p></blockquote>", "<ul><li>{1}</li></ul>", "<table><tr><td>{1}</td></tr></table>", "<pre>{1}</pre>")),
+    ("<article><p>{0}</p></article><article><p>{1}</p></article><article>{2}</article>", [LONG, LESS, "Short."]),
+    ("<main><h1>{0}</h1><article><p>{1}</p></article></main>", ["Head", LONG]),
+    ("<div><section><p>{0}</p></section><section><p>{1}</p></section></div><div class=comments><p>no</p></div>", [LONG, "End."]),
+]
+
+
+@pytest.mark.parametrize("page, parts", WHOLE_PAGES)
+def test_page_text_is_whole(page, parts):
+    assert html_text.main_text(page.format(*parts)) == "\n\n".join(parts)
+
+
 def test_pages_of_a_table(spark):
     df = spark.createDataFrame([(i, p, "t") for i, (p, _) in enumerate(PAGES)], "page_id long, html string, text string")
     assert [r.x for r in df.orderBy("page_id").select(html_text.extract().alias("x")).collect()] == [t for _, t in PAGES]
