@@ -13,7 +13,10 @@ code's region: the largest over the planes that separate it from other codes.
 The radius is the larger of two figures: what a change of direction at the
 threshold, spread evenly over the dimensions, needs for the target recall, and
 what the links of a bounded set of queries need, found by comparing them with
-all vectors.
+all vectors.  The queries are drawn in turn from the occupied cells of all
+labels and each counts once, however many links it has, so a crowded group
+does not speak for the rest; behind the largest needs an exponential tail is
+assumed.
 """
 
 from __future__ import annotations
@@ -126,18 +129,18 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _needed(grid: Grid, queries: list[tuple[str, int, np.ndarray]], threshold: float, bins: int):
-    """Arrow pass: how many of the queries' links lie in each bin of the summed bound."""
-    by_key: dict[tuple[str, int], list[np.ndarray]] = {}
-    for label, dim, x in queries:
-        by_key.setdefault((label, dim), []).append(x)
+    """Arrow pass: how many links of each query lie in each bin of the summed bound."""
+    by_key: dict[tuple[str, int], list[int]] = {}
+    for n, (label, dim, _) in enumerate(queries):
+        by_key.setdefault((label, dim), []).append(n)
     sides = {}
-    for k, xs in by_key.items():
-        q = np.stack(xs)
-        sides[k] = (q, *grid.bounds(q))
+    for k, ns in by_key.items():
+        q = np.stack([queries[n][2] for n in ns])
+        sides[k] = (np.array(ns), q, *grid.bounds(q))
     widest = 2 - 2 * threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = np.zeros(bins + 1, np.int64)
+        count = np.zeros(len(queries) * (bins + 1), np.int64)
         for b in batches:
             x = _unit(_vectors(b.column(2), grid.dim))
             labels, dims = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -147,17 +150,40 @@ def _needed(grid: Grid, queries: list[tuple[str, int, np.ndarray]], threshold: f
             for k, at in rows.items():
                 if k not in sides:
                     continue
-                q, left, right = sides[k]
+                number, q, left, right = sides[k]
                 cell = grid.cells(x[at])
                 i, j = np.nonzero(q @ x[at].T >= threshold)
                 a, c = np.divmod(cell[j], len(grid.right))
                 need = left[i, a] + right[i, c]
-                count += np.bincount(np.minimum((need / widest * bins).astype(int), bins), minlength=bins + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(bins + 1)), pa.array(count)], names=["bin", "n"])
+                count += np.bincount(number[i] * (bins + 1) + np.minimum((need / widest * bins).astype(int), bins), minlength=len(count))
+        some = np.nonzero(count)[0]
+        query, at = np.divmod(some, bins + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(at), pa.array(count[some])], names=["query", "bin", "n"])
 
     return run
 
 
+def spread_out(groups: list, n: int, seed: int) -> list[int]:
+    """Places of n of the groups' members, one of each group in turn, in random order."""
+    turn, seen = [], {}
+    for i in np.random.default_rng(seed).permutation(len(groups)).tolist():
+        seen[groups[i]] = seen.get(groups[i], -1) + 1
+        turn.append((seen[groups[i]], len(turn), i))
+    return [i for _, _, i in sorted(turn)[:n]]
+
+
+def reach(found: np.ndarray, recall: float) -> float:
+    """Bins up to which queries have the share ``recall`` of their links; found: links by query and bin."""
+    found = found[found.sum(1) > 0]
+    if not len(found):
+        return 0.0
+    needs = np.sort((found.cumsum(1) >= recall * found.sum(1)[:, None]).argmax(1) + 1.0)
+    tail = needs[-max(1, len(needs) // 10):]
+    beyond = math.log(len(tail) / len(needs) / (1 - recall)) if recall < 1 else math.inf
+    excess = tail.mean() - tail[0]
+    return max(needs[-1], tail[0] + excess * max(0.0, beyond) if excess else 0.0)
+
+
 def _probe(grid: Grid, radius: float):
     """Arrow pass (row, label, dim, vec, times) -> stored vectors (probe false) and their visits (probe true)."""
     names = ["label", "dim", "cell", "probe", "row", "times", "vec"]
@@ -240,13 +266,14 @@ def near_vectors(
         x = _unit(_vectors(pa.array([bytes(r.vec) for r in picked] or [b"\0" * 7 + b"\x3f"], pa.binary()), stats.dim))
         k = int(min(256, max(2, round((stats.n / max(1, stats.labels) / cell_rows) ** 0.5))))
         grid = Grid(codebook(x[:, :stats.dim // 2], k, seed), codebook(x[:, stats.dim // 2:], k, seed + 1), stats.dim)
-        some = np.random.default_rng(seed).permutation(len(picked))[:queries]
+        some = spread_out([(r.label, r.dim, c) for r, c in zip(picked, grid.cells(x).tolist(), strict=False)], queries, seed)
         asked = [(picked[i].label, picked[i].dim, x[i]) for i in some]
         widest, bins = 2 - 2 * threshold, 500
-        counts = dict(heads.select("label", "dim", "vec").mapInArrow(_needed(grid, asked, threshold, bins), "bin long, n long").groupBy("bin").agg(F.sum("n")).collect())
-        found = np.array([counts.get(i, 0) for i in range(bins + 1)], float)
-        found[0] = max(0.0, found[0] - len(asked))  # each query meets itself
-        measured = (int(np.searchsorted(found.cumsum(), recall * found.sum())) + 1) / bins * widest if found.sum() else 0.0
+        found = np.zeros((len(asked), bins + 1))
+        for r in heads.select("label", "dim", "vec").mapInArrow(_needed(grid, asked, threshold, bins), "query long, bin long, n long").groupBy("query", "bin").agg(F.sum("n").alias("n")).collect():
+            found[r.query, r.bin] = r.n
+        found[:, 0] = np.maximum(0, found[:, 0] - 1)  # each query meets itself
+        measured = reach(found, recall) / bins * widest
         even = -2 * math.log(1 - recall) * widest / stats.dim if recall < 1 else widest  # chi-square with two degrees
         radius = min(widest, max(measured, even))
         spread = publish(heads.select("row", "label", "dim", "vec", "times").mapInArrow(

@@ -216,6 +216,30 @@ def test_vectors_match_brute_force(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim, flat", [(64, 8), (128, 8)])
+def test_vectors_outside_a_hot_group_are_found(spark, dim, flat):
+    rng = np.random.default_rng(7)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    scale = np.where(rng.permutation(dim) < flat, 1, 0.02)
+    hot = unit(rng.normal(size=(1, dim)) * scale) + rng.normal(size=(2000, dim)) * 1e-4
+    a, p = (unit(rng.normal(size=(2000, dim)) * scale) for _ in range(2))
+    p = unit(p - (p * a).sum(1, keepdims=True) * a)
+    c = rng.uniform(0.93, 0.95, (2000, 1))
+    x = np.concatenate([hot, a, c * a + np.sqrt(1 - c * c) * p])
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    n = np.array([r.n_links for r in multi_index.near_vectors(df, cell_rows=16).orderBy("vec_id").collect()])
+    want = (unit(x) @ unit(x).T >= 0.93).sum(1) - 1
+    outside = (np.arange(len(x)) >= 2000) & (want < 1000)
+    assert (n <= want).all() and n[outside].sum() >= 0.998 * want[outside].sum()
+
+
+def test_reach_counts_each_query_once():
+    found = np.zeros((300, 501))
+    found[:100, 0], found[100:, 200] = 10_000, 1
+    assert multi_index.reach(found, 0.999) >= 201 and multi_index.reach(found[:0], 0.999) == 0
+    assert sorted(multi_index.spread_out(["hot"] * 98 + ["a", "b"], 3, 1))[1:] == [98, 99]
+
+
 def test_traversal_is_in_order_and_complete():
     rng = np.random.default_rng(1)
     a, b = rng.random(9), rng.random(7)
