@@ -7,20 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import exact, html_text, language, minhash, mixing, multi_index, packing, phrases, quality, token_counts
+from barloom.llm import (
+    alignment,
+    exact,
+    html_text,
+    language,
+    minhash,
+    mixing,
+    multi_index,
+    packing,
+    phrases,
+    quality,
+    token_counts,
+    whitening,
+)
 from barloom.llm.common import fold, read
 
 QUALITY_CUT = 0.3
 VOCABULARY = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def vocabulary() -> str:
-    """Path of the public tokenizer file, the same on every machine."""
+def vocabulary(name: str = VOCABULARY) -> str:
+    """Path of a public tokenizer file, the same on every machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -98,3 +112,13 @@ def op9_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_mixing", mixing.MIX_SQL)
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op12_alignment")
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(read(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_long(read(spark, sf_dir, "embeddings"))
