@@ -12,6 +12,7 @@ from barloom.llm import (
     exact,
     html_text,
     language,
+    line_labels,
     minhash,
     mixing,
     multi_index,
@@ -114,6 +115,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
+@query("op11_lines")
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    field = line_labels.fit(docs, read(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return line_labels.judge(line_labels.label_lines(docs, field, spans=False))
+
+
 @query("op12_alignment")
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(read(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
