@@ -4,13 +4,14 @@ The log has sym, date, action (BUY/SELL), price, shares and ``seq``, which
 orders a symbol's trades of one day.  Everything that adds up is summed per (symbol, day)
 on the map side first, so later windows run on at most one row per symbol and
 day.  Only the rounded weighted-average cost depends on the order of single
-trades; it is folded in a stream, per holding episode.
+trades; it is folded in blocks of the log, most of which need no predecessor.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,74 +30,193 @@ def signed_shares() -> Column:
     return F.when(is_buy(), F.col("shares")).when(F.col("action") == "SELL", -F.col("shares")).otherwise(0)
 
 
-def prefix_sum(df: DataFrame, value: Column, out: str, *, key: str = "sym", date: str = "date", seq: str = "seq", block: str = "month") -> DataFrame:
-    """Sum of ``value`` over the earlier rows of the key (current row excluded).
+def in_blocks(trades: DataFrame) -> DataFrame:
+    """The log as a written table whose ``block`` numbers ranges of (sym, date, seq): a symbol's trades spread over as many tasks as they fill."""
+    return publish(trades.repartitionByRange("sym", "date", "seq").withColumn("block", F.spark_partition_id()), "trade-blocks")
 
-    Rows are summed per (key, block) first; the running offsets are windows
-    over blocks, and the inner sums windows over one block, so a key with very
-    many rows is spread over its blocks.
-    """
-    marked = df.withColumns({"_b": F.trunc(date, block), "_x": value})
-    sums = marked.groupBy(key, "_b").agg(F.sum("_x").alias("_s"))
-    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_off", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
-    inside = Window.partitionBy(key, "_b").orderBy(date, seq).rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("_in", F.coalesce(F.sum("_x").over(inside), F.lit(0)))
-    return marked.join(sums, [key, "_b"]).withColumn(out, F.col("_off") + F.col("_in")).drop("_b", "_x", "_off", "_in")
+
+def rounded(x: np.ndarray, digits: int) -> np.ndarray:
+    """Decimal rounding of each value as ``round`` does it; values close to a tie are left to it."""
+    scale = 10.0**digits
+    y = x * scale
+    out = np.rint(y) / scale
+    for i in np.nonzero(np.abs(y - np.floor(y) - 0.5) < 1e-4)[0].tolist():
+        out[i] = round(float(x[i]), digits)
+    return out
+
+
+PIECE = 256  # trades of one symbol that are folded in one step of a vector
+
+
+def _steps(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For the first, second ... trade of all pieces: which pieces have one, and its row."""
+    order = np.argsort(-sizes, kind="stable")
+    for t in range(int(sizes.max(initial=0))):
+        live = order[:np.searchsorted(-sizes[order], -t, "left")]
+        yield live, starts[live] + t
+
+
+def _cost(cost: np.ndarray, held: np.ndarray, shares: np.ndarray, price: np.ndarray) -> np.ndarray:
+    """Average after buys; a buy while flat or short restarts it."""
+    some = held > 0
+    return rounded(np.where(some, (held * cost + shares * price) / np.where(some, held + shares, 1), price), 4)
+
+
+def _ends(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cost after each piece from the lowest and the highest cost before it; every step is monotone."""
+    low, high = low.copy(), high.copy()
+    for live, at in _steps(starts, sizes):
+        buy = rows["buy"][at]
+        live, at = live[buy], at[buy]
+        held, shares, price = rows["held"][at], rows["shares"][at], rows["price"][at]
+        low[live], high[live] = _cost(low[live], held, shares, price), _cost(high[live], held, shares, price)
+    return low, high
 
 
-_FOLD = "sym string, episode bigint, avg_cost double, realized double, has_buy boolean"
+def _gains(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Realised profit of each piece in cents, from the cost before it."""
+    cost, cents = cost.copy(), np.zeros(len(starts), np.int64)
+    for live, at in _steps(starts, sizes):
+        buy, held, shares, price = (rows[n][at] for n in ("buy", "held", "shares", "price"))
+        sold = np.where(buy, 0, np.minimum(shares, np.maximum(held, 0)))
+        cents[live] += np.rint(rounded((price - cost[live]) * sold, 2) * 100).astype(np.int64)
+        b = live[buy]
+        cost[b] = _cost(cost[b], held[buy], shares[buy], price[buy])
+    return cents
+
+
+_BLOCK = "sym string, block int, low double, high double, cents bigint"
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stream the ordered trades of each episode; the state is three numbers."""
-    out: dict[str, list] = {"sym": [], "episode": [], "avg_cost": [], "realized": [], "has_buy": []}
-    key, cost, realized, bought = None, 0.0, 0.0, False
+    """Ordered trades of (sym, unit) runs -> cost after each (sym, block), and its profit where the cost before it is known.
+
+    A run starts with cost between ``low0`` and ``high0``.  Pieces of trades are
+    folded from both ends at once; where these meet, the cost before a piece no
+    longer matters.  Only the other pieces wait for the piece before them.
+    """
+    schema = pa.schema([("sym", pa.string()), ("block", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("cents", pa.int64())])
+    run = block = None  # (sym, unit), (sym, block)
+    low = high = cents = held = 0
+    known = True
+    least = most = 0.0  # bounds of the run's costs so far
+    out: list[list] = [[] for _ in schema]
 
     def close() -> None:
-        if key is not None:
-            for name, v in zip(out, (*key, cost, realized, bought)):
-                out[name].append(v)
+        if block is not None:
+            for c, v in zip(out, (*block, low, high, cents if known else None), strict=True):
+                c.append(v)
 
     for batch in batches:
-        cols = [batch.column(n).to_pylist() for n in ("sym", "episode", "buy", "price", "shares", "held")]
-        for sym, episode, buy, price, shares, held in zip(*cols):
-            if (sym, episode) != key:
-                close()
-                key, cost, realized, bought = (sym, episode), 0.0, 0.0, False
-            if buy:
-                cost = round((held * cost + shares * price) / (held + shares), 4) if held > 0 else round(price, 4)
-                bought = True
-            else:
-                sold = min(shares, max(held, 0))
-                if sold > 0:
-                    realized = round(realized + (price - cost) * sold, 2)
-        if len(out["sym"]) >= 10000:
-            yield pa.RecordBatch.from_pydict(out)
-            out = {n: [] for n in out}
+        if not batch.num_rows:
+            continue
+        sym = batch.column(0).dictionary_encode()
+        names, sym = sym.dictionary.to_pylist(), sym.indices.to_numpy()
+        unit, number, buy, price, shares, held0, low0, high0 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 9))
+        edge = np.append(True, (sym[1:] != sym[:-1]) | (number[1:] != number[:-1]) | (unit[1:] != unit[:-1]))
+        place = np.arange(len(sym)) - np.maximum.accumulate(np.where(edge, np.arange(len(sym)), 0))
+        starts = np.nonzero(place % PIECE == 0)[0]
+        sizes = np.diff(np.append(starts, len(sym)))
+        signed = np.where(buy, shares, -shares)
+        total = np.cumsum(signed) - signed
+        first = np.nonzero(edge)[0]
+        base = held0[first] - total[first]
+        if (names[sym[0]], int(number[0])) == block:
+            base[0] = held - total[0]
+        rows = {"buy": buy, "price": price, "shares": shares, "held": total + np.repeat(base, np.diff(np.append(first, len(sym))))}
+        turn = np.nonzero(np.append(True, (sym[1:] != sym[:-1]) | (unit[1:] != unit[:-1])))[0]
+        floor = np.minimum(np.minimum.reduceat(np.where(buy, price, np.inf), turn) - 1e-4, low0[turn])
+        roof = np.maximum(np.maximum.reduceat(np.where(buy, price, -np.inf), turn) + 1e-4, high0[turn])
+        if (names[sym[0]], int(unit[0])) == run:
+            floor[0], roof[0] = min(floor[0], least), max(roof[0], most)
+        least, most = floor[-1], roof[-1]
+        of = np.searchsorted(turn, starts, "right") - 1
+        ends = _ends(rows, starts, sizes, floor[of], roof[of])
+        before, owner, done = np.zeros(len(starts)), [], []  # cost before each piece; its block's place in ``done``
+        exact = np.zeros(len(starts), bool)
+        for k, s in enumerate(starts.tolist()):
+            name, b = names[sym[s]], int(number[s])
+            if (name, b) != block:
+                if owner or block is not None:
+                    done.append((block, low, high, cents, known))
+                if (name, int(unit[s])) != run:
+                    run, low, high = (name, int(unit[s])), float(low0[s]), float(high0[s])
+                block, cents, known = (name, b), 0, True
+            owner.append(len(done))
+            before[k], exact[k] = low, low == high
+            known &= low == high
+            a, z = float(ends[0][k]), float(ends[1][k])
+            if a != z:
+                one = slice(k, k + 1)
+                x, y = _ends(rows, starts[one], sizes[one], np.array([low]), np.array([high]))
+                a, z = float(x[0]), float(y[0])
+            low, high = a, z
+        held = int(rows["held"][-1] + signed[-1])
+        made = np.zeros(len(done) + 1, np.int64)
+        np.add.at(made, np.array(owner)[exact], _gains(rows, starts[exact], sizes[exact], before[exact]))
+        for (key, x, y, c, ok), more in zip(done, made.tolist(), strict=False):
+            if key is not None:
+                for col, v in zip(out, (*key, x, y, c + more if ok else None), strict=True):
+                    col.append(v)
+        cents += int(made[-1])
+        if len(out[0]) >= 10000:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+            out = [[] for _ in schema]
     close()
-    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([
-        ("sym", pa.string()), ("episode", pa.int64()), ("avg_cost", pa.float64()), ("realized", pa.float64()), ("has_buy", pa.bool_())]))
+    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
+
+
+def _folded(log: DataFrame, units: DataFrame) -> DataFrame:
+    """Cost and profit of the blocks of ``units`` (sym, block, unit, held0, low0, high0)."""
+    rows = log.where(F.col("action").isin("BUY", "SELL")).join(units, ["sym", "block"])
+    rows = rows.repartition("sym", "unit").sortWithinPartitions("sym", "unit", "block", "date", "seq").select(
+        "sym", "unit", "block", is_buy().alias("buy"), F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"),
+        F.coalesce(F.col("shares").cast("bigint"), F.lit(0)).alias("shares"), "held0", "low0", "high0")
+    return rows.mapInArrow(_fold, _BLOCK)
+
+
+def first_names(log: DataFrame) -> DataFrame:
+    """(sym, name): the first name of a symbol that is not empty; its day is found first, by hashing."""
+    named = log.where(F.coalesce(F.col("name"), F.lit("")) != "").select("sym", "date", "seq", "name")
+    day = named.groupBy("sym").agg(F.min("date").alias("date"))
+    return named.join(day, ["sym", "date"]).groupBy("sym").agg(F.min_by("name", "seq").alias("name"))
 
 
 def positions(trades: DataFrame) -> DataFrame:
     """Position state per symbol: weighted-average cost, realised profit, totals and status.
 
-    A buy while flat or short restarts the average, so the log of a symbol
-    falls apart into independent episodes; they are folded in parallel.
+    With a ``name`` column, also the first name that is not empty.  The log is
+    cut into blocks by range, so a symbol with any share of all trades is many
+    blocks.  Shares held before each block are running sums over blocks.  The
+    rounded average is folded per block from the lowest and the highest cost it
+    may start with; most blocks end with one cost whatever came before.  Blocks
+    whose start was open then are folded again from the cost that is known by
+    now, side by side; a block that did not settle runs with the one behind it.
+    The profit of each sale is rounded to cents and added exactly; where it is
+    half a cent, a total that is rounded at every sale may go the other way.
     """
-    # every later step reads this once-written narrow table
-    log = publish(prefix_sum(trades.select("sym", "date", "seq", "action", "price", "shares"), signed_shares(), "held"), "held")
-    restart = F.when(is_buy() & (F.col("held") <= 0), 1).otherwise(0)
-    ep = prefix_sum(log.withColumn("_restart", restart), F.col("_restart"), "_before").withColumn("episode", (F.col("_before") + F.col("_restart")).cast("bigint"))
-    ordered = (
-        ep.where(F.col("action").isin("BUY", "SELL")).select("sym", "episode", "date", "seq", is_buy().alias("buy"), "price", F.col("shares").cast("bigint"), F.col("held").cast("bigint"))
-        .repartition("sym", "episode").sortWithinPartitions("sym", "episode", "date", "seq").drop("date", "seq")
-    )
-    folded = ordered.mapInArrow(_fold, _FOLD)
-    costs = folded.groupBy("sym").agg(
-        F.coalesce(F.max_by("avg_cost", F.when(F.col("has_buy"), F.col("episode"))), F.lit(0.0)).alias("weighted_avg_cost"),
-        F.round(F.sum("realized"), 2).alias("realized_pnl"))
+    named = ["name"] if "name" in trades.columns else []
+    log = in_blocks(trades.select("sym", "date", "seq", "action", "price", "shares", *named))
+    price = F.when(is_buy(), F.round(F.col("price").cast("double"), 4))
+    blocks = log.groupBy("sym", "block").agg(F.sum(signed_shares()).cast("bigint").alias("_s"), F.min(price).alias("_low"), F.max(price).alias("_high"))
+    before = Window.partitionBy("sym").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # a cost lies between the prices paid before; wider by a digit, as both sides may round ties their own way
+    blocks = blocks.select(
+        "sym", "block", F.col("block").alias("unit"), F.coalesce(F.sum("_s").over(before), F.lit(0)).cast("bigint").alias("held0"),
+        F.coalesce(F.min("_low").over(before) - 1e-4, F.lit(0.0)).alias("low0"), F.coalesce(F.max("_high").over(before) + 1e-4, F.lit(0.0)).alias("high0"))
+    blocks = publish(blocks, "trade-units")  # one row per symbol and block
+    once = publish(_folded(log, blocks), "trade-costs")
+    settled = F.col("low") == F.col("high")
+    past = Window.partitionBy("sym").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    state = once.withColumns({
+        "chain": F.coalesce(F.count(F.when(settled, 1)).over(past), F.lit(0)).cast("int"), "start": F.last(F.when(settled, F.col("low")), ignorenulls=True).over(past)})
+    open_ = state.where("cents is null").join(blocks.select("sym", "block", "held0"), ["sym", "block"]).select(
+        "sym", "block", F.col("chain").alias("unit"), "held0", F.col("start").alias("low0"), F.col("start").alias("high0"))
+    open_ = publish(open_, "trade-open")
+    final = once
+    if not open_.isEmpty():
+        final = once.where("cents is not null").unionByName(_folded(log, open_))
+    newest = final.groupBy("sym").agg(F.max_by("low", "block").alias("weighted_avg_cost"), (F.sum("cents") / 100.0).alias("realized_pnl"))
     sell = F.col("action") == "SELL"
     cents = F.round(F.col("shares") * F.col("price"), 2)
     totals = log.groupBy("sym").agg(
@@ -110,7 +230,8 @@ def positions(trades: DataFrame) -> DataFrame:
     )
     n = F.col("net_shares")
     status = F.when(n > 0, "holding").when(n < 0, "short").when(F.col("total_buy_shares") > 0, "closed").otherwise("none")
-    return totals.join(costs, "sym", "left").withColumn("status", status)
+    out = totals.join(newest, "sym", "left").withColumn("status", status)
+    return out.join(first_names(log), "sym", "left").fillna({"name": ""}) if named else out
 
 
 def pnl(pos: DataFrame, closes: DataFrame) -> DataFrame:

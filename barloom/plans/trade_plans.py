@@ -42,11 +42,15 @@ def pos_sql(select: str, *more: str) -> str:
     return with_(LOG_SQL, CLOSE_SQL, POS_SQL, *more, recursive=True) + select
 
 
-@query("position_fold", pos_sql(f"SELECT sym,net_shares,total_buy_shares,total_sell_shares,{r6('bc', 2)} AS total_buy_cost,{r6('sr', 2)} AS total_sell_revenue,{r6('cost', 4)} AS weighted_avg_cost,{r6('realized', 2)} AS realized_pnl,last_buy_date,last_sell_date,trade_count,CASE WHEN net_shares>0 THEN 'holding' WHEN net_shares<0 THEN 'short' WHEN total_buy_shares>0 THEN 'closed' ELSE 'none' END AS status FROM pos"))
+NAME_SQL = "nm AS (SELECT lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS sym,arg_min('P'||l_partkey,(l_shipdate,l_orderkey,l_linenumber,l_partkey)) AS name FROM lineitem WHERE l_partkey%3=0 GROUP BY 1)"
+
+
+@query("position_fold", pos_sql(f"SELECT sym,coalesce(name,'') AS name,net_shares,total_buy_shares,total_sell_shares,{r6('bc', 2)} AS total_buy_cost,{r6('sr', 2)} AS total_sell_revenue,{r6('cost', 4)} AS weighted_avg_cost,{r6('realized', 2)} AS realized_pnl,last_buy_date,last_sell_date,trade_count,CASE WHEN net_shares>0 THEN 'holding' WHEN net_shares<0 THEN 'short' WHEN total_buy_shares>0 THEN 'closed' ELSE 'none' END AS status FROM pos LEFT JOIN nm USING (sym)", NAME_SQL))
 def position_fold(t):
-    p = P.positions(log(t))
+    part = F.col("seq.l_partkey")
+    p = P.positions(log(t).withColumn("name", F.when(part % 3 == 0, F.concat(F.lit("P"), part.cast("string"))).otherwise("")))
     return p.select(
-        "sym", "net_shares", "total_buy_shares", "total_sell_shares", r("total_buy_cost", 2).alias("total_buy_cost"), r("total_sell_revenue", 2).alias("total_sell_revenue"),
+        "sym", "name", "net_shares", "total_buy_shares", "total_sell_shares", r("total_buy_cost", 2).alias("total_buy_cost"), r("total_sell_revenue", 2).alias("total_sell_revenue"),
         r("weighted_avg_cost", 4).alias("weighted_avg_cost"), r("realized_pnl", 2).alias("realized_pnl"), "last_buy_date", "last_sell_date", "trade_count", "status")
 
 
