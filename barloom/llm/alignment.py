@@ -19,6 +19,7 @@ bounded number, travel to the documents; all others are joined by shuffling.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -59,7 +60,7 @@ class Tokenizers:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(m[1], 16)]) if (m := _BYTE.fullmatch(p)) else p.replace("▁", " ").encode() for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
-        text = lambda n, end: np.array([f"{i}{end}" for i in range(n)], object)
+        text = lambda n, end: [f"{i}{end}" for i in range(n)]
         self.a_names = [text(len(names), e) for e in ",|"]
         self.b_names = [text(len(pieces), e) for e in ",;"]
         with open(a, encoding="utf-8") as f:
@@ -110,7 +111,7 @@ class _Index(dict):
 class Words:
     """Groups and links of the words met; the half used last stays when there are too many."""
 
-    def __init__(self, both: Tokenizers, limit: int = 300_000, size: int = 32 << 20, want_ends: bool = False):
+    def __init__(self, both: Tokenizers, limit: int = 500_000, size: int = 32 << 20, want_ends: bool = False):
         self.both, self.limit, self.bytes, self.want_ends = both, limit, size, want_ends
         self.index, self.groups, self.held = _Index(), [], 0
         self.ends: list[np.ndarray] = []
@@ -143,78 +144,85 @@ class Words:
         keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
         codes = self.links(np.nonzero(keep)[0])
         old, self.index = self.index, _Index()
-        for w, k in zip(old, keep.tolist(), strict=True):
+        chosen = keep.tolist()
+        for w, k in zip(old, chosen, strict=True):
             if k:
                 self.index[w] = len(self.index)
-        self.groups = [g for g, k in zip(self.groups, keep.tolist(), strict=True) if k]
-        self.ends = [g for g, k in zip(self.ends, keep.tolist(), strict=False) if k]  # empty if not wanted
+        self.groups = [g for g, k in zip(self.groups, chosen, strict=True) if k]
+        self.ends = [g for g, k in zip(self.ends, chosen, strict=False) if k]  # empty if not wanted
         self.n, self.used, self.codes = self.n[keep], self.used[keep], codes
         self.start = np.cumsum(self.n[:, 3]) - self.n[:, 3]
         self.held = sum(map(len, self.index)) + sum(map(len, self.groups))
 
     def _learn(self) -> None:
         new, self.index.new = self.index.new, []
-        made = []
-        lot: list[str] = []
+        if not new:
+            return
+        lots: list[tuple[list[int], bool]] = [([], False)]
         size = 0
-        for w in new:
-            if not self.both.by_word or w[-1:].isspace():  # white space at the end of a text stands alone
-                made.append(([w], not self.both.by_word))
+        for i, w in enumerate(new):
+            if not self.both.by_word or w[-1].isspace():  # white space at the end of a text stands alone
+                lots.insert(0, ([i], not self.both.by_word))
                 continue
-            lot.append(w)
+            lots[-1][0].append(i)
             size += len(w)
             if size > 100_000:
-                made.append((lot, False))
-                lot, size = [], 0
-        if lot:
-            made.append((lot, False))
-        ready = {}
-        for words, whole in made:
-            self._encode(words, whole, ready)
-        counts, codes = [self.n], [self.codes]
-        for w in new:
-            n, code, groups, ends = ready.pop(w)
-            counts.append(n)
-            codes.append(code)
-            self.groups.append(groups)
-            if self.want_ends:
-                self.ends.append(ends)
-            self.held += len(w) + len(groups)
-        if new:
-            self.n, self.codes = np.vstack(counts), np.concatenate(codes)
-            self.start = np.cumsum(self.n[:, 3]) - self.n[:, 3]
-            self.used = np.concatenate([self.used, np.full(len(new), self.clock)])
-
-    def _encode(self, words: list[str], whole: bool, ready: dict) -> None:
+                lots.append(([], False))
+                size = 0
+        counts, codes = [], [self.codes]
+        groups, ends = [], []
+        for lot, whole in lots:
+            self._encode([new[i] for i in lot], whole, counts, codes, groups, ends)
+        place = np.empty(len(new), np.int64)  # of each new word in the lots
+        place[np.array([i for lot, _ in lots for i in lot])] = np.arange(len(new))
+        n = np.concatenate(counts)
+        start = np.cumsum(n[:, 3]) - n[:, 3] + len(self.codes)
+        order = place.tolist()
+        self.n, self.codes = np.concatenate([self.n, n[place]]), np.concatenate(codes)
+        self.start = np.concatenate([self.start, start[place]])
+        self.groups += [groups[i] for i in order]
+        if self.want_ends:
+            self.ends += [ends[i] for i in order]
+        self.used = np.concatenate([self.used, np.full(len(new), self.clock)])
+        self.held += sum(map(len, new)) + sum(map(len, groups))
+
+    def _encode(self, words: list[str], whole: bool, counts: list[np.ndarray], codes: list[np.ndarray], groups: list[str], ends: list[np.ndarray]) -> None:
+        """Append what the tokenizers make of these words, encoded as one text."""
+        if not words:
+            return
         head = 0 if whole else len(_HEAD)
-        text = ("" if whole else _HEAD) + "".join(words)
-        done = self.both.cuts(text)
-        ends = np.cumsum([len(w.encode()) for w in words]) + head
-        if done is not None and not (np.isin(ends, done[1]).all() and np.isin(ends, done[3]).all()):
+        done = self.both.cuts(("" if whole else _HEAD) + "".join(words))
+        stops = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words))) + head
+        if done is not None and not (np.isin(stops, done[1]).all() and np.isin(stops, done[3]).all()):
             done = None
         if done is None:
             if len(words) > 1:  # look for the words to blame
-                self._encode(words[:len(words) // 2], whole, ready)
-                self._encode(words[len(words) // 2:], whole, ready)
+                self._encode(words[:len(words) // 2], whole, counts, codes, groups, ends)
+                self._encode(words[len(words) // 2:], whole, counts, codes, groups, ends)
             else:
-                ready[words[0]] = (np.array([[0, 0, 0, 0, 1]]), np.empty(0, np.int64), "", np.empty(0, np.int64))
+                counts.append(np.array([[0, 0, 0, 0, 1]]))
+                groups.append("")
+                ends.append(np.empty(0, np.int64))
             return
         a_ids, a_ends, b_ids, b_ends = done
         both = np.union1d(a_ends, b_ends)
         code = a_ids[np.searchsorted(a_ends, both)] << SHIFT | b_ids[np.searchsorted(b_ends, both)]
         shared = a_ends[np.isin(a_ends, b_ends, assume_unique=True)]
         a_group, b_group = np.searchsorted(shared, a_ends), np.searchsorted(shared, b_ends)
-        last = lambda g: np.append(g[1:] != g[:-1], True).astype(bool)
-        names = np.concatenate([np.where(last(g), n[1][i], n[0][i]) for g, n, i in ((a_group, self.both.a_names, a_ids), (b_group, self.both.b_names, b_ids))])
-        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
-        names = names[order].tolist()
-        edges = np.append(head, ends)
+        edges = np.append(head, stops)
         at = np.stack([np.searchsorted(x, edges, "right") for x in (a_ends, b_ends, shared, both)])
         n = np.diff(at, axis=1).T
-        n = np.hstack([n, np.zeros((len(n), 1), np.int64)])
+        counts.append(np.hstack([n, np.zeros((len(n), 1), np.int64)]))
+        codes.append(code[at[3][0]:])
+        last = [np.append(g[1:] != g[:-1], True).astype(int) for g in (a_group, b_group)]
+        names = [t[i] for x, ids, sep in ((self.both.a_names, a_ids, last[0]), (self.both.b_names, b_ids, last[1])) for t, i in zip(map(x.__getitem__, sep.tolist()), ids.tolist(), strict=True)]
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable").tolist()
+        names = list(map(names.__getitem__, order))
         tokens = (at[0] + at[1]).tolist()
-        for k, w in enumerate(words):
-            ready[w] = (n[k:k + 1], code[at[3][k]:at[3][k + 1]], "".join(names[tokens[k]:tokens[k + 1]])[:-1], shared[at[2][k]:at[2][k + 1]] - edges[k])
+        groups += ["".join(names[s:e])[:-1] for s, e in itertools.pairwise(tokens)]
+        if self.want_ends:
+            cuts = at[2].tolist()
+            ends += [shared[cuts[k]:cuts[k + 1]] - edges[k] for k in range(len(words))]
 
 
 def _words(a: str, b: str, limit: int, want_ends: bool) -> Words:
@@ -245,7 +253,7 @@ def unpack_links(data: bytes, unpack) -> tuple[np.ndarray, np.ndarray]:
 
 
 def align(
-    docs: DataFrame, a: str, b: str, *, id: str = "doc_id", text: str = "text", ends: bool = False, words: int = 300_000, batch: int = 64,
+    docs: DataFrame, a: str, b: str, *, id: str = "doc_id", text: str = "text", ends: bool = False, words: int = 500_000, batch: int = 256,
 ) -> DataFrame:
     """(id, n_a, n_b, n_groups, n_links, groups, links[, group_ends]) of every row.
 
