@@ -10,6 +10,7 @@ from barloom.plans.registry import BARS_D_SQL, Tables, query, r, r6, with_
 from barloom.sources import sinks
 from barloom.streaming import bars as SB
 from barloom.streaming import positions as SP
+from barloom.streaming.state import read_version
 
 
 def five_minute(t: Tables) -> DataFrame:
@@ -61,12 +62,13 @@ def stream_ingest_history(t):
 @query("stream_live_view", with_(FIVE_SQL, "k AS (SELECT *,row_number() OVER (PARTITION BY code ORDER BY datetime DESC) AS k FROM fm)") +
        f"SELECT code,max(datetime) AS datetime,arg_max(close,datetime) AS close,count(*) AS n_spark,{r6('list(close ORDER BY datetime)[1]')} AS oldest,{r6('max(CASE WHEN k=1 THEN close END)/max(CASE WHEN k=2 THEN close END)-1')} AS ret FROM k WHERE k<=24 GROUP BY 1")
 def stream_live_view(t):
-    feed, state = sinks.new_path(t.spark, "feed"), {}
+    """Two runs of the stream: the second goes on from the state that the first left in the checkpoint."""
+    feed, view, checkpoint = (sinks.new_path(t.spark, n) for n in ("feed", "view", "ckpt"))
     b = five_minute(t)
-    b.where(F.col("datetime") < "2024-01-20").write.json(feed)
-    b.where(F.col("datetime") >= "2024-01-20").write.mode("append").json(feed)
-    SB.live_view_stream(SB.bar_stream(t.spark, feed), lambda: state.get("bars"), lambda kept: state.update(bars=kept), sinks.new_path(t.spark, "ckpt")).awaitTermination()
-    v = SB.live_view(state["bars"], 24)
+    for part in ("datetime < '2024-01-20'", "datetime >= '2024-01-20'"):
+        b.where(part).write.mode("append").json(feed)
+        SB.live_view_stream(SB.bar_stream(t.spark, feed), view, checkpoint).awaitTermination()
+    v = read_version(t.spark, view)
     return v.select("code", F.col("datetime").cast("timestamp_ntz").alias("datetime"), "close", F.size("spark").cast("bigint").alias("n_spark"), r(F.get("spark", F.lit(0))).alias("oldest"), r("ret").alias("ret"))
 
 
@@ -83,29 +85,28 @@ def stream_daily_merge(t):
     return t.spark.read.schema(b.schema).parquet(main)
 
 
-@query("stream_positions", """WITH RECURSIVE e AS (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS sym,CASE WHEN event_type IN ('view','click','purchase') THEN 'BUY' ELSE 'SELL' END AS action,value AS price,CAST(event_id%7+1 AS BIGINT) AS shares,row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) AS seq FROM events WHERE value>0),
-f AS (SELECT sym,seq,CASE WHEN action='BUY' THEN shares ELSE -shares END AS held FROM e WHERE seq=1 UNION ALL SELECT x.sym,x.seq,f.held+CASE WHEN x.action='BUY' THEN x.shares ELSE -x.shares END FROM f JOIN e x ON x.sym=f.sym AND x.seq=f.seq+1)
-SELECT sym,arg_max(held,seq) AS net_shares,count(*) AS trade_count FROM f GROUP BY 1""")
+@query("stream_positions", f"""WITH RECURSIVE e AS (SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS sym,CASE WHEN event_type IN ('view','click','purchase') THEN 'BUY' ELSE 'SELL' END AS action,value*1.000137 AS price,CAST(event_id%7+1 AS BIGINT) AS shares,row_number() OVER (PARTITION BY user_id ORDER BY ts,event_id) AS seq FROM events WHERE value>0),
+f AS (SELECT sym,seq,CASE WHEN action='BUY' THEN shares ELSE -shares END AS held,CASE WHEN action='BUY' THEN round(price,4) ELSE 0 END AS cost,CAST(0 AS DOUBLE) AS realized FROM e WHERE seq=1 UNION ALL
+SELECT x.sym,x.seq,f.held+CASE WHEN x.action='BUY' THEN x.shares ELSE -x.shares END,CASE WHEN x.action='BUY' THEN CASE WHEN f.held>0 THEN round((f.held*f.cost+x.shares*x.price)/(f.held+x.shares),4) ELSE round(x.price,4) END ELSE f.cost END,
+CASE WHEN x.action='SELL' AND f.held>0 THEN round(f.realized+(x.price-f.cost)*least(x.shares,f.held),2) ELSE f.realized END FROM f JOIN e x ON x.sym=f.sym AND x.seq=f.seq+1)
+SELECT sym,arg_max(held,seq) AS net_shares,{r6('arg_max(cost,seq)', 4)} AS weighted_avg_cost,{r6('arg_max(realized,seq)', 2)} AS realized_pnl,count(*) AS trade_count FROM f GROUP BY 1""")
 def stream_positions(t):
-    """Trades appended as files; the state after the last batch equals the fold of the whole log."""
+    """Trades appended between two runs of the stream; the state after the last equals the fold of the whole log."""
     e = t.table("events").where("value > 0")
-    path = sinks.new_path(t.spark, "trade-feed")
+    path, out, checkpoint = (sinks.new_path(t.spark, n) for n in ("trade-feed", "positions", "ckpt"))
     rows = e.select(
         F.lpad(F.col("user_id").cast("string"), 6, "0").alias("sym"), F.when(F.col("event_type").isin("view", "click", "purchase"), "BUY").otherwise("SELL").alias("action"),
-        F.col("value").alias("price"), (F.col("event_id") % 7 + 1).alias("shares"), F.col("ts").cast("timestamp").alias("recorded_at"))
-    rows.where("recorded_at < '2024-01-15'").write.parquet(path)
-    rows.where("recorded_at >= '2024-01-15'").write.mode("append").parquet(path)
-    out = sinks.new_path(t.spark, "positions")
-    stream = t.spark.readStream.schema(rows.schema).parquet(path)
-    live = SP.live_positions(stream)
+        (F.col("value") * 1.000137).alias("price"), (F.col("event_id") % 7 + 1).alias("shares"), F.col("ts").cast("timestamp").alias("recorded_at"))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("append").parquet(out)
-
-    live.writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", sinks.new_path(t.spark, "ckpt")).trigger(availableNow=True).start().awaitTermination()
-    all_rows = t.spark.read.parquet(out)
-    last = all_rows.groupBy("sym").agg(F.max_by(F.struct("net_shares", "trade_count"), "batch").alias("x"))
-    return last.select("sym", "x.net_shares", "x.trade_count")
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    for part in ("recorded_at < '2024-01-15'", "recorded_at >= '2024-01-15'"):
+        rows.where(part).write.mode("append").parquet(path)
+        SP.follow_positions(t.spark.readStream.schema(rows.schema).parquet(path), save, checkpoint).awaitTermination()
+    every = t.spark.read.parquet(out)
+    newest = every.join(every.groupBy("sym").agg(F.max("batch").alias("batch")), ["sym", "batch"])
+    return newest.select("sym", "net_shares", r("weighted_avg_cost", 4).alias("weighted_avg_cost"), r("realized_pnl", 2).alias("realized_pnl"), "trade_count")
 
 
 @query("stream_gate_events", with_(BARS_D_SQL) + "SELECT code,(arg_max(close,date)-max(close))/max(close)<=-0.15 AS blocked FROM bars GROUP BY 1 HAVING count(*)>=20 AND max(close)>0 AND (arg_max(close,date)-max(close))/max(close)<=-0.15")

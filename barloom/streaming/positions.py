@@ -2,39 +2,59 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from barloom.streaming.state import start
 
 OUT = "sym string, net_shares bigint, weighted_avg_cost double, realized_pnl double, trade_count bigint"
-STATE = "net_shares bigint, cost double, realized double, trades bigint"
-
-
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fold the new trades of one symbol into its four numbers of state."""
-    held, cost, realized, n = state.get if state.exists else (0, 0.0, 0.0, 0)
-    new = pd.concat(list(batches), ignore_index=True).sort_values("recorded_at", kind="stable")
-    for action, price, shares in zip(new["action"], new["price"], new["shares"]):
-        n += 1
-        if action == "BUY":
-            cost = round((held * cost + shares * price) / (held + shares), 4) if held > 0 else round(float(price), 4)
-            held += int(shares)
-        elif action == "SELL":
-            sold = min(int(shares), max(held, 0))
-            if sold > 0:
-                realized = round(realized + (price - cost) * sold, 2)
-            held -= int(shares)
-    state.update((int(held), float(cost), float(realized), int(n)))
-    yield pd.DataFrame([{"sym": key[0], "net_shares": held, "weighted_avg_cost": cost, "realized_pnl": realized, "trade_count": n}])
+STATE = "net_shares bigint, cost double, cents bigint, trades bigint"
+
+
+class Position(StatefulProcessor):
+    """Folds the new trades of a symbol into its four numbers of state."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("position", STATE)
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        held, cost, cents, n = self.state.get() if self.state.exists() else (0, 0.0, 0, 0)
+        # four scalars of each of the batch's trades; the source's batch size bounds them
+        for _, action, price, shares in sorted((r.recorded_at, r.action, r.price, r.shares) for r in rows):
+            n += 1
+            if action == "BUY":
+                cost = round((held * cost + shares * price) / (held + shares), 4) if held > 0 else round(price, 4)
+                held += shares
+            elif action == "SELL":
+                sold = min(shares, max(held, 0))
+                if sold > 0:
+                    cents += round(round((price - cost) * sold, 2) * 100)
+                held -= shares
+        self.state.update((held, cost, cents, n))
+        yield Row(sym=key[0], net_shares=held, weighted_avg_cost=cost, realized_pnl=cents / 100.0, trade_count=n)
 
 
 def live_positions(trades: DataFrame) -> DataFrame:
-    """Updated position per symbol after every micro-batch; a batch holds only new trades."""
-    return trades.select("sym", "action", "price", "shares", "recorded_at").groupBy("sym").applyInPandasWithState(
-        _advance, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    """Updated position per symbol after every micro-batch; a batch holds only new trades.
+
+    The trades of a batch are taken in the order of ``recorded_at`` (then
+    action, price, shares); a trade that arrives in a later batch counts as
+    later.  Limit a source's batches (``maxFilesPerTrigger``) where a backlog may
+    hold more trades of one symbol than a worker has memory for.
+    """
+    narrow = trades.selectExpr("sym", "action", "cast(price as double) price", "cast(shares as bigint) shares", "recorded_at").where("sym is not null and price is not null and shares is not null and recorded_at is not null")
+    return narrow.groupBy("sym").transformWithState(Position(), OUT, "Update", "None")
+
+
+def follow_positions(trades: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    """Run ``live_positions`` over what has arrived; ``save`` takes each batch's changed positions.
+
+    State and progress lie in the checkpoint: started again, it goes on where it stopped.
+    """
+    return start(live_positions(trades).writeStream.foreachBatch(save).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True), trades.sparkSession)
 
 
 def emit_events(gates: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
