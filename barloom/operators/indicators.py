@@ -150,17 +150,26 @@ def rsrs(bars: DataFrame, n: int = 18, m: int = 600) -> DataFrame:
     return df.withColumn("rsrs", z * F.col("_r2")).drop("_r2")
 
 
-def _rank1_last(windows: np.ndarray) -> np.ndarray:
-    """Last value of the leading singular component of each row's trajectory matrix."""
+def trend_ends(windows: np.ndarray) -> np.ndarray:
+    """Last value of the rank-one trend of each row.
+
+    Lagged copies of a row, as long as half of it, have a small Gram matrix.
+    Its powers, by squaring, turn into the projection on the leading direction
+    v; the newest lagged copy, projected on v, gives the trend's last value.
+    """
     n = windows.shape[1]
-    m = n // 2 + 1
-    k = n - m + 1
-    traj = windows[:, np.arange(m)[:, None] + np.arange(k)[None, :]]
-    u, s, vt = np.linalg.svd(traj, full_matrices=False)
-    i = np.arange(m)
-    j = n - 1 - i
-    ok = (j >= 0) & (j < k)
-    return s[:, 0] * (u[:, i[ok], 0] * vt[:, 0, j[ok]]).mean(axis=1)
+    lags = n - n // 2
+    copies = np.lib.stride_tricks.sliding_window_view(windows, lags, axis=1)
+    gram = np.einsum("wia,wib->wab", copies, copies)
+    for _ in range(60):
+        size = np.trace(gram, axis1=1, axis2=2)[:, None, None]
+        gram /= np.where(size > 0, size, 1.0)
+        power = gram @ gram
+        if np.abs(power - gram).max(initial=0.0) < 1e-15:
+            break
+        gram = power
+    size = np.trace(gram, axis1=1, axis2=2)
+    return np.einsum("wa,wa->w", copies[:, -1], gram[:, :, -1]) / np.where(size > 0, size, 1.0)
 
 
 def ssa(bars: DataFrame, window: int = 30, src: str = "close") -> DataFrame:
@@ -176,7 +185,7 @@ def ssa(bars: DataFrame, window: int = 30, src: str = "close") -> DataFrame:
             good = i[~np.isnan(views[i - window]).any(axis=1)]
             for part in np.array_split(good, max(1, len(good) // 4096)):
                 if len(part):
-                    out[part] = _rank1_last(views[part - window])
+                    out[part] = trend_ends(views[part - window])
         return {"ssa": out}
 
     return R.ordered_pass(bars, [T.StructField("ssa", T.DoubleType())], compute, [src])

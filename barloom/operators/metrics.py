@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import div
-from barloom.operators.ranking import with_global
+from barloom.operators.ranking import attach, quantiles, with_global
 
 
 def compounded(r: Column | str) -> Column:
@@ -62,21 +62,23 @@ def return_stats(
 
 
 def attribution(df: DataFrame, ret: str, bench: str, by: Sequence[str] = (), *, order: str = "date", periods: float = 252.0) -> DataFrame:
-    """Risk and attribution set against a benchmark, from the published definitions."""
+    """Risk and attribution set against a benchmark, from the published definitions.
+
+    Quantiles are selected (``ranking.quantiles``); the tail beyond them is a condition of the one aggregation.
+    """
     r, b = F.col(ret), F.col(bench)
     root = F.sqrt(F.lit(float(periods)))
     w = Window.partitionBy(*by).orderBy(order)
     x = df.where(r.isNotNull() & b.isNotNull()).withColumns({
         "_i": F.row_number().over(w), "_log": F.sum(F.log1p(r)).over(w.rowsBetween(Window.unboundedPreceding, 0))})
-    q = lambda p: F.percentile(r, F.lit(p))
+    x = attach(x, quantiles(x, list(by), ret, {"_q95": 0.95, "_q05": 0.05}), list(by))
     a = x.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("_mu"), F.stddev_samp(r).alias("_sd"), compounded(r).alias("_tot"),
         F.avg(F.pow(F.least(r, F.lit(0.0)), 2)).alias("_down"), F.sum(F.greatest(r, F.lit(0.0))).alias("_gain"),
-        F.sum(F.greatest(-r, F.lit(0.0))).alias("_loss"), q(0.95).alias("_p95"), q(0.05).alias("var_95"),
+        F.sum(F.greatest(-r, F.lit(0.0))).alias("_loss"), F.max("_q95").alias("_p95"), F.max("_q05").alias("var_95"),
         F.regr_r2("_log", "_i").alias("stability"), F.regr_slope(r, b).alias("beta"), F.regr_intercept(r, b).alias("_alpha"),
-        F.avg(r - b).alias("_xm"), F.stddev_samp(r - b).alias("_xs"), F.sort_array(F.collect_list(r)).alias("_all"),
+        F.avg(r - b).alias("_xm"), F.stddev_samp(r - b).alias("_xs"), F.avg(F.when(r <= F.col("_q05"), r)).alias("cvar_95"),
     )
-    tail = F.filter("_all", lambda v: v <= F.col("var_95"))
     a = a.withColumns({
         "annual_return": F.pow(1.0 + F.col("_tot"), F.lit(float(periods)) / F.col("n")) - 1.0,
         "annual_vol": F.col("_sd") * root,
@@ -84,7 +86,6 @@ def attribution(df: DataFrame, ret: str, bench: str, by: Sequence[str] = (), *,
         "sortino": div(F.col("_mu") * float(periods), F.sqrt("_down") * root),
         "omega": div("_gain", "_loss"),
         "tail_ratio": div(F.abs("_p95"), F.abs("var_95")),
-        "cvar_95": F.aggregate(tail, F.lit(0.0), lambda s, v: s + v) / F.size(tail),
         "alpha": F.pow(1.0 + F.col("_alpha"), F.lit(float(periods))) - 1.0,
         "excess_sharpe": div("_xm", "_xs"),
     })

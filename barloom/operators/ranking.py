@@ -15,6 +15,7 @@ one task.  Here every group is cut into value ranges:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -159,41 +160,75 @@ def position(df: DataFrame, by: Sequence[str], value: str, tiebreak: str, out: s
 ACCURACY = 10000
 
 
-def global_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+def _brackets(df: DataFrame, around: dict[int, tuple[str, float, float | None, float | None]]) -> dict[int, list[float]]:
+    """Approximate quantiles about the share ``p`` of each column's values in [lo, hi] (None: all), in one aggregation."""
+    margin = 2.0 / ACCURACY
+    aggs = []
+    for i, (c, p, lo, hi) in around.items():
+        v = F.col(c).cast("double")
+        inside = v if lo is None else F.when(v.between(F.lit(lo), F.lit(hi)), v)
+        aggs.append(F.percentile_approx(inside, [max(0.0, p - margin), min(1.0, p + margin)], ACCURACY).alias(f"_{i}"))
+    row = df.agg(*aggs).first()
+    return {i: list(row[f"_{i}"] or []) for i in around}
+
+
+def global_quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *, limit: int = 100_000) -> DataFrame:
     """One row of exact linear-interpolated quantiles: ``wanted`` maps names to (column, share).
 
-    One aggregation brackets every wanted value by approximate quantiles; a
-    second counts the rows below each bracket, with the nearest values outside
-    it, and a third the values inside, a few ten-thousandths of the table.
-    Only distinct values inside a bracket are ordered.
+    Approximate quantiles bracket every wanted value; a second aggregation
+    counts the rows below and inside each bracket and finds the nearest values
+    outside it.  A bracket of more than ``limit`` rows is bracketed again, which
+    leaves a few ten-thousandths of its rows, until it is small or a single
+    value.  At most ``limit`` values of a bracket are ordered, whatever the size
+    of the table.
     """
-    cols = list(dict.fromkeys(c for c, _ in wanted.values()))
-    names, margin = list(wanted), 2.0 / ACCURACY
-    aggs = [F.count(c).alias(f"_n_{c}") for c in cols]
-    for i, (c, p) in enumerate(wanted.values()):
-        ends = F.percentile_approx(F.col(c).cast("double"), [max(0.0, p - margin), min(1.0, p + margin)], ACCURACY)
-        aggs.append(ends.alias(f"_e_{i}"))
-    placed = with_global(df.select(*cols), df.agg(*aggs))
-    below, under, over, inside = [], [], [], []
-    for i, (c, _) in enumerate(wanted.values()):
-        v, ends = F.col(c).cast("double"), F.col(f"_e_{i}")
-        below.append(F.count_if(v < ends[0]))
-        under.append(F.max(F.when(v < ends[0], v)))
-        over.append(F.min(F.when(v > ends[1], v)))
-        inside.append(F.when(v.between(ends[0], ends[1]), F.struct(F.lit(i).alias("i"), v.alias("v"), F.col(f"_n_{c}").alias("n"))))
-    around = placed.agg(F.array(*below).alias("_below"), F.array(*under).alias("_under"), F.array(*over).alias("_over"))
-    cells = placed.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("rows"), F.max("x.n").alias("n"))
+    names, specs = list(wanted), [(c, float(p)) for c, p in wanted.values()]
+    cols = list(dict.fromkeys(c for c, _ in specs))
+    df = df.select(*cols)
+    known = df.agg(*[F.count(c).alias(c) for c in cols]).first()
+    ranks = {i: (known[c] - 1) * p for i, (c, p) in enumerate(specs) if known[c]}
+    bounds: dict[int, tuple[float | None, float | None]] = dict.fromkeys(ranks, (None, None))
+    state: dict[int, tuple[int, int, float | None, float | None]] = {}  # below, inside, next value under, next over
+    share = {i: specs[i][1] for i in ranks}
+    todo = list(ranks)
+    while todo:
+        tried = _brackets(df, {i: (specs[i][0], share[i], *bounds[i]) for i in todo})
+        aggs = []
+        for i in todo:
+            v, (lo, hi) = F.col(specs[i][0]).cast("double"), map(F.lit, tried[i])
+            aggs += [F.count_if(v < lo).alias(f"b{i}"), F.count_if(v.between(lo, hi)).alias(f"n{i}"), F.count_if(v == lo).alias(f"l{i}"), F.count_if(v == hi).alias(f"h{i}"), F.max(F.when(v < lo, v)).alias(f"u{i}"), F.min(F.when(v > hi, v)).alias(f"o{i}")]
+        row = df.agg(*aggs).first()
+        again = []
+        for i in todo:
+            below, inside = row[f"b{i}"], row[f"n{i}"]
+            k, (lo, hi) = ranks[i], tried[i]
+            if below <= k and math.ceil(k) < below + row[f"l{i}"]:  # all on a value that many rows share
+                hi, inside = lo, row[f"l{i}"]
+            elif math.floor(k) >= below + inside - row[f"h{i}"] and math.ceil(k) < below + inside:
+                lo, below, inside = hi, below + inside - row[f"h{i}"], row[f"h{i}"]
+            smaller = i not in state or inside < state[i][1]
+            if below - 1 <= math.floor(k) and math.ceil(k) <= below + inside and smaller:
+                bounds[i], state[i] = (lo, hi), (below, inside, row[f"u{i}"], row[f"o{i}"])
+                share[i] = min(1.0, max(0.0, (k - below) / max(inside - 1, 1)))
+                if inside > limit and lo < hi:
+                    again.append(i)
+        todo = again
+    inside = [F.when(F.col(specs[i][0]).cast("double").between(F.lit(lo), F.lit(hi)), F.struct(F.lit(i).alias("i"), F.col(specs[i][0]).cast("double").alias("v"))) for i, (lo, hi) in bounds.items()]
+    if not inside:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in names])
+    cells = df.select(F.explode(F.array_compact(F.array(*inside))).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).alias("rows"))
     upto = Window.partitionBy("i").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    share = F.element_at(F.array(*[F.lit(float(p)) for _, p in wanted.values()]), F.col("i") + 1)
-    cells = with_global(cells.withColumns({"to": F.sum("rows").over(upto), "at": (F.col("n") - 1) * share}), around)
-    to = F.col("to") + F.get("_below", F.col("i"))
-    holds = lambda k: (to - F.col("rows") <= k) & (k < to)
-    lo, hi = F.floor("at"), F.ceil("at")
-    got = cells.groupBy("i").agg(
-        F.coalesce(F.max(F.when(holds(lo), F.col("v"))), F.max(F.get("_under", F.col("i")))).alias("lo"),
-        F.coalesce(F.max(F.when(holds(hi), F.col("v"))), F.max(F.get("_over", F.col("i")))).alias("hi"), F.max("at").alias("at"))
-    value = F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("at") - F.floor("at"))
-    return got.agg(*[F.max(F.when(F.col("i") == i, value)).alias(name) for i, name in enumerate(names)])
+    cells = cells.withColumn("to", F.sum("rows").over(upto))
+    value = []
+    for i, name in enumerate(names):
+        if i not in ranks:
+            value.append(F.lit(None).cast("double").alias(name))
+            continue
+        below, _, under, over = state[i]
+        at = lambda k: F.max(F.when((F.col("i") == i) & (F.col("to") + below - F.col("rows") <= k) & (F.col("to") + below > k), F.col("v")))  # noqa: B023, E731
+        lo, hi = F.coalesce(at(math.floor(ranks[i])), F.lit(under)), F.coalesce(at(math.ceil(ranks[i])), F.lit(over))
+        value.append((lo + (hi - lo) * (ranks[i] - math.floor(ranks[i]))).alias(name))
+    return cells.agg(*value)
 
 
 def quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:

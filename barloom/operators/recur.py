@@ -49,6 +49,24 @@ class Combine:
         return self.fn(cols)
 
 
+def affine_scan(p: np.ndarray, q: np.ndarray, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Compositions of the maps y -> p y + q up to each place: blocks are composed side by side, then their ends."""
+    n = len(p)
+    if n < 2:
+        return p, q
+    m = -(-n // width)
+    ps, qs = np.ones((m, width)), np.zeros((m, width))
+    ps.ravel()[:n], qs.ravel()[:n] = p, q
+    for j in range(1, min(width, n)):
+        qs[:, j] += ps[:, j] * qs[:, j - 1]
+        ps[:, j] *= ps[:, j - 1]
+    if m > 1:
+        cp, cq = affine_scan(ps[:, -1].copy(), qs[:, -1].copy(), width)
+        qs[1:] += ps[1:] * cq[:-1, None]
+        ps[1:] *= cp[:-1, None]
+    return ps.ravel()[:n], qs.ravel()[:n]
+
+
 @dataclass(frozen=True)
 class Dynamic:
     """y = a*x + (1-a)*y with a per-row weight; null x keeps y, null weight is 0.5."""
@@ -60,17 +78,14 @@ class Dynamic:
     def compute(self, cols: dict[str, pd.Series], ids: np.ndarray) -> pd.Series:
         x = cols[self.src].to_numpy(float)
         a = cols[self.weight].fillna(0.5).clip(0.0, 1.0).to_numpy(float)
-        y = np.empty(len(x))
-        state, owner = np.nan, None
-        for i in range(len(x)):
-            if ids[i] != owner:
-                state, owner = np.nan, ids[i]
-            if np.isnan(state):
-                state = x[i]
-            elif not np.isnan(x[i]):
-                state += a[i] * (x[i] - state)
-            y[i] = state
-        return pd.Series(y)
+        known = ~np.isnan(x)
+        begins = np.append(True, ids[1:] != ids[:-1])[:len(x)]
+        count = np.cumsum(known)
+        count -= np.repeat(count[begins] - known[begins], np.diff(np.append(np.nonzero(begins)[0], len(x))))  # known values of the symbol so far
+        first = known & (count == 1)
+        p = np.where(begins | first, 0.0, np.where(known, 1.0 - a, 1.0))
+        q = np.where(first, x, np.where(known, a * x, 0.0))
+        return pd.Series(np.where(count > 0, affine_scan(p, q)[1], np.nan))
 
 
 Step = Ewm | Combine | Dynamic

@@ -8,7 +8,7 @@ from barloom.operators import crosssec as C
 from barloom.operators import decision as D
 from barloom.operators import factors as A
 from barloom.operators import signals as S
-from barloom.plans.indicator_plans import ADX_SQL, AROON_SQL, ARBR_SQL, STOCH_SQL, TR_SQL, rsrs_sql
+from barloom.plans.indicator_plans import ADX_SQL, AROON_SQL, ARBR_SQL, STOCH_SQL, TR_SQL, rsrs_sql, ssa_sql
 from barloom.plans.registry import (
     BARS_M_SQL, BARS_S_SQL, MACD_SQL, NUMBERED_SQL, SUPPLIERS_SQL, W, daily, ewm_sql, full_sql, kdj_sql, query, r, r6, rsi_sql, with_, wn,
 )
@@ -125,6 +125,11 @@ def signal_rsrs_timing(t):
     return out(S.rsrs_timing(t.bars_m, 18, 30))
 
 
+@query("signal_ssa_short", sig_sql("ss", "close>ssa", None, ssa_sql(), recursive=True))
+def signal_ssa_short(t):
+    return out(S.ssa_trend(t.bars_m, 6))
+
+
 @query("signal_ssa_trend")
 def signal_ssa_trend(t):
     return out(S.ssa_trend(t.bars_m))

@@ -92,6 +92,24 @@ def test_wma_and_min_periods(bars):
     same(column(bars.withColumn("y", X.STD("close", 4)), "y"), per_code(lambda g: g.close.rolling(4, min_periods=2).std()))
 
 
+@pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 5000])
+def test_dynamic_average_of_long_series_with_nulls(n):
+    rng = np.random.default_rng(n)
+    x = np.where(rng.random(n) < 0.2, np.nan, rng.normal(100, 5, n))
+    a = np.where(rng.random(n) < 0.1, np.nan, rng.uniform(-0.2, 1.2, n))
+    ids = np.sort(rng.integers(0, 3, n))
+    want, y, owner = [], np.nan, None
+    for i in range(n):
+        if ids[i] != owner:
+            y, owner = np.nan, ids[i]
+        w = 0.5 if np.isnan(a[i]) else min(max(a[i], 0.0), 1.0)
+        if not np.isnan(x[i]):
+            y = x[i] if np.isnan(y) else y + w * (x[i] - y)
+        want.append(y)
+    got = R.Dynamic("y", "x", "a").compute({"x": pd.Series(x), "a": pd.Series(a)}, ids)
+    np.testing.assert_allclose(got, want, rtol=1e-11)
+
+
 def test_ssa_against_svd(bars):
     def last(a):
         n = len(a)

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,28 @@ def test_global_quantiles_are_exact(spark, n):
         assert got[f"x{i}"] == pytest.approx(np.quantile(x, p)) and got[f"y{i}"] == pytest.approx(np.quantile(y, p))
 
 
+@pytest.mark.parametrize("kind", ["distinct", "tied", "two values", "tiny"])
+def test_global_quantiles_narrow_large_brackets(spark, kind):
+    """Brackets of more rows than the limit are cut again; no window sees more than the limit."""
+    rng = np.random.default_rng(8)
+    x = {"distinct": rng.normal(size=60_000), "tied": np.where(rng.random(60_000) < 0.6, 0.25, rng.normal(size=60_000)),
+         "two values": np.where(np.arange(60_000) < 30_000, 1.0, 2.0), "tiny": 1 + rng.random(60_000) * 1e-300}[kind]
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    probs = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
+    got = R.global_quantiles(df, {f"q{i}": ("x", p) for i, p in enumerate(probs)}, limit=10)
+    for i, p in enumerate(probs):
+        assert got.first()[f"q{i}"] == np.quantile(x, p)
+    if kind == "distinct":
+        seen = []
+        original = R._brackets
+        R._brackets = lambda d, around: seen.append(set(around)) or original(d, around)
+        try:
+            R.global_quantiles(df, {"q": ("x", 0.4)}, limit=10)
+        finally:
+            R._brackets = original
+        assert len(seen) > 1
+
+
 def test_clipping_many_columns_is_one_flat_plan(spark):
     df = spark.range(500).select(*[(F.rand(i) * i).alias(f"c{i}") for i in range(1, 7)])
     cols = df.columns
