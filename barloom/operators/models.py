@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -69,18 +71,30 @@ def walk_window(df: DataFrame, month, *, train: int = 12, gap: int = 1) -> tuple
     return df.where((m >= F.add_months(day, -(train + gap))) & (m < F.add_months(day, -gap))), df.where(m == day)
 
 
-def walk_forward(df: DataFrame, features: Sequence[str], label: str, months: Sequence, *, train: int = 12, gap: int = 1, rounds: int = 10, learner: str = "gbt"):
+def walk_forward(
+    df: DataFrame, features: Sequence[str], label: str, months: Sequence, *, train: int = 12, gap: int = 1, rounds: int = 10, learner: str = "gbt", parallel: int = 8,
+):
     """Yield (month, predictions) for each test month, fitted on its window; months without training rows are passed over.
 
-    ``learner`` is "gbt" or "linear".  The loop is over months only; every fit
-    reads one window of the table.
+    ``learner`` is "gbt" or "linear".  Months do not depend on each other, so
+    ``parallel`` of them are fitted at once, each on one window of the table;
+    rows that can teach are counted once for all months.
     """
-    for month in months:
-        window, test = walk_window(df, month, train=train, gap=gap)
-        window = window.dropna(subset=[*features, label])
-        if window.isEmpty():
-            continue
-        fit = LinearRegression(featuresCol="_x", labelCol=label, regParam=1e-3) if learner == "linear" else GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=7)
-        model = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), fit]).fit(window)
-        day = F.to_date(F.lit(str(month))).alias("month")
-        yield month, model.transform(test.dropna(subset=list(features))).select("date", "code", F.col("prediction").alias("score"), day)
+    m = F.trunc("date", "month")
+    taught = {r.m for r in df.dropna(subset=[*features, label]).select(m.alias("m")).distinct().collect()}  # one per month, so few
+
+    def fit(month):
+        window, _ = walk_window(df, month, train=train, gap=gap)
+        kind = LinearRegression(featuresCol="_x", labelCol=label, regParam=1e-3) if learner == "linear" else GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=4, seed=7)
+        return month, Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), kind]).fit(window.dropna(subset=[*features, label]))
+
+    def back(month, k: int):
+        at = month.year * 12 + month.month - 1 - k
+        return month.replace(year=at // 12, month=at % 12 + 1)
+
+    usable = [x for x in months if any(back(x, k) in taught for k in range(gap + 1, gap + train + 1))]
+    with ThreadPool(max(1, parallel)) as pool:
+        for month, model in pool.imap(inheritable_thread_target(df.sparkSession)(fit), usable):
+            _, test = walk_window(df, month, train=train, gap=gap)
+            day = F.to_date(F.lit(str(month))).alias("month")
+            yield month, model.transform(test.dropna(subset=list(features))).select("date", "code", F.col("prediction").alias("score"), day)

@@ -96,6 +96,39 @@ def periodic_picks(bars: DataFrame, score: str, configs: Sequence[tuple[int, int
     return j.select("rebalance", "picks", "date", "n_picks", "gross_ret", (F.col("gross_ret") - F.when(F.col("n_picks") > 0, float(cost)).otherwise(0.0)).alias("net_ret"))
 
 
+def overlay_picks(
+    bars: DataFrame, score: str, ladder: DataFrame, *, hold: int = 5, stop: float | None = -0.05, cost: float = 0.0025, full: tuple[int, float] = (5, 1.0),
+) -> DataFrame:
+    """Periodic picks under a valuation ladder (date, n_picks, budget): date, n_picks, gross_ret, net_ret, regime.
+
+    Every ``hold`` dates the first ``n_picks`` symbols by score are bought at the
+    next open and sold ``hold`` dates later; returns and costs are scaled by the
+    budget.  A date without a ladder row has ``full``.  No picks are made with
+    ``n_picks`` 0 ("empty"), without scored symbols ("no_data"), with fewer than
+    wanted ("insufficient"), or when none of them has both prices ("no_valid").
+    """
+    cal = market_calendar(bars)
+    most = max(full[0], int(ladder.agg(F.coalesce(F.max("n_picks"), F.lit(0))).first()[0]))
+    ladder = ladder.select("date", F.col("n_picks").alias("_want"), F.col("budget").cast("double").alias("_budget"))
+    pool = hold_return(bars, cal, hold, stop).where(F.col(score).isNotNull())
+    n = pool.groupBy("date").agg(F.count(F.lit(1)).alias("_pool"))
+    top = calendar_join(top_k(pool, ["date"], [F.desc(score), F.asc("code")], most), ladder, ["date"])
+    chosen = top.where((F.col("rank") <= F.coalesce("_want", F.lit(full[0]))) & F.col("hold_ret").isNotNull())
+    per = chosen.groupBy("date").agg(F.count(F.lit(1)).alias("_n"), F.avg("hold_ret").alias("_ret"))
+    days = cal.where((F.col("idx") % hold == 0) & (F.col("idx") + 1 + hold < F.col("n_dates"))).select("date")
+    for side in (ladder, n, per):
+        days = days.join(side, "date", "left")
+    want, budget = F.coalesce("_want", F.lit(full[0])), F.coalesce("_budget", F.lit(float(full[1])))
+    regime = (
+        F.when(want == 0, "empty").when(F.col("_pool").isNull(), "no_data").when(F.col("_pool") < want, "insufficient")
+        .when(F.col("_n").isNull(), "no_valid").when(budget >= 0.99, "normal").otherwise("light"))
+    made = regime.isin("normal", "light")
+    gross = F.when(made, F.col("_ret") * budget).otherwise(0.0)
+    return days.select(
+        "date", F.when(made, F.col("_n")).otherwise(0).alias("n_picks"), gross.alias("gross_ret"),
+        (gross - F.when(made, budget * float(cost)).otherwise(0.0)).alias("net_ret"), regime.alias("regime"))
+
+
 def valuation_overlay(pe: str = "pe", pb: str = "pb", *, empty: tuple[float, float] = (35.0, 3.0), light: tuple[float, float] = (30.0, 2.6), picks: tuple[int, int] = (5, 3)) -> dict[str, Column]:
     """Picks count and budget share by market valuation; missing values do not trigger."""
     hot = F.coalesce(F.col(pe) > empty[0], F.lit(False)) | F.coalesce(F.col(pb) > empty[1], F.lit(False))

@@ -46,7 +46,7 @@ def model_walk_forward(t):
     """Monthly predictions, each replacing its own slice of the prediction table."""
     path = sinks.new_path(t.spark, "pred")
     f = frame(t)
-    for _, pred in ML.walk_forward(f, A.FEATURES_12, "fwd", ML.walk_months(f), learner="linear"):
+    for _, pred in ML.walk_forward(f, A.FEATURES_12, "fwd", ML.walk_months(f)):
         sinks.replace_slices(pred, path, "month")
     return t.spark.read.parquet(path).select("code", "date", r("score").alias("score"), F.col("month").cast("date").alias("month"))
 

@@ -170,6 +170,20 @@ def pick_valuation_overlay(t):
     return m.select("date", *[c.alias(n) for n, c in P.valuation_overlay().items()])
 
 
+LADDER_SQL = "lad AS (SELECT date,CASE WHEN pe>45 OR pb>1.6 THEN 0 WHEN pe>38 OR pb>1.45 THEN 3 ELSE 5 END AS want,CASE WHEN pe>45 OR pb>1.6 THEN 0 WHEN pe>38 OR pb>1.45 THEN 0.6 ELSE 1 END AS budget FROM (SELECT date,avg(close)/150 AS pe,avg(high)/avg(low)/20 AS pb FROM bars GROUP BY 1))"
+APPLIED_SQL = """ap AS (SELECT cal.date,want,budget,pool,n,g,CASE WHEN want=0 THEN 'empty' WHEN pool IS NULL THEN 'no_data' WHEN pool<want THEN 'insufficient' WHEN n IS NULL THEN 'no_valid' WHEN budget>=0.99 THEN 'normal' ELSE 'light' END AS regime
+FROM cal JOIN lad USING (date) LEFT JOIN (SELECT date,count(*) AS pool FROM bars GROUP BY 1) USING (date) LEFT JOIN (SELECT h.date,count(*) AS n,avg(h.ret) AS g FROM pk h JOIN lad l ON l.date=h.date WHERE h.k<=l.want AND h.ret IS NOT NULL GROUP BY 1) USING (date) WHERE i%3=0 AND i+1+3<nd)"""
+
+
+@query("pick_overlay_applied", on_bars(f"SELECT date,CASE WHEN regime IN ('normal','light') THEN n ELSE 0 END AS n_picks,{r6('CASE WHEN regime IN (' + chr(39) + 'normal' + chr(39) + ',' + chr(39) + 'light' + chr(39) + ') THEN g*budget ELSE 0 END')} AS gross_ret,{r6('CASE WHEN regime IN (' + chr(39) + 'normal' + chr(39) + ',' + chr(39) + 'light' + chr(39) + ') THEN (g-0.0025)*budget ELSE 0 END')} AS net_ret,regime FROM ap", CAL_SQL, LADDER_SQL, "pk AS " + HOLD_SQL.format(h=3, k=5), APPLIED_SQL))
+def pick_overlay_applied(t):
+    """The valuation ladder limits the picks of a date and scales its return."""
+    m = t.bars_m.groupBy("date").agg((F.avg("close") / 150.0).alias("pe"), (F.avg("high") / F.avg("low") / 20.0).alias("pb"))
+    steps = P.valuation_overlay(empty=(45.0, 1.6), light=(38.0, 1.45))
+    out = P.overlay_picks(t.bars_m, "volume", m.select("date", *[c.alias(n) for n, c in steps.items()]), hold=3, stop=-0.3)
+    return out.select("date", "n_picks", r("gross_ret").alias("gross_ret"), r("net_ret").alias("net_ret"), "regime")
+
+
 @query("pick_benchmark_excess", on_bars(f"SELECT date,{r6('c/lag(c) OVER (ORDER BY date)-1')} AS bench_ret,{r6('g-(c/lag(c) OVER (ORDER BY date)-1)')} AS excess FROM (SELECT date,avg(close) AS c FROM bars GROUP BY 1) LEFT JOIN (SELECT date,avg(ret) AS g FROM (SELECT date,close/{LAG}-1 AS ret,row_number() OVER (PARTITION BY date ORDER BY volume DESC,code) AS k FROM bars) WHERE k<=10 GROUP BY 1) USING (date)"))
 def pick_benchmark_excess(t):
     idx = equal_weight_index(t.bars_m).withColumn("bench_ret", div("close", F.lag("close").over(Window.orderBy("date"))) - 1.0)

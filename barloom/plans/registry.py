@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from barloom.operators.bars import sequence_key, to_bars
 
+#: Suppliers in a pool.
+POOL = 4
 Builder = Callable[["Tables"], DataFrame]
 _BUILDERS: dict[str, Builder] = {}
 _SQL: dict[str, str] = {}
@@ -49,8 +51,8 @@ class Tables:
 
     @cached_property
     def bars_s(self) -> DataFrame:
-        """Daily bars per pool of suppliers, long enough for the longest windows."""
-        return self.bars_from(self.lineitem, "day", F.col("l_suppkey") % 25)
+        """Daily bars per pool of four neighbouring suppliers: long enough for the longest windows, and more pools with more suppliers."""
+        return self.bars_from(self.lineitem, "day", F.floor(F.col("l_suppkey") / POOL))
 
     def bars_from(self, lineitem: DataFrame, unit: str = "month", code: Column | None = None) -> DataFrame:
         d = F.to_date("l_shipdate")
@@ -129,7 +131,7 @@ TRADES_SQL = """
 trades AS (
   SELECT lpad(CAST(l_suppkey AS VARCHAR),6,'0') AS sym, CAST(l_shipdate AS DATE) AS date,
          CASE WHEN l_returnflag='R' THEN 'SELL' ELSE 'BUY' END AS action,
-         l_extendedprice/l_quantity AS price, CAST(l_quantity AS BIGINT) AS shares,
+         l_extendedprice/l_quantity AS price, CAST(l_quantity AS BIGINT) AS shares, l_orderkey, l_linenumber, l_partkey,
          row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate,l_orderkey,l_linenumber,l_partkey) AS seq
   FROM lineitem)"""
 BARS_M_SQL = """
@@ -140,7 +142,7 @@ bars AS (
          arg_max(l_extendedprice/l_quantity, (l_shipdate,l_orderkey,l_linenumber,l_partkey)) AS close,
          CAST(sum(l_quantity) AS BIGINT) AS volume, sum(l_extendedprice) AS amount
   FROM lineitem GROUP BY 1,2)"""
-BARS_S_SQL = BARS_M_SQL.replace("date_trunc('month',l_shipdate)", "l_shipdate").replace("CAST(l_suppkey AS", "CAST(l_suppkey%25 AS")
+BARS_S_SQL = BARS_M_SQL.replace("date_trunc('month',l_shipdate)", "l_shipdate").replace("CAST(l_suppkey AS", f"CAST(l_suppkey//{POOL} AS")
 BARS_D_SQL = """
 bars AS (
   SELECT lpad(CAST(user_id AS VARCHAR),6,'0') AS code, CAST(ts AS DATE) AS date,

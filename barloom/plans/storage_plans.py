@@ -188,7 +188,7 @@ def sink_replace_slices(t):
 @query("sink_partitioned", with_(BARS_D_SQL) + "SELECT code,date,close FROM bars")
 def sink_partitioned(t):
     path = sinks.new_path(t.spark, "by-day")
-    sinks.write_partitioned(t.bars_d, path, ["date"], spread=2, sort=["code"])
+    sinks.write_partitioned(t.bars_d, path, ["date"], rows=100, sort=["code"])
     return t.spark.read.parquet(path).select("code", "date", "close")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.frames import change
+from barloom.functions.scalars import board_of
 from barloom.operators import costs as K
 from barloom.operators import risk as Q
 from barloom.operators import trades as P
@@ -29,6 +30,8 @@ def closes(t: Tables):
     return b.select(F.col("code").alias("sym"), "date", "close")
 
 
+BARE_MATCH = "left(code,2)='60' THEN '沪主板' WHEN left(code,2)='00' THEN '深主板' WHEN left(code,2)='30' THEN '创业板' ELSE '其他'"
+SPREAD_SQL = "CASE WHEN c_custkey%2=0 THEN '6' WHEN c_custkey%7=1 THEN '3' ELSE '0' END||right(lpad(CAST(c_custkey AS VARCHAR),6,'0'),5)"
 POS_SQL = """hd AS (SELECT *,coalesce(sum(CASE WHEN action='BUY' THEN shares ELSE -shares END) OVER (PARTITION BY sym ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS held FROM tr),
 fo AS (SELECT sym,seq,CASE WHEN action='BUY' THEN round(price,4) ELSE 0 END AS cost,CAST(0 AS DOUBLE) AS realized FROM hd WHERE seq=1 UNION ALL
 SELECT h.sym,h.seq,CASE WHEN action='BUY' THEN CASE WHEN held>0 THEN round((held*f.cost+shares*price)/(held+shares),4) ELSE round(price,4) END ELSE f.cost END,
@@ -125,7 +128,7 @@ def position_action_items(t):
 
 
 # --- costs -----------------------------------------------------------------
-COST_SQL = TRADES_SQL + """,ct AS (SELECT 'SH'||CASE WHEN CAST(sym AS INTEGER)%3=0 THEN '6' ELSE '0' END||right(sym,5) AS symbol,sym,date + INTERVAL 24 YEAR AS d,action,price,shares,seq FROM trades),
+COST_SQL = TRADES_SQL + """,ct AS (SELECT 'SH'||CASE WHEN CAST(sym AS INTEGER)%3=0 THEN '6' ELSE '0' END||right(sym,5) AS symbol,sym,date + INTERVAL 24 YEAR AS d,action,price,shares,l_orderkey,l_linenumber,l_partkey FROM trades),
 cf AS (SELECT *,price*CASE action WHEN 'BUY' THEN 1.0005 ELSE 0.9995 END AS fp FROM ct),
 cc AS (SELECT *,greatest(fp*shares*0.00025,5) AS co,CASE WHEN action='SELL' THEN fp*shares*CASE WHEN d>=DATE '2023-08-28' THEN 0.0005 ELSE 0.001 END ELSE 0 END AS sd,CASE WHEN substr(symbol,3,1) IN ('6','9') THEN fp*shares*0.00001 ELSE 0 END AS tf FROM cf)"""
 
@@ -136,12 +139,11 @@ def cost_rows(t):
     return x.withColumns({"symbol": F.concat(F.lit("SH"), head, F.expr("right(sym, 5)")), "date": F.add_months("date", 24 * 12)})
 
 
-@query("cost_breakdown", with_(COST_SQL) + f"SELECT sym,seq,{r6('fp')} AS filled_price,{r6('co', 5)} AS commission,{r6('sd', 5)} AS stamp_duty,{r6('tf', 5)} AS transfer_fee,{r6('co+sd+tf', 5)} AS total_fees,{r6('CASE action WHEN ' + chr(39) + 'BUY' + chr(39) + ' THEN fp-price ELSE price-fp END*shares', 4)} AS slippage_cost,{r6('CASE action WHEN ' + chr(39) + 'BUY' + chr(39) + ' THEN -(fp*shares+co+sd+tf) ELSE fp*shares-(co+sd+tf) END', 4)} AS net_amount FROM cc")
+@query("cost_breakdown", with_(COST_SQL) + f"SELECT sym,l_orderkey,l_linenumber,l_partkey,{r6('fp')} AS filled_price,{r6('co', 5)} AS commission,{r6('sd', 5)} AS stamp_duty,{r6('tf', 5)} AS transfer_fee,{r6('co+sd+tf', 5)} AS total_fees,{r6('CASE action WHEN ' + chr(39) + 'BUY' + chr(39) + ' THEN fp-price ELSE price-fp END*shares', 4)} AS slippage_cost,{r6('CASE action WHEN ' + chr(39) + 'BUY' + chr(39) + ' THEN -(fp*shares+co+sd+tf) ELSE fp*shares-(co+sd+tf) END', 4)} AS net_amount FROM cc")
 def cost_breakdown(t):
     rows = cost_rows(t)
     d = K.with_costs(rows, symbol="symbol")
-    d = d.withColumn("n", F.row_number().over(Window.partitionBy("sym").orderBy("date", "seq")).cast("bigint"))
-    return d.select("sym", F.col("n").alias("seq"), r("filled_price").alias("filled_price"), *[r(c, 5).alias(c) for c in ("commission", "stamp_duty", "transfer_fee", "total_fees")], r("slippage_cost", 4).alias("slippage_cost"), r("net_amount", 4).alias("net_amount"))
+    return d.select("sym", "seq.*", r("filled_price").alias("filled_price"), *[r(c, 5).alias(c) for c in ("commission", "stamp_duty", "transfer_fee", "total_fees")], r("slippage_cost", 4).alias("slippage_cost"), r("net_amount", 4).alias("net_amount"))
 
 
 @query("cost_totals", with_(COST_SQL) + f"SELECT sym,{r6('sum(co)', 3)} AS commission,{r6('sum(sd)', 3)} AS stamp_duty,{r6('sum(tf)', 3)} AS transfer_fee FROM cc GROUP BY 1")
@@ -238,14 +240,14 @@ def risk_alert_levels_60(t):
 
 # --- data quality ----------------------------------------------------------
 @query("quality_checks", with_(BARS_D_SQL, "l AS (SELECT max(date) AS d FROM bars)", f"""rc AS (SELECT code,date,close/nullif(lag(close) OVER ({W}),0)-1 AS chg FROM bars,l WHERE date>=d-10)""") + """
-SELECT 'neg_close' AS "check",true AS critical,count(*) FILTER (WHERE close<0)=0 AS passed,CAST(count(*) FILTER (WHERE close<0) AS BIGINT) AS n_bad FROM bars
-UNION ALL SELECT 'extreme_low',true,count(*) FILTER (WHERE close<0.5)=0,count(*) FILTER (WHERE close<0.5) FROM bars
-UNION ALL SELECT 'extreme_jump',false,count(*) FILTER (WHERE abs(chg)>0.11)=0,count(*) FILTER (WHERE abs(chg)>0.11) FROM rc
-UNION ALL SELECT 'freshness',false,date_diff('day',d,DATE '2024-02-01')<=3,0 FROM l
-UNION ALL SELECT 'coverage',false,(SELECT count(*) FROM bars,l WHERE date=d)/CAST((SELECT count(*) FROM customer) AS DOUBLE)>=0.8,(SELECT count(*) FROM customer)-(SELECT count(*) FROM bars,l WHERE date=d)""")
+SELECT 'neg_close' AS "check",true AS critical,count(*) FILTER (WHERE close<0)=0 AS passed,CAST(count(*) FILTER (WHERE close<0) AS BIGINT) AS n_bad,CAST(NULL AS DOUBLE) AS value FROM bars
+UNION ALL SELECT 'extreme_low',true,count(*) FILTER (WHERE close<0.5)=0,count(*) FILTER (WHERE close<0.5),0.5 FROM bars
+UNION ALL SELECT 'extreme_jump',false,count(*) FILTER (WHERE abs(chg)>0.11)=0,count(*) FILTER (WHERE abs(chg)>0.11),0.11 FROM rc
+UNION ALL SELECT 'freshness',false,date_diff('day',d,DATE '2024-02-01')<=3,0,date_diff('day',d,DATE '2024-02-01') FROM l
+UNION ALL SELECT 'coverage',false,(SELECT count(*) FROM bars,l WHERE date=d)/CAST((SELECT count(*) FROM customer) AS DOUBLE)>=0.8,(SELECT count(*) FROM customer)-(SELECT count(*) FROM bars,l WHERE date=d),round((SELECT count(*) FROM bars,l WHERE date=d)/CAST((SELECT count(*) FROM customer) AS DOUBLE)+1e-9,6)""")
 def quality_checks(t):
     c = Q.sanity_checks(t.bars_d, t.table("customer").select("c_custkey"), F.lit("2024-02-01").cast("date"), recent_days=10)
-    return c.select("check", "critical", "passed", "n_bad")
+    return c.select("check", "critical", "passed", "n_bad", F.when(F.col("check") == "coverage", r("value")).otherwise(F.col("value")).alias("value"))
 
 
 @query("quality_verdict", with_(BARS_D_SQL, "l AS (SELECT max(date) AS d FROM bars)", f"rc AS (SELECT code,date,close/nullif(lag(close) OVER ({W}),0)-1 AS chg FROM bars,l WHERE date>=d-10)",
@@ -264,11 +266,23 @@ def quality_samples(t):
 
 @query("quality_completeness", with_(BARS_D_SQL, ANN_SQL, """u AS (SELECT DISTINCT lpad(CAST(c_custkey AS VARCHAR),6,'0') AS code,c_mktsegment AS s FROM customer),h AS (SELECT DISTINCT code FROM bars),
 c AS (SELECT count(*) AS ut,count(h.code) AS uc,count(*) FILTER (WHERE s='BUILDING') AS it,count(h.code) FILTER (WHERE s='BUILDING') AS ic,count(*) FILTER (WHERE u.code<='000010') AS mt,count(h.code) FILTER (WHERE u.code<='000010') AS mc FROM u LEFT JOIN h USING (code))""") +
-       f"SELECT ut AS universe_total,uc AS universe_covered,it AS index_total,ic AS index_covered,mt AS must_total,mc AS must_covered,{r6('uc/CAST(ut AS DOUBLE)')} AS universe_pct,{r6('ic/CAST(it AS DOUBLE)')} AS index_pct,CASE WHEN ic<0.8*it OR mc<8 THEN 'CRITICAL' WHEN ic<0.95*it OR mc<mt OR uc<0.9*ut THEN 'WARNING' ELSE 'OK' END AS verdict FROM c")
+       f"SELECT ut AS universe_total,uc AS universe_covered,it AS index_total,ic AS index_covered,mt AS must_total,mc AS must_covered,{r6('uc/CAST(ut AS DOUBLE)')} AS universe_pct,{r6('ic/CAST(it AS DOUBLE)')} AS index_pct,CASE WHEN ic<0.8*it OR mc<8 THEN 'CRITICAL' WHEN ic<0.95*it OR mc<mt OR uc<0.9*ut THEN 'WARNING' ELSE 'OK' END AS verdict,concat_ws(',',CASE WHEN ic<0.95*it THEN 'index' END,CASE WHEN mc<8 OR mc<mt THEN 'must_have' END,CASE WHEN uc<0.9*ut THEN 'universe' END) AS reasons FROM c")
 def quality_completeness(t):
     u = t.table("customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), "c_mktsegment")
     c = Q.completeness(t.bars_d, u.select("code"), u.where("c_mktsegment = 'BUILDING'").select("code"), u.where("code <= '000010'").select("code"))
-    return c.drop("reasons").withColumns({"universe_pct": r("universe_pct"), "index_pct": r("index_pct")})
+    return c.withColumns({"reasons": F.array_join("reasons", ","), "universe_pct": r("universe_pct"), "index_pct": r("index_pct")})
+
+
+@query("quality_board_coverage", with_(BARS_D_SQL, f"u AS (SELECT code,CASE WHEN {BARE_MATCH} END AS board FROM (SELECT {SPREAD_SQL} AS code FROM customer))", "h AS (SELECT DISTINCT CASE WHEN CAST(code AS INTEGER)%2=0 THEN '6'||right(code,5) ELSE '0'||right(code,5) END AS code FROM bars)") +
+       f"SELECT board,count(*) AS total,count(h.code) AS covered,{r6('count(h.code)/CAST(count(*) AS DOUBLE)')} AS pct FROM u LEFT JOIN h USING (code) GROUP BY 1")
+def quality_board_coverage(t):
+    """Symbols of each board and how many of them have bars."""
+    spread = lambda c, k: F.concat(F.when(k % 2 == 0, "6").when(k % 7 == 1, "3").otherwise("0"), F.expr("right(code, 5)"))
+    u = t.table("customer").select(F.lpad(F.col("c_custkey").cast("string"), 6, "0").alias("code"), F.col("c_custkey").alias("k"))
+    u = u.select(spread("code", F.col("k")).alias("code"))
+    have = t.bars_d.select(F.concat(F.when(F.col("code").cast("int") % 2 == 0, "6").otherwise("0"), F.expr("right(code, 5)")).alias("code"))
+    c = Q.coverage_by(u.withColumn("board", board_of(F.col("code"))), have, "board")
+    return c.select("board", "total", "covered", r("pct").alias("pct"))
 
 
 BOARD_SEV = {"green": 0, "yellow": 1, "orange": 2, "red": 3, "black": 4}

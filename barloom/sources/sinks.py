@@ -6,6 +6,7 @@ when the job has committed.  Nothing overwrites a path that is being read.
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Sequence
 
@@ -52,10 +53,22 @@ def replace_slices(df: DataFrame, path: str, partition: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
 
 
-def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], *, spread: int = 1, sort: Sequence[str] = ()) -> None:
-    """Hive partitions.  ``spread`` tasks share each key, so a hot key is not one file of one task."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread)) if spread > 1 else F.lit(0)
-    out = df.repartition(*keys, salt)
+def write_partitioned(df: DataFrame, path: str, keys: Sequence[str], *, rows: int = 2_000_000, sort: Sequence[str] = ()) -> None:
+    """Hive partitions.  Keys are counted first; one of n rows is written by about n / ``rows`` tasks.
+
+    ``df`` is computed twice, for the counts and for the rows; write a costly one first.
+    """
+    sizes = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("_n")).withColumn("_splits", F.ceil(F.col("_n") / rows))
+    large = sizes.where("_splits > 1")  # small keys need no row here
+    parts = large.agg(F.coalesce(F.sum("_splits"), F.lit(0))).first()[0]
+    if parts:
+        on = functools.reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+        salt = F.when(F.col("_splits").isNotNull(), F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.col("_splits"))).otherwise(0)
+        # twice as many tasks as parts, as parts are dealt by hash; a number that is named is not coalesced
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) + 2 * parts
+        out = df.join(large, on, "left").repartition(tasks, *keys, salt).select(df.columns)
+    else:
+        out = df.repartition(*keys)
     if sort:
         out = out.sortWithinPartitions(*keys, *sort)
     out.write.mode("overwrite").partitionBy(*keys).parquet(path)

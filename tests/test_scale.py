@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import session
+from barloom.sources import sinks
 from barloom.operators import factors as A
 from barloom.operators import ranking as R
 from barloom.operators import upsert as U
@@ -122,3 +123,20 @@ def test_no_local_fallback_on_a_cluster():
 
 def test_work_folder_is_one_per_application(spark):
     assert session.work_dir(spark) == session.work_dir(spark) and spark.sparkContext.applicationId in session.work_dir(spark)
+
+
+def test_pools_grow_with_the_suppliers(spark):
+    from barloom.plans.registry import Tables
+
+    pools = {sf: Tables(spark, f"/root/testdata/sf{sf}").bars_s.select("code").distinct().count() for sf in ("0.001", "0.01", "0.1")}
+    assert pools["0.001"] < pools["0.01"] < pools["0.1"] and pools["0.1"] >= 9 * pools["0.01"]
+
+
+def test_a_hot_partition_key_is_written_by_many_tasks(spark, tmp_path):
+    df = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").when(F.col("id") % 20 == 0, None).otherwise(F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("key"), "id")
+    sinks.write_partitioned(df, f"{tmp_path}/t", ["key"], rows=1000, sort=["id"])
+    back = spark.read.parquet(f"{tmp_path}/t")
+    files = back.groupBy(F.input_file_name().alias("f"), "key").count().collect()
+    assert back.count() == 20_000 and back.where("key is null").count() == 1000
+    assert max(r["count"] for r in files) < 4200 and sum(r.key == "hot" for r in files) >= 8  # a task may get a few of the hot key's eighteen parts
+    assert sum(r.key == "k3" for r in files) == 1
