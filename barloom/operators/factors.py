@@ -13,7 +13,8 @@ from barloom.functions.frames import (
 )
 from barloom.operators import indicators as I
 from barloom.operators import recur as R
-from barloom.operators.joins import asof, densified, interval_sums
+from barloom.operators import panels
+from barloom.operators.joins import asof, interval_sums
 from barloom.operators.ranking import calendar_join, global_quantiles, quantiles, with_global
 from barloom.sources.sinks import publish
 
@@ -200,13 +201,14 @@ def collapse_events(events: DataFrame, keys: Sequence[str] = ("code", "date")) -
 
 
 def event_features(daily: DataFrame, keys: DataFrame, calendar: DataFrame, ns: Sequence[int] = (30, 60), avg_n: int = 30) -> DataFrame:
-    """Dense per-day event features: flag, rolling counts and sums (10k units), rolling mean share."""
+    """Per-day event features: flag, rolling counts and sums (10k units), rolling mean share, from runs of trailing sums."""
     sparse = daily.select("code", "date", F.lit(1).alias("on_list"), "net_amt", F.col("net_buy_pct").alias("net_buy_evt"))
-    df = densified(sparse, keys, calendar, ["on_list", "net_amt", "net_buy_evt"])
-    outs = {f"count_{n}": F.sum("on_list").over(trail(n)) for n in ns}
-    outs |= {f"net_sum_{n}_wan": F.sum("net_amt").over(trail(n)) / 1e4 for n in ns}
-    outs[f"net_buy_evt_avg_{avg_n}"] = F.avg("net_buy_evt").over(trail(avg_n))
-    return df.withColumns(outs)
+    sums = {"on_list": ("on_list", 1), "net_amt": ("net_amt", 1), "net_buy_evt": ("net_buy_evt", 1), "_avg": ("net_buy_evt", avg_n)}
+    sums |= {f"count_{n}": ("on_list", n) for n in ns} | {f"net_sum_{n}_wan": ("net_amt", n) for n in ns}
+    panel, cal = panels.trailing(keys, calendar, sparse, sums)
+    panel = panel.fillna(0, subset=list(sums)).withColumns({f"net_sum_{n}_wan": F.col(f"net_sum_{n}_wan") / 1e4 for n in ns} | {"on_list": F.col("on_list").cast("int")})
+    out = panels.expand(panel, cal)
+    return out.withColumn(f"net_buy_evt_avg_{avg_n}", F.col("_avg") / panels.within("place", avg_n)).drop("_avg", "place")
 
 
 def margin_features(margin: DataFrame) -> DataFrame:
@@ -239,29 +241,47 @@ def fund_flow_features(flow: DataFrame, ns: Sequence[int] = (5, 10, 20)) -> Data
     return flow.withColumns(outs)
 
 
-def holder_features(reports: DataFrame, grid: DataFrame, *, keep: int = 6, max_age: int = 365) -> DataFrame:
-    """Holder-count changes known at each grid date.
+def holder_runs(reports: DataFrame, keys: DataFrame, cal: DataFrame, *, keep: int = 6, max_age: int = 365) -> DataFrame:
+    """Runs of what is known of a symbol's holders: newest announcement, sums of changes over half a year and a year.
 
-    ``reports`` is unique on (code, announce_date) with change_pct and
-    avg_holding; sums look at the newest ``keep`` announcements only.
+    They change where an announcement appears, leaves a span or grows too old.
     """
     w = Window.partitionBy("code").orderBy("announce_date").rowsBetween(-(keep - 1), 0)
     known = reports.withColumn("hist", F.collect_list(F.struct(F.col("announce_date").alias("d"), F.col("change_pct").alias("p"))).over(w))
-    hit = asof(grid, known, ["change_pct", "avg_holding", "hist"], right_on="announce_date", matched_on="_at", tolerance_days=max_age)
+    value = F.struct(F.col("announce_date").alias("at"), "change_pct", "avg_holding", "hist")
+    points = known.select("code", F.col("announce_date").alias("day"), value.alias("v"))
+    for k in (183, 366, max_age + 1):
+        points = points.unionByName(known.select("code", F.date_add("announce_date", k).alias("day")), allowMissingColumns=True)
+    points = panels.place_from(points, cal, "day")
+    upto = Window.partitionBy("code").orderBy("place", "day", F.col("v").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    last = Window.partitionBy("code", "place").orderBy(F.desc("day"), F.col("v").isNull())
+    points = points.withColumns({"v": F.last("v", ignorenulls=True).over(upto), "_k": F.row_number().over(last)}).where("_k = 1")
+    points = points.join(F.broadcast(cal.select("place", "date")), "place")
+    fresh = F.datediff("date", "v.at") <= max_age
 
     def total(days: int) -> Column:
-        recent = F.filter("hist", lambda h: (h["d"] > F.date_sub("date", days)) & h["p"].isNotNull())
-        return F.when(F.size(recent) > 0, F.aggregate(recent, F.lit(0.0), lambda a, h: a + h["p"]))
+        recent = F.filter("v.hist", lambda h: (h["d"] > F.date_sub("date", days)) & h["p"].isNotNull())
+        return F.when(fresh & (F.size(recent) > 0), F.aggregate(recent, F.lit(0.0), lambda a, h: a + h["p"]))
 
-    df = hit.withColumns({
-        "change_3m": F.col("change_pct"), "change_6m": total(183), "change_12m": total(366),
-        "age_days": F.coalesce(F.datediff("date", "_at"), F.lit(-1)),
-    })
-    # the medians read the joined rows several times: write them once, cut the lineage
-    df = publish(df.drop("hist"), "holders")
+    points = points.select(
+        "code", "place", F.when(fresh, F.col("v.change_pct")).alias("change_3m"), total(183).alias("change_6m"), total(366).alias("change_12m"),
+        F.when(fresh, F.col("v.avg_holding")).alias("avg_holding"), F.when(fresh, F.col("v.at")).alias("at"))
+    return panels.runs(keys, cal, points, ["change_3m", "change_6m", "change_12m", "avg_holding", "at"])
+
+
+def holder_features(reports: DataFrame, keys: DataFrame, calendar: DataFrame, *, keep: int = 6, max_age: int = 365) -> DataFrame:
+    """Holder-count changes known at each calendar date.
+
+    ``reports`` is unique on (code, announce_date) with change_pct and
+    avg_holding; sums look at the newest ``keep`` announcements only.
+    """
+    cal = panels.places(calendar)
+    df = panels.expand(holder_runs(reports, keys, cal, keep=keep, max_age=max_age), cal)
+    # the medians read the expanded rows several times: write them once, cut the lineage
+    df = publish(df.withColumn("age_days", F.coalesce(F.datediff("date", "at"), F.lit(-1))).drop("at", "place"), "holders")
     med = quantiles(df, ["date"], "avg_holding", {"_med": 0.5})
     df = calendar_join(df, med, ["date"])
-    return df.withColumn("concentration", 1.0 - div("avg_holding", "_med")).drop("change_pct", "_at", "_med")
+    return df.withColumn("concentration", 1.0 - div("avg_holding", "_med")).drop("_med")
 
 
 def quarterly_eps(fund: DataFrame) -> DataFrame:

@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.ranking import with_global
-
 
 def asof(
     left: DataFrame,
@@ -99,29 +97,6 @@ def interval_sums(
     return both.withColumns(sums).where(F.col("_g").isNotNull()).select("_g.*", *sums)
 
 
-def densify(keys: DataFrame, calendar: DataFrame, *, on: str = "date") -> DataFrame:
-    """Every key on every calendar date.
-
-    The calendar (one row per date, bounded) travels as one array in a scalar
-    subquery and is exploded beside each key; nothing is shuffled.
-    """
-    dates = calendar.select(on).distinct().agg(F.sort_array(F.collect_set(on)).alias("_cal"))
-    return with_global(keys, dates).withColumn(on, F.explode("_cal")).drop("_cal")
-
-
-def densified(events: DataFrame, keys: DataFrame, calendar: DataFrame, cols: Sequence[str], *, on: str = "date") -> DataFrame:
-    """Grid with events on their days and 0 elsewhere; events unique per key and day."""
-    return densify(keys, calendar, on=on).join(events, [*keys.columns, on], "left").fillna(0, subset=list(cols))
-
-
-def fill_forward(grid: DataFrame, values: DataFrame, cols: Sequence[str], *, key: str | None = None, on: str = "date") -> DataFrame:
-    """Left join on exact dates, then carry the last known value down the calendar."""
-    keys = [*([key] if key else []), on]
-    w = (Window.partitionBy(key) if key else Window.partitionBy()).orderBy(on).rowsBetween(Window.unboundedPreceding, 0)
-    joined = grid.join(values, keys, "left")
-    return joined.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
-
-
 def nth_row_after(events: DataFrame, bars: DataFrame, n: Sequence[int], col: str = "close") -> DataFrame:
     """Value of ``col`` at the first bar on or after each event date and n bars later.
 

@@ -216,8 +216,7 @@ def factor_holders(t):
     w = Window.partitionBy("code").orderBy("announce_date")
     rep = rep.select("code", "announce_date", (F.col("v") / 1000.0).alias("avg_holding"), ((F.col("v") / F.lag("v").over(w) - 1.0) * 100.0).alias("change_pct"))
     years = t.lineitem.select(F.trunc(F.to_date("l_shipdate"), "year").alias("date"))
-    grid = J.densify(t.announcements.select("code").distinct(), years)
-    d = A.holder_features(rep, grid)
+    d = A.holder_features(rep, t.announcements.select("code"), years)
     return d.select("code", "date", r("change_3m", 5).alias("change_3m"), r("change_6m", 5).alias("change_6m"), r("change_12m", 5).alias("change_12m"), "age_days", r("concentration").alias("concentration"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.frames import change, div, mean_n, series
 from barloom.operators import crosssec as C
 from barloom.operators import joins as J
+from barloom.operators import panels as N
 from barloom.operators.factors import amplitude_imbalance
 from barloom.operators.ranking import calendar_join, top_k, with_global
 from barloom.plans.registry import (
@@ -110,9 +111,10 @@ CAST(CASE WHEN date_diff('day',a.date,g.date)<=365 THEN date_diff('day',a.date,g
 FROM grid g ASOF LEFT JOIN an1 a ON g.code=a.code AND g.date>=a.date""")
 def join_asof_grid_max_age(t):
     """Full code x date grid; a value older than 365 days reads as missing."""
-    grid = J.densify(t.suppliers.select("code").distinct(), t.bars_m)
-    hit = J.asof(grid, t.announcements, ["value"], tie=["id"], tolerance_days=365, matched_on="at")
-    return hit.select("code", "date", r("value", 4).alias("value"), F.coalesce(F.datediff("date", "at"), F.lit(-1)).alias("age_days"))
+    newest = t.announcements.groupBy("code", "date").agg(F.max_by("value", "id").alias("value"))
+    hit = N.carried(t.suppliers.select("code"), t.bars_m, newest, ["value"], at="at")
+    fresh = F.datediff("date", "at") <= 365
+    return hit.select("code", "date", F.when(fresh, r("value", 4)).alias("value"), F.when(fresh, F.datediff("date", "at")).otherwise(-1).alias("age_days"))
 
 
 def fwd_sql(n: int) -> str:
@@ -158,7 +160,7 @@ def join_backward_interval(t):
        f"SELECT code,date,{r6('coalesce(value,0)', 4)} AS value,coalesce(n,0) AS n FROM grid LEFT JOIN em USING (code,date)")
 def join_densify(t):
     em = t.announcements.groupBy("code", F.trunc("date", "month").alias("date")).agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
-    d = J.densified(em, t.suppliers.select("code").distinct(), t.bars_m, ["value", "n"])
+    d = N.zero_filled(t.suppliers.select("code"), t.bars_m, em, ["value", "n"])
     return d.select("code", "date", r("value", 4).alias("value"), "n")
 
 
@@ -223,8 +225,7 @@ def join_rewritten_key(t):
 @query("join_reindex_ffill", with_(BARS_M_SQL, SUPPLIERS_SQL, GRID_SQL) + f"""SELECT g.code,g.date,{r6('last_value(close IGNORE NULLS) OVER (PARTITION BY g.code ORDER BY g.date)')} AS close
 FROM grid g LEFT JOIN bars b ON b.code=g.code AND b.date=g.date""")
 def join_reindex_ffill(t):
-    grid = J.densify(t.suppliers.select("code").distinct(), t.bars_m)
-    out = J.fill_forward(grid, t.bars_m.select("code", "date", "close"), ["close"], key="code")
+    out = N.carried(t.suppliers.select("code"), t.bars_m, t.bars_m.where("close is not null").select("code", "date", "close"), ["close"])
     return out.select("code", "date", r("close").alias("close"))
 
 
