@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import div
 from barloom.operators.ranking import attach, place, position, quantile_bucket, ranked
+from barloom.sources.sinks import publish
 
 
 def zscore(
@@ -46,6 +47,7 @@ def rank_ic(
     key = [c for c in ("code",) if c in df.columns] or df.columns
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.xxhash64(*key).alias("_h"))
+    pairs = publish(pairs, "rank-pairs")  # read by every step below
     placed = place(pairs, by, ["_x", "_y"])
     # one pass counts both rankings: at most (ranges x ranges) cells per group
     cells = placed.groupBy(*by, "_range__x", "_range__y").agg(F.count(F.lit(1)).alias("_cnt"))

@@ -30,30 +30,27 @@ def signed_shares() -> Column:
     return F.when(is_buy(), F.col("shares")).when(F.col("action") == "SELL", -F.col("shares")).otherwise(0)
 
 
-def in_blocks(trades: DataFrame) -> DataFrame:
-    """The log as a written table whose ``block`` numbers ranges of (sym, date, seq): a symbol's trades spread over as many tasks as they fill."""
-    return publish(trades.repartitionByRange("sym", "date", "seq").withColumn("block", F.spark_partition_id()), "trade-blocks")
+def in_blocks(days: DataFrame, rows: int) -> DataFrame:
+    """(sym, date, n, ...) with ``block``: a symbol's days in order, cut where about ``rows`` trades are reached."""
+    upto = F.sum("n").over(Window.partitionBy("sym").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))
+    return days.withColumn("block", F.floor((upto - 1) / rows).cast("int"))
 
 
 def rounded(x: np.ndarray, digits: int) -> np.ndarray:
     """Decimal rounding of each value as ``round`` does it; values close to a tie are left to it."""
     scale = 10.0**digits
     y = x * scale
-    out = np.rint(y) / scale
-    for i in np.nonzero(np.abs(y - np.floor(y) - 0.5) < 1e-4)[0].tolist():
-        out[i] = round(float(x[i]), digits)
+    near = np.rint(y)
+    out = near / scale
+    ties = np.abs(y - near) > 0.4999
+    if ties.any():
+        for i in np.nonzero(ties)[0].tolist():
+            out[i] = round(float(x[i]), digits)
     return out
 
 
-PIECE = 256  # trades of one symbol that are folded in one step of a vector
-
-
-def _steps(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For the first, second ... trade of all pieces: which pieces have one, and its row."""
-    order = np.argsort(-sizes, kind="stable")
-    for t in range(int(sizes.max(initial=0))):
-        live = order[:np.searchsorted(-sizes[order], -t, "left")]
-        yield live, starts[live] + t
+BUFFER = 200_000  # trades that a task folds at once
+WIDE = 24  # so many blocks are folded side by side; the rest of the longest ones alone
 
 
 def _cost(cost: np.ndarray, held: np.ndarray, shares: np.ndarray, price: np.ndarray) -> np.ndarray:
@@ -62,26 +59,42 @@ def _cost(cost: np.ndarray, held: np.ndarray, shares: np.ndarray, price: np.ndar
     return rounded(np.where(some, (held * cost + shares * price) / np.where(some, held + shares, 1), price), 4)
 
 
-def _ends(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cost after each piece from the lowest and the highest cost before it; every step is monotone."""
-    low, high = low.copy(), high.copy()
-    for live, at in _steps(starts, sizes):
-        buy = rows["buy"][at]
-        live, at = live[buy], at[buy]
-        held, shares, price = rows["held"][at], rows["shares"][at], rows["price"][at]
-        low[live], high[live] = _cost(low[live], held, shares, price), _cost(high[live], held, shares, price)
-    return low, high
-
-
-def _gains(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, cost: np.ndarray) -> np.ndarray:
-    """Realised profit of each piece in cents, from the cost before it."""
-    cost, cents = cost.copy(), np.zeros(len(starts), np.int64)
-    for live, at in _steps(starts, sizes):
-        buy, held, shares, price = (rows[n][at] for n in ("buy", "held", "shares", "price"))
-        sold = np.where(buy, 0, np.minimum(shares, np.maximum(held, 0)))
-        cents[live] += np.rint(rounded((price - cost[live]) * sold, 2) * 100).astype(np.int64)
-        b = live[buy]
-        cost[b] = _cost(cost[b], held[buy], shares[buy], price[buy])
+def _advance(rows: dict[str, np.ndarray], starts: np.ndarray, sizes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Fold blocks of trades from the lowest and the highest cost before them, in place; profit in cents where both are one.
+
+    Every step is monotone in the cost, so the cost after a block lies between
+    its two ends; where they have met, the cost before it no longer matters.
+    """
+    exact, cents = low == high, np.zeros(len(starts), np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    t = 0
+    while (live := int(np.searchsorted(-sizes[order], -t, "left"))) >= WIDE:
+        idx = order[:live]
+        buy, held, shares, price = (rows[n][starts[idx] + t] for n in ("buy", "held", "shares", "price"))
+        sold = np.nonzero(~buy & exact[idx] & (held > 0))[0]
+        if len(sold):
+            k = idx[sold]
+            gain = rounded((price[sold] - low[k]) * np.minimum(shares[sold], held[sold]), 2)
+            cents[k] += np.rint(gain * 100).astype(np.int64)
+        k, args = idx[buy], (held[buy], shares[buy], price[buy])
+        apart = low[k] != high[k]
+        low[k], top = _cost(low[k], *args), high[k]
+        high[k] = low[k]
+        if apart.any():
+            high[k[apart]] = _cost(top[apart], *(v[apart] for v in args))
+        t += 1
+    for k in order[:live].tolist():
+        part = slice(int(starts[k]) + t, int(starts[k] + sizes[k]))
+        a, z, sure, total = float(low[k]), float(high[k]), bool(exact[k]), 0
+        for buy, held, shares, price in zip(*(rows[n][part].tolist() for n in ("buy", "held", "shares", "price")), strict=True):
+            if buy:
+                apart = a != z
+                a = round((held * a + shares * price) / (held + shares), 4) if held > 0 else round(price, 4)
+                z = a if not apart else round((held * z + shares * price) / (held + shares), 4) if held > 0 else a
+            elif sure and held > 0:
+                total += round(round((price - a) * min(shares, held), 2) * 100)
+        low[k], high[k] = a, z
+        cents[k] += total
     return cents
 
 
@@ -91,147 +104,145 @@ _BLOCK = "sym string, block int, low double, high double, cents bigint"
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ordered trades of (sym, unit) runs -> cost after each (sym, block), and its profit where the cost before it is known.
 
-    A run starts with cost between ``low0`` and ``high0``.  Pieces of trades are
-    folded from both ends at once; where these meet, the cost before a piece no
-    longer matters.  Only the other pieces wait for the piece before them.
+    A run starts with a cost between ``low0`` and ``high0``; a further block of
+    it starts where the one before ended.
     """
     schema = pa.schema([("sym", pa.string()), ("block", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("cents", pa.int64())])
-    run = block = None  # (sym, unit), (sym, block)
-    low = high = cents = held = 0
-    known = True
-    least = most = 0.0  # bounds of the run's costs so far
-    out: list[list] = [[] for _ in schema]
-
-    def close() -> None:
-        if block is not None:
-            for c, v in zip(out, (*block, low, high, cents if known else None), strict=True):
-                c.append(v)
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sym = batch.column(0).dictionary_encode()
-        names, sym = sym.dictionary.to_pylist(), sym.indices.to_numpy()
-        unit, number, buy, price, shares, held0, low0, high0 = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 9))
-        edge = np.append(True, (sym[1:] != sym[:-1]) | (number[1:] != number[:-1]) | (unit[1:] != unit[:-1]))
-        place = np.arange(len(sym)) - np.maximum.accumulate(np.where(edge, np.arange(len(sym)), 0))
-        starts = np.nonzero(place % PIECE == 0)[0]
+    carry: dict = {}  # what is known of the block that the last buffer ended in
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal carry
+        table = table.combine_chunks()
+        code = table.column(0).combine_chunks().dictionary_encode()
+        names, sym = code.dictionary.to_pylist(), code.indices.to_numpy()
+        unit, number, buy, price, shares, held0, low0, high0 = (table.column(i).to_numpy() for i in range(1, 9))
+        changed = lambda *v: np.append(True, np.logical_or.reduce([x[1:] != x[:-1] for x in v]))
+        starts = np.nonzero(changed(sym, unit, number))[0]
         sizes = np.diff(np.append(starts, len(sym)))
+        head = changed(sym, unit)[starts]  # blocks that begin a run
+        turn = np.cumsum(head) - 1
+        level = np.arange(len(starts)) - np.nonzero(head)[0][turn]  # blocks before it in its run
         signed = np.where(buy, shares, -shares)
         total = np.cumsum(signed) - signed
-        first = np.nonzero(edge)[0]
-        base = held0[first] - total[first]
-        if (names[sym[0]], int(number[0])) == block:
-            base[0] = held - total[0]
-        rows = {"buy": buy, "price": price, "shares": shares, "held": total + np.repeat(base, np.diff(np.append(first, len(sym))))}
-        turn = np.nonzero(np.append(True, (sym[1:] != sym[:-1]) | (unit[1:] != unit[:-1])))[0]
-        floor = np.minimum(np.minimum.reduceat(np.where(buy, price, np.inf), turn) - 1e-4, low0[turn])
-        roof = np.maximum(np.maximum.reduceat(np.where(buy, price, -np.inf), turn) + 1e-4, high0[turn])
-        if (names[sym[0]], int(unit[0])) == run:
-            floor[0], roof[0] = min(floor[0], least), max(roof[0], most)
-        least, most = floor[-1], roof[-1]
-        of = np.searchsorted(turn, starts, "right") - 1
-        ends = _ends(rows, starts, sizes, floor[of], roof[of])
-        before, owner, done = np.zeros(len(starts)), [], []  # cost before each piece; its block's place in ``done``
-        exact = np.zeros(len(starts), bool)
-        for k, s in enumerate(starts.tolist()):
-            name, b = names[sym[s]], int(number[s])
-            if (name, b) != block:
-                if owner or block is not None:
-                    done.append((block, low, high, cents, known))
-                if (name, int(unit[s])) != run:
-                    run, low, high = (name, int(unit[s])), float(low0[s]), float(high0[s])
-                block, cents, known = (name, b), 0, True
-            owner.append(len(done))
-            before[k], exact[k] = low, low == high
-            known &= low == high
-            a, z = float(ends[0][k]), float(ends[1][k])
-            if a != z:
-                one = slice(k, k + 1)
-                x, y = _ends(rows, starts[one], sizes[one], np.array([low]), np.array([high]))
-                a, z = float(x[0]), float(y[0])
-            low, high = a, z
-        held = int(rows["held"][-1] + signed[-1])
-        made = np.zeros(len(done) + 1, np.int64)
-        np.add.at(made, np.array(owner)[exact], _gains(rows, starts[exact], sizes[exact], before[exact]))
-        for (key, x, y, c, ok), more in zip(done, made.tolist(), strict=False):
-            if key is not None:
-                for col, v in zip(out, (*key, x, y, c + more if ok else None), strict=True):
-                    col.append(v)
-        cents += int(made[-1])
-        if len(out[0]) >= 10000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-            out = [[] for _ in schema]
-    close()
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
-
-
-def _folded(log: DataFrame, units: DataFrame) -> DataFrame:
-    """Cost and profit of the blocks of ``units`` (sym, block, unit, held0, low0, high0)."""
-    rows = log.where(F.col("action").isin("BUY", "SELL")).join(units, ["sym", "block"])
+        base = held0[starts] - total[starts]
+        low, high = low0[starts].astype(float), high0[starts].astype(float)
+        known, cents = np.ones(len(starts), bool), np.zeros(len(starts), np.int64)
+        first = (names[sym[0]], int(unit[0]))
+        if carry.get("run") == first:  # goes on from the buffer before
+            low[0], high[0] = carry["low"], carry["high"]
+            if carry["block"] == int(number[0]):
+                base[0], known[0], cents[0] = carry["held"] - total[0], carry["known"], carry["cents"]
+                carry = {}
+        if carry:
+            yield row(carry)
+        rows = {"buy": buy, "price": price, "shares": shares, "held": total + np.repeat(base, sizes)}
+        for n in range(int(level.max()) + 1):
+            now = np.nonzero(level == n)[0]
+            if n:
+                low[now], high[now] = low[now - 1], high[now - 1]
+            known[now] &= low[now] == high[now]
+            a, z = low[now], high[now]
+            cents[now] += _advance(rows, starts[now], sizes[now], a, z)
+            low[now], high[now] = a, z
+        last = len(starts) - 1
+        carry = {"sym": names[sym[-1]], "run": (names[sym[-1]], int(unit[-1])), "block": int(number[-1]), "low": float(low[last]), "high": float(high[last]),
+                 "known": bool(known[last]), "cents": int(cents[last]), "held": int(rows["held"][-1] + signed[-1])}
+        if last:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([names[i] for i in sym[starts[:-1]]], pa.string()), pa.array(number[starts[:-1]], pa.int32()), pa.array(low[:-1]), pa.array(high[:-1]),
+                pa.array(cents[:-1], mask=~known[:-1])], schema=schema)
+
+    def row(c: dict) -> pa.RecordBatch:
+        values = (c["sym"], c["block"], c["low"], c["high"], c["cents"] if c["known"] else None)
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= BUFFER:
+                yield from work(pa.Table.from_batches(held))
+                held = []
+    if held:
+        yield from work(pa.Table.from_batches(held))
+    if carry:
+        yield row(carry)
+
+
+def _folded(log: DataFrame, units: DataFrame, cut: DataFrame | None) -> DataFrame:
+    """Cost and profit of the blocks of ``units`` (sym, block, unit, held0, low0, high0); ``cut`` has the days of symbols with several."""
+    rows = log.where(F.col("action").isin("BUY", "SELL"))
+    if cut is None:
+        rows = rows.join(units, "sym")
+    else:
+        rows = rows.join(cut, ["sym", "date"], "left").withColumn("block", F.coalesce("block", F.lit(0))).join(units, ["sym", "block"])
     rows = rows.repartition("sym", "unit").sortWithinPartitions("sym", "unit", "block", "date", "seq").select(
         "sym", "unit", "block", is_buy().alias("buy"), F.coalesce(F.col("price").cast("double"), F.lit(0.0)).alias("price"),
         F.coalesce(F.col("shares").cast("bigint"), F.lit(0)).alias("shares"), "held0", "low0", "high0")
     return rows.mapInArrow(_fold, _BLOCK)
 
 
-def first_names(log: DataFrame) -> DataFrame:
-    """(sym, name): the first name of a symbol that is not empty; its day is found first, by hashing."""
+def first_names(log: DataFrame, days: DataFrame) -> DataFrame:
+    """(sym, name): the first name of a symbol that is not empty; its day is known, so one day's names are ordered."""
+    day = days.where("named > 0").groupBy("sym").agg(F.min("date").alias("date"))
     named = log.where(F.coalesce(F.col("name"), F.lit("")) != "").select("sym", "date", "seq", "name")
-    day = named.groupBy("sym").agg(F.min("date").alias("date"))
     return named.join(day, ["sym", "date"]).groupBy("sym").agg(F.min_by("name", "seq").alias("name"))
 
 
-def positions(trades: DataFrame) -> DataFrame:
+def positions(trades: DataFrame, *, block_rows: int = 1_000_000) -> DataFrame:
     """Position state per symbol: weighted-average cost, realised profit, totals and status.
 
-    With a ``name`` column, also the first name that is not empty.  The log is
-    cut into blocks by range, so a symbol with any share of all trades is many
-    blocks.  Shares held before each block are running sums over blocks.  The
-    rounded average is folded per block from the lowest and the highest cost it
-    may start with; most blocks end with one cost whatever came before.  Blocks
-    whose start was open then are folded again from the cost that is known by
-    now, side by side; a block that did not settle runs with the one behind it.
-    The profit of each sale is rounded to cents and added exactly; where it is
-    half a cent, a total that is rounded at every sale may go the other way.
+    With a ``name`` column, also the first name that is not empty.  Everything
+    that adds up comes from sums per symbol and day.  For the rounded average a
+    symbol's days are cut into blocks of about ``block_rows`` trades, so a hot
+    symbol is folded by many tasks.  A block is folded from the lowest and the
+    highest cost it may start with; where both end in one cost, that is the cost
+    whatever came before.  Blocks whose start was open are then folded again
+    from the cost that is known by now, side by side; a block that did not
+    settle runs with the one behind it.  The profit of each sale is rounded to
+    cents and added exactly; where it is half a cent, a total that is rounded at
+    every sale may go the other way.
     """
-    named = ["name"] if "name" in trades.columns else []
-    log = in_blocks(trades.select("sym", "date", "seq", "action", "price", "shares", *named))
+    named = "name" in trades.columns
+    log = trades.select("sym", "date", "seq", "action", "price", "shares", *(["name"] if named else []))
+    sell = F.col("action") == "SELL"
+    cents = F.round(F.col("shares") * F.col("price"), 2)
     price = F.when(is_buy(), F.round(F.col("price").cast("double"), 4))
-    blocks = log.groupBy("sym", "block").agg(F.sum(signed_shares()).cast("bigint").alias("_s"), F.min(price).alias("_low"), F.max(price).alias("_high"))
+    sum_if = lambda cond, c: F.sum(F.when(cond, c))
+    days = publish(log.groupBy("sym", "date").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(signed_shares()).cast("bigint").alias("s"), F.min(price).alias("low"), F.max(price).alias("high"),
+        sum_if(is_buy(), F.col("shares")).alias("bought"), sum_if(sell, F.col("shares")).alias("sold"), sum_if(is_buy(), cents).alias("paid"), sum_if(sell, cents).alias("got"),
+        F.count_if(is_buy()).alias("n_buy"), F.count_if(sell).alias("n_sell"), (F.count_if(F.coalesce(F.col("name"), F.lit("")) != "") if named else F.lit(0)).alias("named")), "trade-days")
+    cutting = in_blocks(days, block_rows)
     before = Window.partitionBy("sym").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     # a cost lies between the prices paid before; wider by a digit, as both sides may round ties their own way
-    blocks = blocks.select(
+    blocks = cutting.groupBy("sym", "block").agg(F.sum("s").alias("_s"), F.min("low").alias("_low"), F.max("high").alias("_high")).select(
         "sym", "block", F.col("block").alias("unit"), F.coalesce(F.sum("_s").over(before), F.lit(0)).cast("bigint").alias("held0"),
         F.coalesce(F.min("_low").over(before) - 1e-4, F.lit(0.0)).alias("low0"), F.coalesce(F.max("_high").over(before) + 1e-4, F.lit(0.0)).alias("high0"))
     blocks = publish(blocks, "trade-units")  # one row per symbol and block
-    once = publish(_folded(log, blocks), "trade-costs")
-    settled = F.col("low") == F.col("high")
-    past = Window.partitionBy("sym").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    state = once.withColumns({
-        "chain": F.coalesce(F.count(F.when(settled, 1)).over(past), F.lit(0)).cast("int"), "start": F.last(F.when(settled, F.col("low")), ignorenulls=True).over(past)})
-    open_ = state.where("cents is null").join(blocks.select("sym", "block", "held0"), ["sym", "block"]).select(
-        "sym", "block", F.col("chain").alias("unit"), "held0", F.col("start").alias("low0"), F.col("start").alias("high0"))
-    open_ = publish(open_, "trade-open")
-    final = once
-    if not open_.isEmpty():
-        final = once.where("cents is not null").unionByName(_folded(log, open_))
+    several = blocks.where("block > 0").select("sym").distinct()
+    if several.isEmpty():
+        final = _folded(log, blocks.drop("block").withColumn("block", F.lit(0)), None)
+    else:
+        cut = publish(cutting.join(several, "sym", "left_semi").select("sym", "date", "block"), "trade-cuts")
+        once = publish(_folded(log, blocks, cut), "trade-costs")
+        settled = F.col("low") == F.col("high")
+        state = once.withColumns({
+            "chain": F.coalesce(F.count(F.when(settled, 1)).over(before), F.lit(0)).cast("int"), "start": F.last(F.when(settled, F.col("low")), ignorenulls=True).over(before)})
+        open_ = publish(state.where("cents is null").join(blocks.select("sym", "block", "held0"), ["sym", "block"]).select(
+            "sym", "block", F.col("chain").alias("unit"), "held0", F.col("start").alias("low0"), F.col("start").alias("high0")), "trade-open")
+        final = once.where("cents is not null").unionByName(_folded(log, open_, cut))
     newest = final.groupBy("sym").agg(F.max_by("low", "block").alias("weighted_avg_cost"), (F.sum("cents") / 100.0).alias("realized_pnl"))
-    sell = F.col("action") == "SELL"
-    cents = F.round(F.col("shares") * F.col("price"), 2)
-    totals = log.groupBy("sym").agg(
-        F.sum(signed_shares()).cast("bigint").alias("net_shares"),
-        F.coalesce(F.sum(F.when(is_buy(), F.col("shares"))), F.lit(0)).alias("total_buy_shares"),
-        F.coalesce(F.sum(F.when(sell, F.col("shares"))), F.lit(0)).alias("total_sell_shares"),
-        F.round(F.coalesce(F.sum(F.when(is_buy(), cents)), F.lit(0.0)), 2).alias("total_buy_cost"),
-        F.round(F.coalesce(F.sum(F.when(sell, cents)), F.lit(0.0)), 2).alias("total_sell_revenue"),
-        F.max(F.when(is_buy(), F.col("date"))).alias("last_buy_date"), F.max(F.when(sell, F.col("date"))).alias("last_sell_date"),
-        F.max("date").alias("last_trade_date"), F.count(F.lit(1)).alias("trade_count"),
-    )
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    totals = days.groupBy("sym").agg(
+        F.sum("s").alias("net_shares"), zero("bought").alias("total_buy_shares"), zero("sold").alias("total_sell_shares"),
+        F.round(zero("paid"), 2).alias("total_buy_cost"), F.round(zero("got"), 2).alias("total_sell_revenue"),
+        F.max(F.when(F.col("n_buy") > 0, F.col("date"))).alias("last_buy_date"), F.max(F.when(F.col("n_sell") > 0, F.col("date"))).alias("last_sell_date"),
+        F.max("date").alias("last_trade_date"), F.sum("n").alias("trade_count"))
     n = F.col("net_shares")
     status = F.when(n > 0, "holding").when(n < 0, "short").when(F.col("total_buy_shares") > 0, "closed").otherwise("none")
     out = totals.join(newest, "sym", "left").withColumn("status", status)
-    return out.join(first_names(log), "sym", "left").fillna({"name": ""}) if named else out
+    return out.join(first_names(log, days), "sym", "left").fillna({"name": ""}) if named else out
 
 
 def pnl(pos: DataFrame, closes: DataFrame) -> DataFrame:

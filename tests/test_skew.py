@@ -152,14 +152,12 @@ def test_position_of_a_hot_symbol_is_folded_by_many_tasks(spark, kind):
         if hot:
             held += shares if buy else -shares
         log.append(("hot" if hot else f"s{rng.randrange(9)}", DAY + dt.timedelta(days=i // 9), "BUY" if buy else "SELL", rng.uniform(5, 90), shares, i, rng.choice([None, "", f"n{i}"])))
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    try:
-        df = spark.createDataFrame(log, LOG + ", name string").repartition(5)
-        tasks = P.in_blocks(df).where("sym = 'hot'").select("block").distinct().count()
-        got = {r.sym: r for r in P.positions(df).collect()}
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert tasks > 2
+    df = spark.createDataFrame(log, LOG + ", name string").repartition(5)
+    days = df.groupBy("sym", "date").agg(F.count(F.lit(1)).alias("n"))
+    assert P.in_blocks(days, 500).where("sym = 'hot'").select("block").distinct().count() > 8
+    got = {r.sym: r for r in P.positions(df, block_rows=500).collect()}
+    whole = {r.sym: r for r in P.positions(df).collect()}
+    assert got == whole
     for sym, (shares, cost, realized, name) in fold_brute(log).items():
         r = got[sym]
         assert (r.net_shares, r.weighted_avg_cost, r.name) == (shares, cost, name)
