@@ -72,7 +72,8 @@ def op2_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_minhash")
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    out = minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))  # rows of one id together
 
 
 @query("op4_html")
@@ -83,7 +84,8 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_vectors")
 def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return multi_index.near_vectors(read(spark, sf_dir, "embeddings"))
+    out = multi_index.near_vectors(read(spark, sf_dir, "embeddings"))
+    return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))  # rows of one id together
 
 
 @query("op6_language")

@@ -5,7 +5,9 @@ such a file the ids of a byte-level vocabulary are the ranks of its merges, so
 tiktoken's encoder, several times faster on open vocabularies, can run it.
 Every encoder compares the two on the first texts it sees and stops with an
 error if they differ.  Texts that tiktoken's regular expressions cannot split,
-those with white-space runs of about a million characters, go to tokenizers.
+those with white-space runs of about a million characters, go to tokenizers, and
+so do texts that hold the string of an added token: as tokenizers has it by
+default, that string is the token.
 """
 
 from __future__ import annotations
@@ -43,12 +45,14 @@ class TextEncoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letter = _letters()
-        special = {t["content"] for t in spec.get("added_tokens", [])}
+        added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        special = set(added)
+        self.added = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         ranks = {bytes(letter[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
         self.encoder = tiktoken.Encoding("corpus", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        for b, i in ranks.items():
-            self.size[i] = len(b)
+        sizes = {i: len(b) for b, i in ranks.items()} | {i: len(t.encode()) for t, i in added.items()}
+        self.size = np.zeros(max(sizes) + 1, np.int64)
+        self.size[list(sizes)] = list(sizes.values())
         self.path, self.unchecked, self.tokenizer = path, checked, None
 
     def _plain(self, text: str) -> list[int]:
@@ -57,12 +61,11 @@ class TextEncoder:
             from tokenizers import Tokenizer
 
             self.tokenizer = Tokenizer.from_file(self.path)
-            self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _fast(self, text: str) -> list[int] | None:
-        """Ids by tiktoken; none if it fails on the text."""
-        if long_space(text):
+        """Ids by tiktoken; none if it fails on the text or would take an added token's string apart."""
+        if long_space(text) or self.added is not None and self.added.search(text):
             return None
         try:
             return self.encoder.encode_ordinary(text)

@@ -348,9 +348,7 @@ def test_pages_of_a_table(spark):
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(Q.vocabulary())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(Q.vocabulary())
 
 
 @pytest.mark.parametrize("rule", token_counts.RULES)
@@ -410,6 +408,18 @@ def test_tokenizer_takes_over_when_the_fast_encoder_fails(tokenizer, monkeypatch
     assert tokens.TextEncoder(Q.vocabulary()).ids(t).tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_strings_of_added_tokens_are_the_tokens(spark, tokenizer):
+    """The contract's tokenizer at its defaults: <|endoftext|> in a text is one id, in packing and in counts."""
+    texts = ["<|endoftext|>", "hello <|endoftext|> world", "<|endoftext|><|endoftext|>\nx", "<|endoftext", "plain"]
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [50256]
+    docs = frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    want = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    got = {r.doc_id: (r.length, r.ids_crc32) for r in packing.pack_documents(docs, Q.vocabulary()).collect()}
+    assert got == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+    per = dict(token_counts.count(docs, Q.vocabulary()).groupBy("doc_id").agg(F.sum("n_tokens")).collect())
+    assert per == {i: len(x) - 1 for i, x in want.items()}
+
+
 def test_packing(odd, none, tokenizer):
     got = packing.pack_documents(odd, Q.vocabulary(), capacity=64, shard_items=12).collect()
     want = []
