@@ -3,14 +3,16 @@
 The standard library's streaming parser turns a page into lines: the text
 between two block-level tags, with the number of tags met inside it.  A line's
 text-to-tag ratio is its length by that number.  The ratios are smoothed along
-the page with a Gaussian and cut at a threshold (the mean of the page's
-smoothed ratios); the lines above it form the content cluster.  What markup
-declares as something else (navigation, adverts, forms, comments ...) has ratio
-zero and is set aside.  The content region has to hold the cluster, the main
-headings and every other line that is not mostly links: if article or main
-elements hold any of the cluster, these of all of them, else those of the page.
-It is the deepest element that does, and all its lines are kept that are not
-set aside, short ones too.
+the page with a Gaussian; markup that names itself as something else (adverts,
+comments, sharing, side columns ...) lowers them, the more so outside article
+and main elements.  The threshold is a share of the mean ratio of the page's
+text; lines above it form the content cluster.  Elements that never hold
+article text (navigation, forms, scripts ...) are left out before.
+
+The content region is the deepest element that holds the cluster and the main
+heading; where article or main elements hold any of the cluster, it is those.
+Lines of the region are kept, short ones too, but for lines in markup of that
+kind that the threshold leaves outside the cluster.
 """
 
 from __future__ import annotations
@@ -35,25 +37,44 @@ ASIDE = frozenset(
     "title datalist audio video map".split())
 #: Elements that say that they hold the page's content.
 NAMED = frozenset(("article", "main"))
-#: Words of class, id and role that mark such content on any element.
+#: Words of class, id and role that mark other content (fixed values): by themselves or as a part of a name.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent "
-    "contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter notice notices pagination "
-    "popup promo promoted related reply replies respond search share sharing sidebar signup social sponsor sponsored "
-    "subscribe toolbar widget".split())
+    "contentinfo cookie cookies disqus footer gdpr masthead menu nav navbar navigation newsletter pagination popup promo "
+    "promoted replies respond sidebar signup sponsor sponsored subscribe toolbar widget".split())
+#: Words that do so only if nothing else in the name says otherwise.
+HINTS = frozenset("notice notices related reply search share sharing social".split())
+#: Words of page layout: a hint that text stands beside the article.
+LAYOUT = frozenset("aux col column extra left rail right side".split())
+#: Words that say nothing.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button buttons container content form group holder inner item items link links list "
+    "main outer page panel post section site slot text thread top unit wrap wrapper".split())
+#: What remains of a ratio: inside article or main, outside.
+MARKED, HINTED, PLACED = (0.05, 0.02), (0.5, 0.05), (0.5, 0.2)
+#: The threshold, as a share of the page's mean ratio.
+CUT = 0.25
 _TOKEN = re.compile(r"[a-z0-9]+")
 _OPEN = re.compile(r"</?[a-zA-Z!]")
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, tags, whether it is set aside, and the chain of open elements."""
+    """Lines of a page and the tree of its elements, numbered as they open; every step takes constant time."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, int, bool]] = []  # tag, element number, set aside
-        self.elements: list[tuple[str, int]] = []  # tag, parent's number
-        self.linked: list[bool] = []  # whether an element is a link or inside one
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.stack: list[tuple[str, int]] = []  # open elements: tag, number
+        self.at: dict[str, list[int]] = {}  # places of open elements in the stack, by tag
+        self.blocks: list[int] = []  # of block-level ones
+        self.tag: list[str] = []
+        self.parent: list[int] = []
+        self.end: list[int] = []  # number behind the last element inside
+        self.aside: list[bool] = []  # never article text
+        self.share: list[float] = []  # what markup leaves of ratios inside
+        self.linked: list[bool] = []  # a link or inside one
+        self.headed: list[bool] = []  # an h1 or inside one
+        self.outer: list[int] = []  # outermost article or main element around
+        self.lines: list[tuple[str, int, int]] = []  # text, tags, element (-1: none)
         self.links: list[bool] = []  # whether a line is mostly links
         self.parts: list[str] = []
         self.tags = self.in_links = 0
@@ -61,58 +82,84 @@ class _Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            top = self.stack[-1] if self.stack else ("", -1, False)
-            self.lines.append((text, self.tags, top[2], top[1]))
+            self.lines.append((text, self.tags, self.stack[-1][1] if self.stack else -1))
             self.links.append(2 * self.in_links > len(text))
         self.parts, self.tags, self.in_links = [], 0, 0
 
-    def marked(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in ASIDE:
-            return True
+    def inside(self, *tags: str) -> bool:
+        return any(self.at.get(t) for t in tags)
+
+    def marks(self, tag: str, attrs: list[tuple[str, str | None]]) -> tuple[bool, float]:
+        """Whether an element is set aside, and what its markup leaves of its lines' ratios."""
+        if tag in ASIDE or any(k == "hidden" for k, _ in attrs):
+            return True, 1.0
+        named = self.inside("article", "main")
         if tag == "header":  # a page's header; an article's own keeps its heading
-            return not any(t in ("article", "main") for t, _, _ in self.stack)
-        if tag in ("article", "main", "body", "html"):
-            names = [v for k, v in attrs if k == "class" and v] if tag == "article" else []
-        else:
-            names = [v for k, v in attrs if k in ("class", "id", "role") and v]
-        if any(k == "hidden" for k, _ in attrs):
-            return True
-        return any(w in MARKS for v in names for w in _TOKEN.findall(v.lower()))
+            return not named, 1.0
+        if tag in ("main", "body", "html"):
+            return False, 1.0
+        within, left = 0 if named else 1, 1.0
+        for k, v in attrs:
+            if v and k in (("class",) if tag == "article" else ("class", "id", "role")):
+                for name in v.lower().split():
+                    words = set(_TOKEN.findall(name))
+                    if words & MARKS:
+                        left = min(left, MARKED[within])
+                    elif words & HINTS and words <= HINTS | LAYOUT | NEUTRAL:
+                        left = min(left, HINTED[within])
+                    elif words & LAYOUT and words <= LAYOUT | NEUTRAL:
+                        left = min(left, PLACED[within])
+        return False, left
+
+    def cut(self, i: int) -> None:
+        """Close the open elements from place i on."""
+        for t, e in reversed(self.stack[i:]):
+            self.at[t].pop()
+            self.end[e] = len(self.tag)
+        while self.blocks and self.blocks[-1] >= i:
+            self.blocks.pop()
+        del self.stack[i:]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS or tag in ASIDE:
+        block = tag in BLOCKS or tag in ASIDE
+        if block:
             self.flush()
         elif tag == "br":
             self.parts.append(" ")
         self.tags += 1
         if tag in VOID:
             return
-        if tag in BLOCKS:  # a block ends an open paragraph, and an item an open item
+        if tag in BLOCKS and self.blocks:  # a block ends an open paragraph, and an item an open item
             ends = ("p", tag) if tag in ("li", "tr", "td", "th", "dt", "dd", "option") else ("p",)
-            for i in range(len(self.stack) - 1, -1, -1):
-                t = self.stack[i][0]
-                if t in ends:
-                    del self.stack[i:]
-                    break
-                if t in BLOCKS or t in ASIDE:
-                    break
-        aside = bool(self.stack and self.stack[-1][2]) or self.marked(tag, attrs)
-        link = tag == "a" and any(k == "href" for k, _ in attrs) or bool(self.stack) and self.linked[self.stack[-1][1]]
-        self.linked.append(link)
-        self.elements.append((tag, self.stack[-1][1] if self.stack else -1))
-        self.stack.append((tag, len(self.elements) - 1, aside))
+            if self.stack[self.blocks[-1]][0] in ends:
+                self.cut(self.blocks[-1])
+        up = self.stack[-1][1] if self.stack else -1
+        has = up >= 0
+        aside, share = self.marks(tag, attrs)
+        e = len(self.tag)
+        self.tag.append(tag)
+        self.parent.append(up)
+        self.end.append(-1)
+        self.aside.append(aside or has and self.aside[up])
+        self.share.append(min(share, self.share[up]) if has else share)
+        self.linked.append(tag == "a" and any(k == "href" for k, _ in attrs) or has and self.linked[up])
+        self.headed.append(tag == "h1" or has and self.headed[up])
+        self.outer.append(self.outer[up] if has and self.outer[up] >= 0 else e if tag in NAMED else -1)
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if block:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, e))
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS or tag in ASIDE:
             self.flush()
         self.tags += 1
-        for i in range(len(self.stack) - 1, -1, -1):
-            t = self.stack[i][0]
-            if t == tag:
-                del self.stack[i:]
-                return
-            if t in ("article", "main", "body", "table") and tag not in BLOCKS:
-                return  # a stray inline end tag
+        if not self.at.get(tag):
+            return  # a stray end tag
+        i = self.at[tag][-1]
+        if tag not in BLOCKS and any(self.at[t][-1] > i for t in ("article", "main", "body", "table") if self.at.get(t)):
+            return  # an inline end tag does not reach beyond these
+        self.cut(i)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -124,6 +171,18 @@ class _Lines(HTMLParser):
         if self.stack and self.linked[self.stack[-1][1]]:
             self.in_links += len(" ".join(data.split()))
 
+    def finish(self) -> None:
+        self.close()
+        self.flush()
+        self.cut(0)
+
+    def around(self, elements: list[int], fit: Callable[[str], bool]) -> int:
+        """The deepest fitting element that holds all these (-1: the page): what holds the first and the last holds all."""
+        x, last = min(elements), max(elements)
+        while x >= 0 and (self.end[x] <= last or not fit(self.tag[x])):
+            x = self.parent[x]
+        return x
+
 
 def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; weights beyond the ends are left out and the rest scaled up."""
@@ -134,52 +193,39 @@ def smooth(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """Blocks of the content region, one blank line between two; empty if there is none."""
+    """Lines of the content region, one blank line between two; empty if there is none.  ``sigma`` 0 does not smooth."""
     if not html:
         return ""
     last = html.rfind("<")
     if last > html.rfind(">") and _OPEN.match(html, last):
         html = html[:last]  # a tag that the end of the page cuts off
-    parser = _Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    lines, elements = parser.lines, parser.elements
-    ratio = np.array([0.0 if aside else len(text) / max(1, tags) for text, tags, aside, _ in lines])
-    if not ratio.any():
+    page = _Lines()
+    page.feed(html)
+    page.finish()
+    rows = [(text, tags, e, link) for (text, tags, e), link in zip(page.lines, page.links, strict=True) if e < 0 or not page.aside[e]]
+    if not rows:
         return ""
-    even = smooth(ratio, sigma)
-    content = (even >= min(even.mean(), even.max())) & (ratio > 0)
-    if not content.any():
-        content = ratio == ratio.max()
-    above: dict[int, list[int]] = {-1: [-1]}
-    for _, _, aside, e in lines:
-        if not aside and e not in above:
-            chain, x = [], e
-            while x >= 0:
-                chain.append(x)
-                x = elements[x][1]
-            above[e] = chain + [-1]
-    head = {e for e, chain in above.items() if any(elements[x][0] == "h1" for x in chain if x >= 0)}
-    needed = [i for i, (_, _, aside, e) in enumerate(lines) if not aside and (content[i] or not parser.links[i] or e in head)]
-    outer: dict[int, list[int]] = {}  # needed lines by outermost article or main element
-    for i in needed:
-        named = [x for x in above[lines[i][3]] if x >= 0 and elements[x][0] in NAMED]
-        if named:
-            outer.setdefault(named[-1], []).append(i)
-    if any(content[i] for held in outer.values() for i in held):
-        regions = {_deepest(held, lines, above, lambda x: x >= 0 and elements[x][0] in NAMED) for held in outer.values()}
+    size = np.array([len(text) for text, *_ in rows], float)
+    ratio = size / np.array([max(1, tags) for _, tags, *_ in rows])
+    share = np.array([1.0 if e < 0 else page.share[e] for _, _, e, _ in rows])
+    even = (smooth(ratio, sigma) if sigma > 0 else ratio) * share
+    cluster = even >= CUT * (even @ size) / size.sum()
+    core = [e for (_, _, e, link), c in zip(rows, cluster.tolist(), strict=True) if c and (not link or e >= 0 and page.headed[e])]
+    if not core:
+        core = [e for (_, _, e, _), c in zip(rows, cluster.tolist(), strict=True) if c]
+    if min(core) < 0:
+        regions = [-1]  # text of the page itself
+    elif any(page.outer[e] >= 0 for e in core):
+        held: dict[int, list[int]] = {}
+        for e in core:
+            if page.outer[e] >= 0:
+                held.setdefault(page.outer[e], []).append(e)
+        regions = [page.around(es, NAMED.__contains__) for es in held.values()]
     else:
-        regions = {_deepest(needed, lines, above, lambda x: x < 0 or elements[x][0] in BLOCKS and elements[x][0] not in ("p", "li", "td", "tr", "h1", "h2"))}
-    return "\n\n".join(text for text, _, aside, e in lines if not aside and not regions.isdisjoint(above[e]))
-
-
-def _deepest(held: list[int], lines: list[tuple[str, int, bool, int]], above: dict[int, list[int]], fit: Callable[[int], bool]) -> int:
-    """The deepest fitting element that holds all these lines."""
-    common = set(above[lines[held[0]][3]])
-    for e in {lines[i][3] for i in held}:
-        common.intersection_update(above[e])
-    return max(x for x in common if fit(x))  # numbers grow inwards along one chain
+        heads = [e for _, _, e, _ in rows if e >= 0 and page.headed[e]]
+        regions = [page.around(core + heads, lambda t: t in BLOCKS and t not in ("p", "li", "td", "tr", "h1", "h2"))]
+    inside = lambda e: any(r < 0 or r <= e < page.end[r] for r in regions)
+    return "\n\n".join(text for (text, _, e, _), c, s in zip(rows, cluster.tolist(), share.tolist(), strict=True) if inside(e) and (c or s == 1.0))
 
 
 def extract(html: str | Column = "html") -> Column:

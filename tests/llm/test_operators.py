@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -336,6 +337,40 @@ def test_page_text_is_whole(page, parts):
     assert html_text.main_text(page.format(*parts)) == "\n\n".join(parts)
 
 
+SIX = " ".join(f"Sentence {i} says something of the matter at hand." for i in range(6))
+FOR_RATIOS = [  # markup that hints at other content, and what the smoothed ratio makes of it
+    (f'<article><h1>Head</h1><p>{LONG}</p><p class="search">{SIX}</p><p>{LESS}</p></article>', ["Head", LONG, SIX, LESS]),
+    (f'<article><h1>Head</h1><p>{LONG}</p><div class="share-of-market">{SIX}</div></article>', ["Head", LONG, SIX]),
+    (f'<article><h1>Head</h1><p>{LONG}</p><section id="related-work">{SIX}</section></article>', ["Head", LONG, SIX]),
+    (f'<body><div class="col-left"><p>Two for one today only</p></div><div><h1>Head</h1><p>{LONG}</p><p>{LESS}</p></div><div class="col-right"><p>Weather: mild</p></div></body>', ["Head", LONG, LESS]),
+    (f'<body><div><p>{LONG}</p></div><div class="comments"><p>{SIX}</p></div></body>', [LONG]),
+    (f'<article><p>{LONG}</p><div class="ad-box">Buy now and save</div><p>{LESS}</p></article>', [LONG, LESS]),
+]
+
+
+@pytest.mark.parametrize("page, parts", FOR_RATIOS)
+def test_page_text_by_ratio(page, parts):
+    assert html_text.main_text(page) == "\n\n".join(parts)
+
+
+def test_smoothing_and_threshold_decide(monkeypatch):
+    page = f'<article><p>{LONG}</p><p class="share">Passed on by word of mouth, it spread.</p><p>{LESS}</p></article>'
+    assert "word of mouth" in html_text.main_text(page) and "word of mouth" not in html_text.main_text(page, sigma=0)
+    column = FOR_RATIOS[3][0]
+    assert "Weather" not in html_text.main_text(column)
+    monkeypatch.setattr(html_text, "CUT", 0.0)
+    assert "Weather" in html_text.main_text(column)
+
+
+@pytest.mark.parametrize("page", [
+    "<div>x" * 100_000, "<span>y" * 100_000 + "</b>" * 100_000, "<b>" + "<span>y" * 100_000 + "</b>" * 100_000, "<div><span>" * 50_000 + "<p>a" * 50_000, "<a href=x>" * 100_000 + "z"],
+    ids=["nested", "stray ends", "unclosed", "unclosed inline", "links"])
+def test_broken_pages_take_linear_time(page):
+    start = time.perf_counter()
+    assert html_text.main_text(page)
+    assert time.perf_counter() - start < 20
+
+
 def test_pages_of_a_table(spark):
     df = spark.createDataFrame([(i, p, "t") for i, (p, _) in enumerate(PAGES)], "page_id long, html string, text string")
     assert [r.x for r in df.orderBy("page_id").select(html_text.extract().alias("x")).collect()] == [t for _, t in PAGES]
