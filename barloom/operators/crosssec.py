@@ -42,15 +42,18 @@ def rank_ic(
     """Spearman correlation per group: by, ic, n_obs.
 
     Null below ``min_obs`` pairs, with no variance, or with fewer than
-    ``min_distinct`` different x values.  Two shuffles of the pairs: one per rank.
+    ``min_distinct`` different x values.  Rows without a group are left out.
     """
     key = [c for c in ("code",) if c in df.columns] or df.columns
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
         *by, F.col(x).alias("_x"), F.col(y).alias("_y"), F.xxhash64(*key).alias("_h"))
-    pairs = publish(pairs, "rank-pairs")  # read by every step below
+    # written once and read once: every step below shares one exchange of it
+    pairs = publish(pairs, "rank-pairs")
+    for c in by:
+        pairs = pairs.where(F.col(c).isNotNull())
     placed = place(pairs, by, ["_x", "_y"])
     # one pass counts both rankings: at most (ranges x ranges) cells per group
-    cells = placed.groupBy(*by, "_range__x", "_range__y").agg(F.count(F.lit(1)).alias("_cnt"))
+    cells = placed.groupBy(*by, "_range__x", "_range__y").agg(F.count("_h").alias("_cnt"))
     both = ranked(placed, by, "_x", "_rx", cells)
     both = ranked(both, by, "_y", "_ry", cells)
     ok = (F.count(F.lit(1)) >= min_obs) & (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry"))

@@ -70,10 +70,11 @@ def place(df: DataFrame, by: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Add ``_range_<v>`` for every value column; all borders come from one aggregation.
 
     The groups are counted first: where none has more than ``WHOLE`` rows, no
-    borders are needed, and every group is one range.
+    borders are needed, and every group is one range; all windows and counts
+    then share one exchange.
     """
     if df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WHOLE).isEmpty():
-        return df.withColumns({f"_range_{v}": F.when(F.col(v).isNotNull(), F.lit(0)) for v in values})
+        return (df.repartition(*by) if by else df).withColumns({f"_range_{v}": F.when(F.col(v).isNotNull(), F.lit(0)) for v in values})
     stats = df.groupBy(*by).agg(*[_borders(v).alias(f"_b_{v}") for v in values])
     cols = {f"_range_{v}": F.when(F.col(v).isNotNull(), _range_of(F.col(v), F.col(f"_b_{v}"))) for v in values}
     return attach(df, stats, by).withColumns(cols).drop(*[f"_b_{v}" for v in values])

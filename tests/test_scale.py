@@ -16,6 +16,12 @@ from barloom.operators import upsert as U
 from barloom.sources import readers
 
 
+@pytest.fixture(autouse=True)
+def ranges(monkeypatch):
+    """Cut even these small groups into ranges; the queries' tests rank them as a whole."""
+    monkeypatch.setattr(R, "WHOLE", 0)
+
+
 def test_position_with_prefixed_codes(spark):
     rng = random.Random(1)
     rows = [(dt.date(2020, 1, 1), rng.choice([1.0, 2.0, 2.0, 2.0]), f"SH60{i:04d}") for i in rng.sample(range(3000), 600)]
