@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import input_tasks, slices
-from barloom.llm.minhash import _WordHash, runs
+from barloom.llm.minhash import runs
 from barloom.sources.sinks import discard, publish
 
 PLACE = 24  # bits of a word's place in its document
@@ -90,8 +90,43 @@ def sliding(x: np.ndarray, span: int, best: np.ufunc) -> np.ndarray:
     return best(x[:len(x) - (span - size)], x[span - size:]) if span > size else x
 
 
-def hashes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+#: An odd multiplier and its inverse modulo 2^64.
+STEP = 0xD1342543DE82EF95
+BACK = pow(STEP, -1, 1 << 64)
+
+
+class WordHashes:
+    """Hashes of the words of a text whose words are joined by single spaces: equal words have equal hashes.
+
+    A word's hash is the difference of two prefix sums of bytes times powers,
+    brought back to the word's start, so no word becomes an object.
+    """
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up), 1 << 16)
+            with np.errstate(over="ignore"):
+                self.up = np.cumprod(np.append(np.uint64(1), np.full(size - 1, STEP, np.uint64)))
+                self.down = np.cumprod(np.append(np.uint64(1), np.full(size - 1, BACK, np.uint64)))
+
+    def __call__(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of each word."""
+        if not joined:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        raw = np.frombuffer(joined, np.uint8)
+        ends = np.append(np.nonzero(raw == 32)[0], len(raw))
+        starts = np.append(0, ends[:-1] + 1)
+        self._powers(len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * self.up[:len(raw)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * self.down[starts]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(29)
+        return h, starts, ends
 
 
 def window_anchors(h: np.ndarray, w: Windows) -> tuple[np.ndarray, np.ndarray]:
@@ -115,19 +150,19 @@ def _documents(w: Windows):
         ("anchors", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pack = _WordHash(), zstandard.ZstdCompressor(level=1).compress
+        hashes, pack = WordHashes(), zstandard.ZstdCompressor(level=1).compress
         row = (TaskContext.get().partitionId() << 36) - 1
         for b in slices(batches):
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column(1):
                 row += 1
-                words = split(t.as_py())
-                if len(words) >= 1 << PLACE:
-                    raise ValueError(f"a document of {len(words)} words; the limit is {1 << PLACE}")
-                anchors, short = window_anchors(hashes(words, known), w)
+                joined = b" ".join(split(t.as_py()))
+                h, _, _ = hashes(joined)
+                if len(h) >= 1 << PLACE:
+                    raise ValueError(f"a document of {len(h)} words; the limit is {1 << PLACE}")
+                anchors, short = window_anchors(h, w)
                 value, times = np.unique(short[anchor_places(anchors, short)], return_counts=True)
-                joined = b" ".join(words)
-                for c, v in zip(cols, (row, len(words), hashlib.sha256(joined).hexdigest(), value.view(np.int64), times.astype(np.int32), pack(joined)), strict=True):
+                for c, v in zip(cols, (row, len(h), hashlib.sha256(joined).hexdigest(), value.view(np.int64), times.astype(np.int32), pack(joined)), strict=True):
                     c.append(v)
             cols.insert(1, b.column(0))
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
@@ -140,25 +175,33 @@ def _passages(w: Windows):
     schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("anchor", pa.int64()), ("size", pa.int32()), ("inner", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, unpack = _WordHash(), zstandard.ZstdDecompressor().decompress
+        hashes, unpack, digest = WordHashes(), zstandard.ZstdDecompressor().decompress, xxhash.xxh3_128_digest
         for b in slices(batches, 500):
             cols: list[list] = [[] for _ in schema]
+            at, key, anchor, size, inner, text = cols
             for i in range(b.num_rows):
-                words = unpack(b.column(1)[i].as_py()).split(b" ")
-                h = hashes(words, known)
+                joined = unpack(b.column(1)[i].as_py())
+                h, begin, end = hashes(joined)
                 anchors, short = window_anchors(h, w)
                 wanted = b.column(2)[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
                 hit = np.isin(anchors, wanted)
                 edge = np.ones(len(hit) + 1, bool)
                 edge[1:-1] = anchors[1:] != anchors[:-1]
                 cuts = np.nonzero(edge)[0]
+                first, last = cuts[:-1][hit[cuts[:-1]]], cuts[1:][hit[cuts[:-1]]]
                 base = b.column(0)[i].as_py() << PLACE
-                for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                    if hit[s]:
-                        text = b" ".join(words[s:e + w.words - 1])
-                        inner = np.count_nonzero(short[s:e + w.words - w.anchor] == anchors[s]) > 1 and len(np.unique(fingerprints(h[s:e + w.words - 1], w.words))) < e - s
-                        for c, v in zip(cols, (base + s, xxhash.xxh3_128_digest(text), int(anchors[s:s + 1].view(np.int64)[0]), e - s + w.words - 1, inner, text), strict=True):
-                            c.append(v)
+                at.extend((base + first).tolist())
+                anchor.extend(anchors[first].view(np.int64).tolist())
+                size.extend((last - first + w.words - 1).tolist())
+                # places of each passage's anchor: a passage that holds it once holds no window twice
+                spots = np.nonzero(np.isin(short, wanted))[0]
+                value = short[spots]
+                parts = [joined[s:e] for s, e in zip(begin[first].tolist(), end[last + w.words - 2].tolist(), strict=True)]
+                text.extend(parts)
+                key.extend(map(digest, parts))
+                left, right = np.searchsorted(spots, first), np.searchsorted(spots, last + w.words - w.anchor)
+                for s, e, x, y in zip(first.tolist(), last.tolist(), left.tolist(), right.tolist(), strict=True):
+                    inner.append(y - x > 1 and np.count_nonzero(value[x:y] == anchors[s]) > 1 and len(np.unique(fingerprints(h[s:e + w.words - 1], w.words))) < e - s)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
     return run
@@ -169,17 +212,25 @@ def _windows(w: Windows):
     names = ["print", "at", "place", "inner"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHash()
-        for b in batches:
-            found, starts, places, counts = [], [], [], []
-            for at, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                value, first, n = np.unique(fingerprints(hashes(text.as_py().split(b" "), known), w.words), return_index=True, return_counts=True)
-                found.append(value.view(np.int64))
-                starts.append(at + first)
-                places.append(np.full(len(first), at))
-                counts.append(n > 1)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, starts, places, counts)], names=names)
+        hashes = WordHashes()
+        for b in slices(batches):
+            at = b.column(0).to_numpy(zero_copy_only=False)
+            texts = [t.as_py() for t in b.column(1)]
+            h, starts, _ = hashes(b" ".join(texts))
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+            of = np.searchsorted(ends, starts, "right")  # passage of each word
+            prints = fingerprints(h, w.words)
+            first = np.nonzero(of[:len(prints)] == of[w.words - 1:])[0] if len(prints) else np.empty(0, np.int64)  # windows inside one passage
+            if not len(first):
+                continue
+            order = first[np.lexsort((first, prints[first], of[first]))]
+            new = np.append(True, (prints[order[1:]] != prints[order[:-1]]) | (of[order[1:]] != of[order[:-1]]))
+            heads = np.nonzero(new)[0]
+            times = np.diff(np.append(heads, len(order)))
+            kept = order[heads]
+            begin = np.searchsorted(of, np.arange(len(texts)))  # first word of each passage
+            place = at[of[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (prints[kept].view(np.int64), place + kept - begin[of[kept]], place, times > 1)], names=names)
 
     return run
 
@@ -241,13 +292,18 @@ def _drop():
         for b in batches:
             removed, kept = [], []
             for i in range(b.num_rows):
-                words = unpack(b.column(1)[i].as_py()).split(b" ")
-                gone = np.zeros(len(words), bool)
+                joined = unpack(b.column(1)[i].as_py())
+                ends = np.append(np.nonzero(np.frombuffer(joined, np.uint8) == 32)[0], len(joined))
+                edge = np.zeros(len(ends) + 1, np.int64)
                 for c in b.column(2)[i].as_py():
-                    for s, e in zip(c["cover"][::2], c["cover"][1::2], strict=True):
-                        gone[c["start"] + s:c["start"] + e] = True
-                removed.append(int(gone.sum()))
-                kept.append(b" ".join([x for x, g in zip(words, gone.tolist(), strict=True) if not g]).decode())
+                    cover = np.array(c["cover"], np.int64) + c["start"]
+                    np.add.at(edge, cover[::2], 1)
+                    np.add.at(edge, cover[1::2], -1)
+                gone = np.append(True, np.append(np.cumsum(edge[:-1]) > 0, True))
+                turn = np.nonzero(gone[1:] != gone[:-1])[0]  # first word kept, first word gone behind it ...
+                starts = np.append(0, ends[:-1] + 1)
+                removed.append(int(gone.sum()) - 2)
+                kept.append(b" ".join([joined[s:e] for s, e in zip(starts[turn[::2]].tolist(), ends[turn[1::2] - 1].tolist(), strict=True)]).decode())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], schema=schema)
 
     return run

@@ -178,6 +178,27 @@ def test_phrases_match_brute_force(spark, odd, none, size):
     assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == phrase_brute(rows)
 
 
+def test_word_hashes_tell_words_apart():
+    rng, hashes = random.Random(3), phrases.WordHashes()
+    words = [bytes(rng.choices(b"ab\x00\xc3\xa9", k=rng.randint(1, 6))) for _ in range(3000)]
+    h, starts, ends = hashes(b" ".join(words))
+    text = b" ".join(words)
+    assert [text[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)] == words
+    by = {}
+    for w, x in zip(words, h.tolist(), strict=True):
+        assert by.setdefault(w, x) == x
+    assert len(set(by.values())) == len(by) and len(hashes(b"")[0]) == 0
+    assert hashes(b"x " * 100_000 + b"x")[0].tolist() == [hashes(b"x")[0][0]] * 100_001
+
+
+def test_phrases_with_repeated_rows(spark):
+    """Rows of one id follow each other in any order: the multiset of what is kept is the same."""
+    rows = [r for r in odd_rows() if r[0] is not None]
+    rows += [(200, "m n o p " * 10, "en", "s")] * 3 + [(201, "m n o p " * 12, "en", "s")]
+    got = phrases.remove_repeats(frame(spark, rows).repartition(3))
+    assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == phrase_brute(rows)
+
+
 def test_phrases_odd_rows(odd, none):
     got = phrases.remove_repeats(odd)
     assert got.count() == odd.count()
