@@ -11,6 +11,8 @@ from barloom.llm.queries import QUALITY_CUT, vocabulary
 from barloom.sources.sinks import publish
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near duplicates share 80 % of their shingles of five words.
+NEAR = minhash.MinHash(words=5, percent=80)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +28,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of similar documents."""
-    return minhash.deduplicate(docs.select(*DOCUMENT))
+    """One document of each component of documents that share ``NEAR`` of their shingles; texts without words all stay."""
+    return minhash.deduplicate(docs.select(*DOCUMENT), params=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
