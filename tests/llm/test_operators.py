@@ -546,7 +546,7 @@ def test_pipeline_stages(spark, odd, tmp_path):
     docs = corpus_pipeline.drop_copies(spark, docs, folder).cache()
     assert docs.count() == len({w[3] for w in exact_brute(odd_rows())})
     near = corpus_pipeline.drop_near_copies(spark, docs, folder).cache()
-    assert near.count() == near_brute([tuple(r)[:2] for r in docs.collect()])[1]
+    assert near.count() == near_brute([tuple(r)[:2] for r in docs.collect()], percent=corpus_pipeline.NEAR.percent)[1] and corpus_pipeline.NEAR.percent == 80
     mixed = corpus_pipeline.mix_sources(spark, near, folder).cache()
     assert mixed.columns == list(corpus_pipeline.DOCUMENT)
     packed = corpus_pipeline.pack(spark, mixed, folder)
