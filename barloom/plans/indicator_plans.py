@@ -146,16 +146,17 @@ def win_rsrs_daily(t):
 
 
 def ssa_sql() -> str:
-    """The trend of windows of six bars: power iteration on their 3 x 3 Gram matrix."""
+    """The trend of windows of six bars: powers of their 3 x 3 Gram matrix, by squaring."""
     x = ",".join(f"lag(close,{6 - i}) OVER ({W}) AS x{i}" for i in range(6))
-    g = ",".join("+".join(f"x{i + a}*x{i + b}" for i in range(4)) + f" AS g{a}{b}" for a in range(3) for b in range(a, 3))
-    step = ["g00*a+g01*b+g02*c", "g01*a+g11*b+g12*c", "g02*a+g12*b+g22*c"]
-    total = "+".join(f"abs({e})" for e in step)
+    cells = [(a, b) for a in range(3) for b in range(a, 3)]
+    g = lambda a, b: f"g{min(a, b)}{max(a, b)}"
+    gram = {c: "+".join(f"x{i + c[0]}*x{i + c[1]}" for i in range(4)) for c in cells}
+    square = {(a, b): "+".join(f"p.{g(a, k)}*p.{g(k, b)}" for k in range(3)) for a, b in cells}
+    scaled = lambda m: ",".join(f"({m[c]})/({'+'.join(m[k, k] for k in range(3))}) AS {g(*c)}" for c in cells)
     return ",".join([
-        NUMBERED_SQL, f"sx AS MATERIALIZED (SELECT *,{x} FROM nb)", f"sg AS MATERIALIZED (SELECT code,rn,x3,x4,x5,{g} FROM sx WHERE x0 IS NOT NULL)",
-        "pw AS (SELECT code,rn,0 AS it,CAST(1 AS DOUBLE) AS a,CAST(1 AS DOUBLE) AS b,CAST(1 AS DOUBLE) AS c FROM sg UNION ALL "
-        f"SELECT p.code,p.rn,it+1,{','.join(f'({e})/({total})' for e in step)} FROM pw p JOIN sg USING (code,rn) WHERE it<300)",
-        "ss AS MATERIALIZED (SELECT nb.*,(x3*a+x4*b+x5*c)*c/(a*a+b*b+c*c) AS ssa FROM nb LEFT JOIN sg USING (code,rn) LEFT JOIN (SELECT * FROM pw WHERE it=300) USING (code,rn))"])
+        NUMBERED_SQL, f"sx AS MATERIALIZED (SELECT *,{x} FROM nb)",
+        f"pw AS (SELECT code,rn,0 AS it,{scaled(gram)} FROM sx WHERE x0 IS NOT NULL UNION ALL SELECT p.code,p.rn,it+1,{scaled(square)} FROM pw p WHERE it<60)",
+        "ss AS MATERIALIZED (SELECT sx.*,(x3*g02+x4*g12+x5*g22)/(g00+g11+g22) AS ssa FROM sx LEFT JOIN (SELECT * FROM pw WHERE it=60) USING (code,rn))"])
 
 
 @query("win_ssa_short", with_(BARS_M_SQL, ssa_sql(), recursive=True) + f"SELECT code,date,{r6('ssa')} AS ssa FROM ss")
