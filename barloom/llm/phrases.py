@@ -6,18 +6,22 @@ earlier, in a document with a smaller id or before in the same one.
 1. Anchors.  Every window holds the smallest-hashed of its short runs of words.
    Equal windows have equal anchors, so only windows whose anchor occurs twice
    can be repeats.  One anchor covers about seven windows.
-2. Passages.  Runs of windows with one such anchor are cut out as passages and
-   equal passages are combined.  All but the first occurrence of a passage are
-   repeats throughout.
+2. Passages.  Runs of windows with one such anchor are cut out as passages (at
+   most ``LONGEST`` windows each).  A passage whose digest recurs is a phrase.
+   Phrases are sharded by digest and compiled, at their first occurrence, into
+   Aho-Corasick automata over words; all passages of a shard are streamed
+   through, and where an earlier phrase is found the words are repeats.  A
+   digest with more occurrences than a lot is salted over several units, each
+   with a copy of the phrase.
 3. Confirmation.  What is left are first occurrences that share only some
    windows: passages that differ but have one anchor, and passages that repeat
    themselves.  Their windows are counted by fingerprint; those that occur twice
-   are the phrases to look for, each with its first place.
-4. Automata.  Phrases are sharded by anchor and compiled into Aho-Corasick
-   automata over words, a bounded number in each; the passages of a shard are
-   streamed through.  The automaton compares the words themselves, so
-   fingerprints only route.  Shards with too many phrases or passages are split
-   into blocks, one task for each pair of blocks.
+   are further phrases, each with its first place.
+4. These are sharded by anchor, a bounded number to an automaton, and the
+   passages of step 3 are streamed through.  Shards with too many phrases or
+   passages are split into blocks, one task for each pair of blocks.
+   In both steps the automaton compares the words themselves: digests and
+   fingerprints only route.
 5. Hits become covered intervals of the passages, of their occurrences, and of
    documents, whose words are dropped where covered.
 """
@@ -30,6 +34,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,6 +47,7 @@ from barloom.sources.sinks import discard, publish
 
 PLACE = 24  # bits of a word's place in its document
 ROWS = 26  # bits of a document's place in its range
+LONGEST = 4096  # windows in a passage
 
 
 @dataclass(frozen=True)
@@ -171,14 +177,14 @@ def _documents(w: Windows):
 
 
 def _passages(w: Windows):
-    """Arrow pass (place, words, anchors) -> passages (at, key, anchor, size, inner, words); inner: has a window twice."""
-    schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("anchor", pa.int64()), ("size", pa.int32()), ("inner", pa.bool_()), ("words", pa.binary())])
+    """Arrow pass (place, words, anchors) -> passages (at, key, anchor, inner, words); inner: has a window twice."""
+    schema = pa.schema([("at", pa.int64()), ("key", pa.binary()), ("anchor", pa.int64()), ("inner", pa.bool_()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, unpack, digest = WordHashes(), zstandard.ZstdDecompressor().decompress, xxhash.xxh3_128_digest
         for b in slices(batches, 500):
             cols: list[list] = [[] for _ in schema]
-            at, key, anchor, size, inner, text = cols
+            at, key, anchor, inner, text = cols
             for i in range(b.num_rows):
                 joined = unpack(b.column(1)[i].as_py())
                 h, begin, end = hashes(joined)
@@ -188,11 +194,13 @@ def _passages(w: Windows):
                 edge = np.ones(len(hit) + 1, bool)
                 edge[1:-1] = anchors[1:] != anchors[:-1]
                 cuts = np.nonzero(edge)[0]
+                wide = np.nonzero(np.diff(cuts) > LONGEST)[0]
+                if len(wide):  # one anchor over and over, as in a long run of one word
+                    cuts = np.unique(np.concatenate([cuts, *(np.arange(cuts[c], cuts[c + 1], LONGEST) for c in wide)]))
                 first, last = cuts[:-1][hit[cuts[:-1]]], cuts[1:][hit[cuts[:-1]]]
                 base = b.column(0)[i].as_py() << PLACE
                 at.extend((base + first).tolist())
                 anchor.extend(anchors[first].view(np.int64).tolist())
-                size.extend((last - first + w.words - 1).tolist())
                 # places of each passage's anchor: a passage that holds it once holds no window twice
                 spots = np.nonzero(np.isin(short, wanted))[0]
                 value = short[spots]
@@ -246,6 +254,50 @@ def intervals(starts: list[int], width: int) -> list[int]:
     return out
 
 
+def _repeats():
+    """Arrow pass over (shard, lot) units of passages: recurring ones compiled, all streamed.
+
+    Gives (at, anchor, inner, cover, words): the interval found again, or the words of what was not.
+    """
+    schema = pa.schema([
+        ("at", pa.int64()), ("anchor", pa.int64()), ("inner", pa.bool_()), ("cover", pa.list_(pa.int32())), ("words", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        for g in runs(batches, 2):
+            at, model = g.column("at").to_numpy(), g.column("model").to_numpy()
+            key = g.column("key").combine_chunks().dictionary_encode().indices.to_numpy()
+            twice = np.nonzero(np.bincount(key)[key] > 1)[0]
+            twice = twice[np.lexsort((~model[twice], at[twice]))]  # first occurrences first
+            texts = g.column("words").take(pa.array(twice)).to_pylist()
+            number: dict[bytes, int] = {}
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            compiled: set[int] = set()
+            stream = []
+            for k, place, t in zip(key[twice].tolist(), at[twice].tolist(), texts, strict=True):
+                if k not in compiled:
+                    compiled.add(k)
+                    ids = tuple([number.setdefault(x, len(number) + 1) for x in t.split(b" ")])
+                    automaton.add_word(ids, (place, len(ids)))
+            covers: list[list[int] | None] = [None] * len(at)
+            if compiled:
+                automaton.make_automaton()
+                stream = zip(twice.tolist(), at[twice].tolist(), texts, strict=True)
+            for i, own, t in stream:
+                ids = tuple([number.get(x, 0) for x in t.split(b" ")])
+                for e, (place, n) in automaton.iter(ids):
+                    if n == len(ids) and place < own:
+                        covers[i] = [e - n + 1, e + 1]
+            out = np.nonzero(~model)[0]
+            g = g.take(pa.array(out)).combine_chunks()
+            cover = pa.array([covers[i] for i in out.tolist()], pa.list_(pa.int32()))
+            words = pc.if_else(cover.is_null(), g.column("words"), pa.scalar(None, pa.binary()))
+            yield from pa.table([g.column("at"), g.column("anchor"), g.column("inner"), cover, words], schema=schema).to_batches()
+
+    return run
+
+
 def _locate(w: Windows):
     """Arrow pass over (shard, block, lot) groups: phrases compiled, passages streamed; covered intervals of passages."""
     schema = pa.schema([("at", pa.int64()), ("first", pa.list_(pa.int32()))])
@@ -336,14 +388,24 @@ def remove_repeats(
     discard(rows)
 
     seen = publish(held.select("place", "words", "anchors").mapInArrow(
-        _passages(w), "at long, key binary, anchor long, size int, inner boolean, words binary"), "passages")
-    same = seen.groupBy("key").agg(F.min("at").alias("head"))
-    places = publish(seen.select("at", "key", "size").join(same, "key").select("at", "size", "head"), "passage-places")
-    heads = publish(seen.select("at", "anchor", "inner").join(places.where("at = head").select("at"), "at"), "passage-heads")
+        _passages(w), "at long, key binary, anchor long, inner boolean, words binary"), "passages")
+    heavy = publish(seen.groupBy("key").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > lot).select(
+        "key", "head", F.ceil(F.col("n") / lot).cast("int").alias("lots")), "passages-heavy")  # at most one in ``lot`` passages
+    rows = seen.count()
+    shards = max(1, -(-rows // lot))
+    place = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
+    fields = ["at", "key", "anchor", "inner", "words"]
+    each = seen.join(heavy.select("key", "lots"), "key", "left").select(
+        place, F.pmod(F.xxhash64("at"), F.coalesce("lots", F.lit(1))).cast("int").alias("lot"), *fields, F.lit(False).alias("model"))
+    model = seen.join(heavy.withColumnRenamed("head", "at"), ["key", "at"]).select(
+        place, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), *fields, F.lit(True).alias("model"))
+    units = each.unionByName(model).repartition(max(tasks, min(shards, 4 * tasks)), "shard", "lot").sortWithinPartitions("shard", "lot")
+    once = publish(units.mapInArrow(_repeats(), "at long, anchor long, inner boolean, cover array<int>, words binary"), "passages-once")
+    discard(seen)
+    heads = once.where("cover is null")
     several = heads.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("anchor")
-    passages = publish(seen.select("at", "words").join(heads.join(several, "anchor").select("at", "anchor"), "at"), "passages-mixed")
+    passages = publish(heads.select("at", "anchor", "words").join(several, "anchor"), "passages-mixed")
 
-    discard(seen)
     window = publish(passages.select("at", "words").mapInArrow(_windows(w), "print long, at long, place long, inner boolean"), "passage-windows")
     first = window.groupBy("print").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).where("n > 1 or inner").select("at")
     wanted = first.join(window.select("at", "place"), "at").groupBy("place").agg(F.sort_array(F.collect_list((F.col("at") - F.col("place")).cast("int"))).alias("offsets"))
@@ -364,7 +426,7 @@ def remove_repeats(
     hits = left.unionByName(right).repartition(max(tasks, min(shards, 4 * tasks)), *unit).sortWithinPartitions(*unit)
     hits = publish(hits.mapInArrow(_locate(w), "at long, first array<int>"), "phrase-hits")
 
-    again = places.where("at <> head").select("at", F.array(F.lit(0), F.col("size")).alias("cover"))
+    again = once.where("cover is not null").select("at", "cover")
     covered = again.unionByName(hits.select("at", F.col("first").alias("cover"))).select(
         F.shiftright("at", PLACE).alias("place"), F.col("at").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("start"), "cover")
     covered = covered.groupBy("place").agg(F.collect_list(F.struct("start", "cover")).alias("covers"))

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -178,6 +179,25 @@ def test_phrases_match_brute_force(spark, odd, none, size):
     assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == phrase_brute(rows)
 
 
+def test_plain_copies_are_located_by_the_automata():
+    """Words decide, not digests: a copy is found, another text with its digest is not."""
+    one, other = b"a b c d", b"a b c e"
+    rows = [(0, 0, 70, b"k", 1, False, False, one), (0, 0, 30, b"k", 1, False, False, one), (0, 0, 50, b"k", 1, False, False, other),
+            (0, 0, 90, b"l", 2, True, False, other), (0, 1, 30, b"k", 1, False, True, one), (0, 1, 80, b"k", 1, False, False, one)]
+    names = ["shard", "lot", "at", "key", "anchor", "inner", "model", "words"]
+    batch = pa.table({n: [r[i] for r in rows] for i, n in enumerate(names)}).combine_chunks().to_batches()[0]
+    out = pa.Table.from_batches(list(phrases._repeats()(iter([batch.slice(0, 3), batch.slice(3)]))))
+    got = {r["at"]: (r["cover"], r["words"]) for r in out.to_pylist()}
+    assert got == {30: (None, one), 70: ([0, 4], None), 50: (None, other), 90: (None, other), 80: ([0, 4], None)}
+
+
+def test_phrases_of_one_word_over_and_over(spark):
+    """One anchor all along: passages are cut, what repeats is found across the cuts."""
+    rows = [(1, "x " * 9000 + "y " * 30, "en", "s"), (2, "z " * 7 + "x " * 4300, "en", "s"), (3, "y " * 25, "en", "s")]
+    got = phrases.remove_repeats(frame(spark, rows).repartition(2))
+    assert by_row(got, "doc_id", "n_words", "n_removed", "kept_sha256") == phrase_brute(rows)
+
+
 def test_word_hashes_tell_words_apart():
     rng, hashes = random.Random(3), phrases.WordHashes()
     words = [bytes(rng.choices(b"ab\x00\xc3\xa9", k=rng.randint(1, 6))) for _ in range(3000)]
