@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -274,18 +275,17 @@ def _repeats():
             number: dict[bytes, int] = {}
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             compiled: set[int] = set()
-            stream = []
+            numbered: dict[bytes, tuple[int, ...]] = {}  # words of a text as numbers, once for all its copies
             for k, place, t in zip(key[twice].tolist(), at[twice].tolist(), texts, strict=True):
                 if k not in compiled:
                     compiled.add(k)
-                    ids = tuple([number.setdefault(x, len(number) + 1) for x in t.split(b" ")])
+                    ids = numbered[t] = tuple([number.setdefault(x, len(number) + 1) for x in t.split(b" ")])
                     automaton.add_word(ids, (place, len(ids)))
             covers: list[list[int] | None] = [None] * len(at)
             if compiled:
                 automaton.make_automaton()
-                stream = zip(twice.tolist(), at[twice].tolist(), texts, strict=True)
-            for i, own, t in stream:
-                ids = tuple([number.get(x, 0) for x in t.split(b" ")])
+            for i, own, t in zip(twice.tolist(), at[twice].tolist(), texts, strict=True):
+                ids = numbered.get(t) or numbered.setdefault(t, tuple(map(number.get, t.split(b" "), repeat(0))))
                 for e, (place, n) in automaton.iter(ids):
                     if n == len(ids) and place < own:
                         covers[i] = [e - n + 1, e + 1]
@@ -324,7 +324,7 @@ def _locate(w: Windows):
             automaton.make_automaton()
             cols: list[list] = [[], []]
             for i in stream:
-                ids = tuple([number.get(x, 0) for x in texts[i].as_py().split(b" ")])
+                ids = tuple(map(number.get, texts[i].as_py().split(b" "), repeat(0)))
                 hits = ((e - w.words + 1, place) for e, place in automaton.iter(ids))
                 first = intervals([s for s, place in hits if place != at[i] + s], w.words)
                 if first:
