@@ -389,10 +389,10 @@ def remove_repeats(
 
     seen = publish(held.select("place", "words", "anchors").mapInArrow(
         _passages(w), "at long, key binary, anchor long, inner boolean, words binary"), "passages")
-    heavy = publish(seen.groupBy("key").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > lot).select(
-        "key", "head", F.ceil(F.col("n") / lot).cast("int").alias("lots")), "passages-heavy")  # at most one in ``lot`` passages
-    rows = seen.count()
-    shards = max(1, -(-rows // lot))
+    unit = -(-lot // 5)  # building an automaton takes time with the square of the phrases at its root, so units are small
+    heavy = publish(seen.groupBy("key").agg(F.min("at").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > unit).select(
+        "key", "head", F.ceil(F.col("n") / unit).cast("int").alias("lots")), "passages-heavy")  # at most one in ``unit`` passages
+    shards = max(1, -(-seen.count() // unit))
     place = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard")
     fields = ["at", "key", "anchor", "inner", "words"]
     each = seen.join(heavy.select("key", "lots"), "key", "left").select(
@@ -422,8 +422,8 @@ def remove_repeats(
         "shard", block.alias("block"), all_of("lots").alias("lot"), "at", "words", "offsets")
     right = passages.select(shard, "at", "words").join(sizes, "shard").select(
         "shard", all_of("blocks").alias("block"), part.alias("lot"), "at", "words", F.lit(None).cast("array<int>").alias("offsets"))
-    unit = ["shard", "block", "lot"]
-    hits = left.unionByName(right).repartition(max(tasks, min(shards, 4 * tasks)), *unit).sortWithinPartitions(*unit)
+    keys = ["shard", "block", "lot"]
+    hits = left.unionByName(right).repartition(max(tasks, min(shards, 4 * tasks)), *keys).sortWithinPartitions(*keys)
     hits = publish(hits.mapInArrow(_locate(w), "at long, first array<int>"), "phrase-hits")
 
     again = once.where("cover is not null").select("at", "cover")
