@@ -74,6 +74,13 @@ def div(a: Column | str, b: Column | str) -> Column:
     return F.try_divide(col(a), col(b))
 
 
+def ratio(a: Column | str, b: Column | str) -> Column:
+    """Division in floating point: x/0 is an infinity, 0/0 is NaN."""
+    a, b = col(a).cast("double"), col(b).cast("double")
+    inf, nan = F.lit(float("inf")), F.lit(float("nan"))
+    return F.when(b == 0, F.when(F.isnan(a) | (a == 0), nan).when(a > 0, inf).when(a < 0, -inf)).otherwise(F.try_divide(a, b))
+
+
 def change(c: Column | str, n: int = 1, w: WindowSpec | None = None) -> Column:
     """Relative change over n rows."""
     return div(col(c), lag(c, n, w)) - 1.0

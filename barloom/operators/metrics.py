@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.frames import div
+from barloom.functions.frames import div, ratio
 from barloom.operators.ranking import attach, quantiles, with_global
 
 
@@ -65,6 +65,7 @@ def attribution(df: DataFrame, ret: str, bench: str, by: Sequence[str] = (), *,
     """Risk and attribution set against a benchmark, from the published definitions.
 
     Quantiles are selected (``ranking.quantiles``); the tail beyond them is a condition of the one aggregation.
+    Ratios to nothing (no loss, no spread) are infinite, or NaN for 0/0.
     """
     r, b = F.col(ret), F.col(bench)
     root = F.sqrt(F.lit(float(periods)))
@@ -76,18 +77,18 @@ def attribution(df: DataFrame, ret: str, bench: str, by: Sequence[str] = (), *,
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("_mu"), F.stddev_samp(r).alias("_sd"), compounded(r).alias("_tot"),
         F.avg(F.pow(F.least(r, F.lit(0.0)), 2)).alias("_down"), F.sum(F.greatest(r, F.lit(0.0))).alias("_gain"),
         F.sum(F.greatest(-r, F.lit(0.0))).alias("_loss"), F.max("_q95").alias("_p95"), F.max("_q05").alias("var_95"),
-        F.regr_r2("_log", "_i").alias("stability"), F.regr_slope(r, b).alias("beta"), F.regr_intercept(r, b).alias("_alpha"),
+        F.when(F.var_pop("_log") == 0, float("nan")).otherwise(F.regr_r2("_log", "_i")).alias("stability"), F.regr_slope(r, b).alias("beta"), F.regr_intercept(r, b).alias("_alpha"),
         F.avg(r - b).alias("_xm"), F.stddev_samp(r - b).alias("_xs"), F.avg(F.when(r <= F.col("_q05"), r)).alias("cvar_95"),
     )
     a = a.withColumns({
         "annual_return": F.pow(1.0 + F.col("_tot"), F.lit(float(periods)) / F.col("n")) - 1.0,
         "annual_vol": F.col("_sd") * root,
         "downside_risk": F.sqrt("_down") * root,
-        "sortino": div(F.col("_mu") * float(periods), F.sqrt("_down") * root),
-        "omega": div("_gain", "_loss"),
-        "tail_ratio": div(F.abs("_p95"), F.abs("var_95")),
+        "sortino": ratio(F.col("_mu") * float(periods), F.sqrt("_down") * root),
+        "omega": ratio("_gain", "_loss"),
+        "tail_ratio": ratio(F.abs("_p95"), F.abs("var_95")),
         "alpha": F.pow(1.0 + F.col("_alpha"), F.lit(float(periods))) - 1.0,
-        "excess_sharpe": div("_xm", "_xs"),
+        "excess_sharpe": ratio("_xm", "_xs"),
     })
     keep = ["n", "annual_return", "annual_vol", "sortino", "omega", "tail_ratio", "stability", "var_95", "cvar_95", "alpha", "beta", "downside_risk", "excess_sharpe"]
     return a.select(*by, *keep)
