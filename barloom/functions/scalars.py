@@ -30,6 +30,7 @@ RATING_SCORES = {
 BOARDS_BARE = [
     ("^00[0-3]", "深主板"), ("^30[01]", "创业板"), ("^60", "沪主板"), ("^688", "科创板"), ("^[84]", "北交所"),
 ]
+BOARDS_BY_HEAD = [("^60", "沪主板"), ("^00", "深主板"), ("^30", "创业板")]
 BOARDS_PREFIXED = [
     ("^sh60", "沪主板"), ("^sh68", "科创板"), ("^sz00", "深主板"), ("^sz30", "创业板"), ("^bj", "北交所"),
 ]
@@ -72,6 +73,11 @@ def board_of(c: Column) -> Column:
     return F.when(c.isNull() | (F.length(c) < 3), "未知").otherwise(_ladder(c, BOARDS_BARE, "其他"))
 
 
+def board_by_head(c: Column) -> Column:
+    """Board by the first two digits alone, as coverage is counted."""
+    return _ladder(c, BOARDS_BY_HEAD, "其他")
+
+
 def board_of_prefixed(c: Column) -> Column:
     return _ladder(c, BOARDS_PREFIXED, "其他")
 

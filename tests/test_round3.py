@@ -1,7 +1,10 @@
-"""Cases beside the small tables: ratios to nothing."""
+"""Cases beside the small tables: ratios to nothing, boards by prefix."""
 
 import math
 
+from pyspark.sql import functions as F
+
+from barloom.functions import scalars as S
 from barloom.operators import metrics as M
 
 
@@ -13,3 +16,10 @@ def test_attribution_without_losses(spark):
     got = {r.variant: r for r in M.attribution(df, "ret", "b", ["variant"]).collect()}
     assert got["g"].sortino == math.inf and got["g"].omega == math.inf and math.isfinite(got["g"].tail_ratio)
     assert all(math.isnan(got["z"][c]) for c in ("sortino", "omega", "tail_ratio", "stability"))
+
+
+def test_boards_of_coverage_go_by_two_digits(spark):
+    codes = ["600001", "688001", "004000", "000001", "305000", "300001", "830000", "64"]
+    df = spark.createDataFrame([(c,) for c in codes], "code string").select("code", S.board_by_head(F.col("code")).alias("b"))
+    assert dict(df.collect()) == {
+        "600001": "沪主板", "688001": "其他", "004000": "深主板", "000001": "深主板", "305000": "创业板", "300001": "创业板", "830000": "其他", "64": "其他"}
