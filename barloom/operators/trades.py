@@ -30,6 +30,20 @@ def signed_shares() -> Column:
     return F.when(is_buy(), F.col("shares")).when(F.col("action") == "SELL", -F.col("shares")).otherwise(0)
 
 
+def numbered(trades: DataFrame, out: str = "n") -> DataFrame:
+    """Place of every row in the order of its symbol (1, 2, ...).
+
+    Days are counted first, so that rows are ordered within a symbol's day only
+    and a symbol with a third of all trades is spread over its days.
+    """
+    days = trades.groupBy(F.col("sym").alias("_s"), F.col("date").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_s").orderBy(F.col("_d").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("_s", "_d", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    rows = trades.withColumn("_i", F.row_number().over(Window.partitionBy("sym", "date").orderBy("seq")))
+    both = rows.join(days, F.col("sym").eqNullSafe(F.col("_s")) & F.col("date").eqNullSafe(F.col("_d")))
+    return both.select(*trades.columns, (F.col("_before") + F.col("_i")).alias(out))
+
+
 def in_blocks(days: DataFrame, rows: int) -> DataFrame:
     """(sym, date, n, ...) with ``block``: a symbol's days in order, cut where about ``rows`` trades are reached."""
     upto = F.sum("n").over(Window.partitionBy("sym").orderBy("date").rowsBetween(Window.unboundedPreceding, 0))

@@ -9,6 +9,7 @@ from barloom.functions import scalars as S
 from barloom.functions.frames import change, trail
 from barloom.operators import tables as B
 from barloom.operators.ranking import top_k, with_global
+from barloom.operators.trades import numbered
 from barloom.plans.indicator_plans import pick
 from barloom.plans.registry import (
     ANN_SQL, BARS_D_SQL, BARS_M_SQL, SUPPLIERS_SQL, TRADES_SQL, W, on_bars, query, r, r6, with_, wn,
@@ -74,13 +75,13 @@ def proj_rating(t):
     return d.select("o_orderkey", "rating_score", *[c.alias(n) for n, c in S.rating_change(F.col("rating_score"), F.col("l")).items()])
 
 
-@query("proj_validate_trades", with_(TRADES_SQL) + """SELECT sym,date,l_orderkey,l_linenumber,l_partkey,CASE WHEN price>90000 THEN 'bad_price' END AS e1,CASE WHEN shares>48 THEN 'bad_shares' END AS e2 FROM trades WHERE price>90000 OR shares>48""")
+@query("proj_validate_trades", with_(TRADES_SQL) + """SELECT sym,date,seq,l_orderkey,l_linenumber,l_partkey,CASE WHEN price>90000 THEN 'bad_price' END AS e1,CASE WHEN shares>48 THEN 'bad_shares' END AS e2 FROM trades WHERE price>90000 OR shares>48""")
 def proj_validate_trades(t):
-    """Rejected rows with their reasons (limits shifted so that real rows violate them)."""
-    x = t.trades.withColumns({"price": F.lit(90000.0) - F.col("price") + 1e-9, "shares": F.lit(49) - F.col("shares")})
+    """Rejected rows with their place in the log and their reasons (limits shifted so that real rows violate them)."""
+    x = numbered(t.trades).withColumns({"price": F.lit(90000.0) - F.col("price") + 1e-9, "shares": F.lit(49) - F.col("shares")})
     _, bad = B.split_valid(x, B.trade_rules())
     has = lambda e: F.when(F.array_contains("errors", e), F.lit(e))
-    return bad.select("sym", "date", "seq.*", has("bad_price").alias("e1"), has("bad_shares").alias("e2"))
+    return bad.select("sym", "date", F.col("n").alias("seq"), "seq.*", has("bad_price").alias("e1"), has("bad_shares").alias("e2"))
 
 
 @query("proj_bar_contract", on_bars("SELECT CAST(count(*) FILTER (WHERE n>1) AS BIGINT) AS duplicate_keys,count(*) FILTER (WHERE n>1)=0 AS ok FROM (SELECT code,date,count(*) AS n FROM bars GROUP BY 1,2)"))

@@ -1,11 +1,13 @@
-"""Cases beside the small tables: ratios to nothing, boards by prefix."""
+"""Cases beside the small tables: ratios to nothing, boards by prefix, numbered trades."""
 
+import datetime as dt
 import math
 
 from pyspark.sql import functions as F
 
 from barloom.functions import scalars as S
 from barloom.operators import metrics as M
+from barloom.operators import trades as P
 
 
 def test_attribution_without_losses(spark):
@@ -23,3 +25,13 @@ def test_boards_of_coverage_go_by_two_digits(spark):
     df = spark.createDataFrame([(c,) for c in codes], "code string").select("code", S.board_by_head(F.col("code")).alias("b"))
     assert dict(df.collect()) == {
         "600001": "沪主板", "688001": "其他", "004000": "深主板", "000001": "深主板", "305000": "创业板", "300001": "创业板", "830000": "其他", "64": "其他"}
+
+
+def test_trades_are_numbered_over_all_days(spark):
+    """Every row counts, the rejected ones of proj_validate_trades as well as the others."""
+    days = [dt.date(2020, 1, 1), dt.date(2020, 1, 2), None]
+    rows = [(s, d, i) for s in ("a", "b", None) for d in days for i in range(4 if s == "a" else 1)]
+    df = spark.createDataFrame(rows[::-1], "sym string, date date, seq int")
+    got = {(r.sym, r.date, r.seq): r.n for r in P.numbered(df).collect()}
+    assert [got["a", d, i] for d in days for i in range(4)] == list(range(1, 13))
+    assert [got[None, d, 0] for d in days] == [got["b", d, 0] for d in days] == [1, 2, 3]
