@@ -1,4 +1,4 @@
-"""Cases beside the small tables: ratios to nothing, boards by prefix, numbered trades."""
+"""Cases beside the small tables: ratios to nothing, boards by prefix, numbered trades, layouts."""
 
 import datetime as dt
 import math
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import scalars as S
 from barloom.operators import metrics as M
 from barloom.operators import trades as P
+from barloom.sources import sinks
 
 
 def test_attribution_without_losses(spark):
@@ -35,3 +36,12 @@ def test_trades_are_numbered_over_all_days(spark):
     got = {(r.sym, r.date, r.seq): r.n for r in P.numbered(df).collect()}
     assert [got["a", d, i] for d in days for i in range(4)] == list(range(1, 13))
     assert [got[None, d, 0] for d in days] == [got["b", d, 0] for d in days] == [1, 2, 3]
+
+
+def test_tasks_of_a_write_are_bounded(spark, tmp_path, monkeypatch):
+    """Small parts share tasks; a task reports to the driver whatever it writes."""
+    monkeypatch.setattr(sinks, "MOST_TASKS", 20)
+    df = spark.range(5000).select((F.col("id") % 2).alias("key"), "id")
+    sinks.write_partitioned(df, f"{tmp_path}/t", ["key"], rows=10, sort=["id"])
+    back = spark.read.parquet(f"{tmp_path}/t")
+    assert back.count() == 5000 and back.select(F.input_file_name()).distinct().count() <= 2 * 24
