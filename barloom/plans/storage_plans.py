@@ -40,13 +40,13 @@ def scan_inferred_csv(t):
 
 def hive_bars(t: Tables) -> str:
     path = sinks.new_path(t.spark, "bars-hive")
-    sinks.write_partitioned(t.bars_d, path, ["code"], sort=["date"])
+    sinks.write_grouped(t.bars_d, path)
     return path
 
 
 @query("scan_hive_partitions", with_(BARS_D_SQL) + "SELECT code,count(*) AS n,max(close) AS top FROM bars GROUP BY 1")
 def scan_hive_partitions(t):
-    df = t.spark.read.schema("date date, open double, high double, low double, close double, volume bigint, code string").parquet(hive_bars(t))
+    df = t.spark.read.schema("date date, open double, high double, low double, close double, volume bigint, code string, key_group int").parquet(hive_bars(t))
     return df.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.max("close").alias("top"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions import scalars as S
 from barloom.operators import metrics as M
 from barloom.operators import trades as P
-from barloom.sources import sinks
+from barloom.sources import readers, sinks
 
 
 def test_attribution_without_losses(spark):
@@ -38,6 +38,17 @@ def test_trades_are_numbered_over_all_days(spark):
     assert [got[None, d, 0] for d in days] == [got["b", d, 0] for d in days] == [1, 2, 3]
 
 
+def test_directories_do_not_grow_with_the_symbols(spark, tmp_path):
+    df = spark.range(3000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("code"), F.lit("2020-01-01").cast("date").alias("date"), F.col("id").alias("v"))
+    path = f"{tmp_path}/t"
+    sinks.write_grouped(df, path)
+    assert 0 < len([p for p in (tmp_path / "t").iterdir() if p.is_dir()]) <= readers.GROUPS
+    back = spark.read.schema("code string, date date, v bigint, key_group int").parquet(path)
+    assert back.count() == 3000
+    one = readers.symbol(back, "000007")
+    assert [r.v for r in one.collect()] == [7]
+
+
 def test_tasks_of_a_write_are_bounded(spark, tmp_path, monkeypatch):
     """Small parts share tasks; a task reports to the driver whatever it writes."""
     monkeypatch.setattr(sinks, "MOST_TASKS", 20)
