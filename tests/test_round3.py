@@ -47,6 +47,7 @@ def test_directories_do_not_grow_with_the_symbols(spark, tmp_path):
     assert back.count() == 3000
     one = readers.symbol(back, "000007")
     assert [r.v for r in one.collect()] == [7]
+    assert "PartitionFilters: [isnotnull(key_group" in one._jdf.queryExecution().toString()
 
 
 def test_tasks_of_a_write_are_bounded(spark, tmp_path, monkeypatch):
