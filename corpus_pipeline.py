@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import exact, minhash, mixing, packing, quality
-from barloom.llm.common import fold, read
+from barloom.llm.common import fold, read, small_batches
 from barloom.llm.queries import QUALITY_CUT, vocabulary
 from barloom.sources.sinks import publish
 
@@ -24,21 +24,25 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group equal but for white space."""
+    small_batches(spark)
     return exact.deduplicate(docs.select(*DOCUMENT))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of documents that share ``NEAR`` of their shingles; texts without words all stay."""
+    small_batches(spark)
     return minhash.deduplicate(docs.select(*DOCUMENT), params=NEAR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; repeated and cut documents keep their id."""
+    small_batches(spark)
     return mixing.take(docs.select(*DOCUMENT))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary())
 
 
