@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import common
+from barloom.operators import panels
 from tests.conftest import SMALL
 
 
@@ -30,3 +31,13 @@ def test_text_batches_are_bounded_in_bytes(spark):
             assert int(spark.conf.get(common.BATCH_LIMIT).rstrip("b")) == common.BATCH_BYTES
     finally:
         spark.conf.set(common.BATCH_LIMIT, before)
+
+
+def test_event_sums_are_dealt_by_their_number(spark, monkeypatch):
+    """More events are more tasks, not larger ones; each row of events is dealt once."""
+    monkeypatch.setattr(panels, "EVENTS", 50)
+    events = spark.range(900).select((F.col("id") % 90).cast("string").alias("code"), F.date_add(F.lit("2020-01-01"), (F.col("id") / 90).cast("int")).alias("date"), F.lit(1.0).alias("x"))
+    runs, _ = panels.trailing(events.select("code"), events, events, {"s": ("x", 3)})
+    assert runs.rdd.getNumPartitions() == 18
+    got = panels.expand(runs, panels.places(events)).groupBy("place").agg(F.min("s"), F.max("s"), F.count("code"))
+    assert {tuple(r) for r in got.collect()} == {(i, min(i + 1, 3.0), min(i + 1, 3.0), 90) for i in range(10)}
