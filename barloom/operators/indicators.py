@@ -139,15 +139,9 @@ def stoch_rsi(bars: DataFrame, rsi_n: int = 14, n: int = 14) -> DataFrame:
 
 def rsrs(bars: DataFrame, n: int = 18, m: int = 600) -> DataFrame:
     """Rolling slope of high on low, z-scored over m slopes and weighted by R2."""
-    w = trail(n)
-    lo, hi = F.col("low"), F.col("high")
-    usable = (F.count(lo).over(w) >= n) & (F.min(lo).over(w) < F.max(lo).over(w)) & (F.min(hi).over(w) < F.max(hi).over(w))
-    df = bars.withColumns({
-        "slope": F.when(usable, F.regr_slope(hi, lo).over(w)),
-        "_r2": F.when(usable, F.regr_r2(hi, lo).over(w)),
-    })
-    z = div(F.col("slope") - mean_n("slope", m), std_n("slope", m))
-    return df.withColumn("rsrs", z * F.col("_r2")).drop("_r2")
+    df = R.recur(bars, [
+        R.Rolled("slope", "high", n, R.slope, "low"), R.Rolled("_r2", "high", n, R.explained, "low"), R.Rolled("_z", "slope", m, R.standing)])
+    return df.withColumn("rsrs", F.col("_z") * F.col("_r2")).drop("_r2", "_z")
 
 
 def trend_ends(windows: np.ndarray) -> np.ndarray:
