@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,14 +120,20 @@ def stoch_rsi(bars: DataFrame, rsi_n: int = 14, n: int = 14, lower: float = 20.0
 @signal("factor_momentum")
 def factor_momentum(bars: DataFrame, mom_n: int = 20, vol_n: int = 20, lookback: int = 60, enter: float = 0.8, leave: float = 0.2) -> DataFrame:
     """Mean of three rolling z-scores against its own rolling quantiles."""
-    v = F.col("volume").cast("double")
-    df = bars.withColumns({"_r": change("close"), "_mom": change("close", mom_n), "_v": v})
-    df = df.withColumns({"_inv": div(F.lit(1.0), std_n("_r", vol_n)), "_vz": div(F.col("_v") - mean_n("_v", vol_n), std_n("_v", vol_n))})
-    z = lambda c: div(F.col(c) - mean_n(c, lookback), std_n(c, lookback))
-    df = df.withColumn("_score", (z("_mom") + z("_inv") + z("_vz")) / 3.0)
-    hi, lo = I.rolling_quantile("_score", lookback, enter), I.rolling_quantile("_score", lookback, leave)
+    z = lambda out, src, n: R.Rolled(out, src, n, R.standing)
+    at = lambda out, p: R.Rolled(out, "_score", lookback, lambda w: np.quantile(w, p, axis=1))
+
+    def inverse(windows: np.ndarray) -> np.ndarray:
+        d = R.deviation(windows)
+        return 1.0 / np.where(d > 0, d, np.nan)
+
+    df = R.recur(bars, [
+        R.Change("_r", "close"), R.Change("_mom", "close", mom_n), R.Rolled("_inv", "_r", vol_n, inverse), z("_vz", "volume", vol_n),
+        z("_z0", "_mom", lookback), z("_z1", "_inv", lookback), z("_z2", "_vz", lookback), R.Combine("_score", lambda c: (c["_z0"] + c["_z1"] + c["_z2"]) / 3.0),
+        at("_hi", enter), at("_lo", leave)], keep=["_score", "_hi", "_lo"])
+    hi, lo = F.col("_hi"), F.col("_lo")
     df = df.withColumns({"_strong": F.col("_score") > hi, "_weak": F.col("_score") < lo})
-    return _edges(df, F.col("_strong"), F.col("_weak")).drop("_r", "_mom", "_v", "_inv", "_vz", "_score", "_strong", "_weak")
+    return _edges(df, F.col("_strong"), F.col("_weak")).drop("_score", "_hi", "_lo", "_strong", "_weak")
 
 
 @signal("rsrs_timing")

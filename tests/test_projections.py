@@ -1,11 +1,13 @@
 """Steps whose memory or time grew with the tables."""
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom.llm import common
-from barloom.operators import panels
+from barloom.operators import indicators, panels, recur, signals
 from tests.conftest import SMALL
 
 
@@ -41,3 +43,22 @@ def test_event_sums_are_dealt_by_their_number(spark, monkeypatch):
     assert runs.rdd.getNumPartitions() == 18
     got = panels.expand(runs, panels.places(events)).groupBy("place").agg(F.min("s"), F.max("s"), F.count("code"))
     assert {tuple(r) for r in got.collect()} == {(i, min(i + 1, 3.0), min(i + 1, 3.0), 90) for i in range(10)}
+
+
+def test_rolled_windows(spark):
+    """Values of the last n known rows of a symbol, in one pass; no window frame of hundreds of rows."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=40), np.full(20, 0.1), [np.nan], rng.normal(size=30), rng.normal(size=25)])
+    ids = np.repeat([0, 1], [91, 25])
+    got = recur.Rolled("z", "x", 12, recur.standing).compute({"x": pd.Series(x)}, ids).to_numpy()
+    for i in range(len(x)):
+        w = x[max(0, i - 11):i + 1]
+        whole = len(w) == 12 and not np.isnan(w).any() and ids[i] == ids[i - 11]
+        want = (w[-1] - w.mean()) / w.std(ddof=1) if whole and w.min() < w.max() else np.nan
+        np.testing.assert_allclose(got[i], want, rtol=1e-9, atol=1e-9)
+    d = recur.Change("d", "x", 2).compute({"x": pd.Series([1.0, 0.0, 3.0, 4.0, 5.0, 6.0])}, np.array([0, 0, 0, 0, 1, 1])).to_numpy()
+    np.testing.assert_array_equal(d, [np.nan, np.nan, 2.0, np.nan, np.nan, np.nan])
+    bars = spark.range(5).selectExpr("'a' code", "date'2020-01-01' + int(id) date", "double(id) high", "double(id) low", "double(id) close", "id volume")
+    for df in (indicators.rsrs(bars, 3, 600), signals.factor_momentum(bars)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "-599" not in plan and "percentile" not in plan and "MapInArrow" in plan
