@@ -113,10 +113,14 @@ def take(docs: DataFrame, *, id: str = "doc_id", text: str = "text", n_chars: st
     """
     plan = mix(docs, id=id, text=text, **options).where("taken > 0").groupBy(F.col(id).alias("_k"), F.col("text_hash").alias("_h")).agg(
         F.max("size").alias("_size"), F.sum("taken").alias("_taken"), F.count(F.lit(1)).alias("_rows"))
-    # Equal rows share what was taken of them; one of them carries it.
-    rows = docs.join(publish(plan, "mix-plan"), F.col(id).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h")))
-    several = rows.where("_rows > 1")
-    rows = rows.where("_rows = 1").unionByName(several.dropDuplicates([id, text])) if not several.isEmpty() else rows
+    plan = publish(plan, "mix-plan")
+    same = F.col(id).eqNullSafe(F.col("_k")) & (F.xxhash64(text) == F.col("_h"))
+    # Equal rows share what was taken of them; one of them carries it.  The plan tells whether there are any: texts are not moved to see it.
+    several = plan.where("_rows > 1")
+    if several.isEmpty():
+        rows = docs.join(plan, same)
+    else:
+        rows = docs.join(plan.where("_rows = 1"), same).unionByName(docs.join(several, same).dropDuplicates([id, text]))
     epochs, rest = F.floor(F.col("_taken") / F.col("_size")).cast("int"), (F.col("_taken") % F.col("_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0), epochs), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>")))
     rows = rows.withColumn("_cut", F.explode(copies))

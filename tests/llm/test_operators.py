@@ -556,6 +556,26 @@ def test_mix(odd, none):
     assert mixing.mix(none).count() == 0 and mixing.take(none).count() == 0
 
 
+def test_mix_moves_texts_once(spark):
+    """A task's slices of a text join are written for one shuffle, not for a look at what the join would give as well."""
+
+    def written():
+        jvm = spark.sparkContext._gateway
+        found = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), jvm.jvm.java.util.ArrayList())
+        return sum(found.apply(i).shuffleWriteBytes() for i in range(found.size()))
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"{rng.getrandbits(160):x}" for _ in range(200)), f"s{i % 3}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4).localCheckpoint()
+    before, limit = written(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixing.take(docs).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 0 < written() - before < 1.3 * sum(len(t) for _, t, _ in rows)
+
+
 # --- pipeline ---------------------------------------------------------------
 def test_pipeline_stages(spark, odd, tmp_path):
     docs = odd.select(*corpus_pipeline.DOCUMENT)
