@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import rising_edge
 from barloom.operators.ranking import calendar_join, quantiles, with_global
+from barloom.sources.sinks import new_path, write_partitioned
 
 
 def time_split(df: DataFrame, share: float = 0.6, date: str = "date") -> DataFrame:
@@ -65,9 +66,20 @@ def walk_months(df: DataFrame, *, train: int = 12, gap: int = 1) -> list:
     return months[train + gap:]
 
 
+def by_month(df: DataFrame) -> DataFrame:
+    """The table written with a directory per month, ``_month``, of which windows open their own only."""
+    path = new_path(df.sparkSession, "by-month")
+    out = df.withColumn("_month", F.trunc("date", "month"))
+    write_partitioned(out, path, ["_month"], rows=200_000, sort=["date", "code"])
+    return df.sparkSession.read.schema(out.schema).parquet(path)
+
+
 def walk_window(df: DataFrame, month, *, train: int = 12, gap: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows of one test month: ``train`` months that end ``gap`` months before it, and the month."""
-    m, day = F.trunc("date", "month"), F.to_date(F.lit(str(month)))
+    """Training and test rows of one test month: ``train`` months that end ``gap`` months before it, and the month.
+
+    Of a table from ``by_month`` only the months of the window are read.
+    """
+    m, day = F.col("_month") if "_month" in df.columns else F.trunc("date", "month"), F.to_date(F.lit(str(month)))
     return df.where((m >= F.add_months(day, -(train + gap))) & (m < F.add_months(day, -gap))), df.where(m == day)
 
 
@@ -77,11 +89,13 @@ def walk_forward(
     """Yield (month, predictions) for each test month, fitted on its window; months without training rows are passed over.
 
     ``learner`` is "gbt" or "linear".  Months do not depend on each other, so
-    ``parallel`` of them are fitted at once, each on one window of the table;
-    rows that can teach are counted once for all months.
+    ``parallel`` of them are fitted at once, each on one window of the table,
+    which is laid out by month for them; rows that can teach are counted once
+    for all months.  "gbt" cuts features at a sample that the learner draws by
+    the place of rows, so that another layout gives other trees.
     """
-    m = F.trunc("date", "month")
-    taught = {r.m for r in df.dropna(subset=[*features, label]).select(m.alias("m")).distinct().collect()}  # one per month, so few
+    df = by_month(df)
+    taught = {r.m for r in df.dropna(subset=[*features, label]).select(F.col("_month").alias("m")).distinct().collect()}  # one per month, so few
 
     def fit(month):
         window, _ = walk_window(df, month, train=train, gap=gap)

@@ -65,3 +65,17 @@ def test_walk_window_ends_before_the_gap(spark):
     assert months[0] == dt.date(2001, 2, 1) and len(months) == 17
     train, test = ML.walk_window(df, months[0])
     assert train.agg(F.min("date"), F.max("date")).first() == (dt.date(2000, 1, 1), dt.date(2000, 12, 1)) and test.count() == 1
+
+
+def test_a_walk_opens_the_months_of_its_windows_only(spark):
+    rows = [(f"c{c}", dt.date(2000 + i // 12, i % 12 + 1, 1), float(i % 5 + c), float(i)) for i in range(16) for c in range(3)]
+    df = spark.createDataFrame(rows, "code string, date date, a double, fwd double")
+    months = ML.walk_months(df)
+    walk = list(ML.walk_forward(df, ["a"], "fwd", months, rounds=1))
+    assert [m for m, _ in walk] == months and all(p.count() == 3 for _, p in walk)
+    for _, pred in walk:
+        assert "PartitionFilters: [isnotnull(_month" in pred._jdf.queryExecution().executedPlan().toString()
+    train, test = ML.walk_window(ML.by_month(df), months[0])
+    assert train.select(F.input_file_name()).distinct().count() >= 12 and train.count() == 36
+    plan = train._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_month" in plan and "trunc(" not in plan
