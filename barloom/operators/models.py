@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.frames import rising_edge
 from barloom.operators.ranking import calendar_join, quantiles, with_global
-from barloom.sources.sinks import new_path, write_partitioned
+from barloom.sources.sinks import new_path, publish, write_partitioned
 
 
 def time_split(df: DataFrame, share: float = 0.6, date: str = "date") -> DataFrame:
@@ -31,7 +31,7 @@ def return_regression(df: DataFrame, features: Sequence[str], label: str, *, sha
     data = time_split(df.dropna(subset=[*features, label]), share)
     pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="_x"), GBTRegressor(featuresCol="_x", labelCol=label, maxIter=rounds, maxDepth=depth, seed=7)])
     model = pipe.fit(data.where("is_train"))
-    pred = model.transform(data).drop("_x")
+    pred = publish(model.transform(data).drop("_x"), "predictions")  # the cuts read them several times
     cuts = quantiles(pred.where("is_train"), [], "prediction", {"_hi": enter, "_lo": leave})
     scored = with_global(pred, cuts)
     test = ~F.col("is_train")

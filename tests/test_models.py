@@ -79,3 +79,9 @@ def test_a_walk_opens_the_months_of_its_windows_only(spark):
     assert train.select(F.input_file_name()).distinct().count() >= 12 and train.count() == 36
     plan = train._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(_month" in plan and "trunc(" not in plan
+
+
+def test_trees_are_asked_once(spark):
+    """The quantiles, the edges and the result read predictions that are written, instead of passing the trees again."""
+    plan = ML.return_regression(panel(spark), ["a", "b"], "fwd", rounds=1)._jdf.queryExecution().executedPlan().toString()
+    assert "predictions-" in plan and "UDF" not in plan
