@@ -231,7 +231,7 @@ def sink_append_trades(t):
 def sink_export_csv(t):
     path = sinks.new_path(t.spark, "export")
     sinks.export_csv(t.bars_d, path, min_rows=27)
-    back = t.spark.read.option("header", True).schema("code string, date date, open double, high double, low double, close double, volume bigint, factor double, symbol string").csv(path)
+    back = readers.csv_per_key(t.spark, path, "code string, date date, open double, high double, low double, close double, volume bigint, factor double, symbol string")
     return back.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.sum("factor").alias("factors"))
 
 
