@@ -3,7 +3,8 @@
 Both steps look only at a node's neighbours: large-star links every larger
 neighbour to the smallest one, small-star every smaller neighbour.  Neighbour
 minima are aggregated (combined before the shuffle) and joined back, so the
-neighbours of a hub never meet in one task.  Each round is a written table.
+neighbours of a hub never meet in one task.  Each round is a written table,
+which the next one replaces.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.sources.sinks import publish
+from barloom.sources.sinks import discard, publish
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -45,7 +46,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     before = _mark(e)
     while before[0]:
         # Large-star leaves every edge (larger, smaller); small-star needs them so.
-        e = publish(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        last, e = e, publish(_small_star(_large_star(e).distinct()).distinct(), "edges")
+        discard(last)
         after = _mark(e)
         if after == before:
             break

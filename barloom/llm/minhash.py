@@ -164,8 +164,8 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         for s, e in zip(starts[:-1], starts[1:], strict=True):
             key = tuple(c[s] for c in cols)
             if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
+                done, held = [held], []
+                yield pa.Table.from_batches(done.pop())  # whoever reads a group may let go of it
             last = key
             held.append(b.slice(s, e - s))
     if held:
